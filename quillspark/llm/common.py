@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the Arrow functions work on at a time (a longer text is worked on alone).
 SLICE_BYTES = 2 << 20
@@ -124,3 +125,38 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.repeat(starts - first, lengths) + np.arange(total)
+
+
+def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int) -> tuple[DataFrame, int]:
+    """Deal rows to batches of about ``batch_bytes`` of text, by a hash of the row's place in the
+    input (so that repeated ids are spread): (batch, rid, doc_id, text) and the number of batches."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    batches = max(1, -(-total // batch_bytes))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    return rows.withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int")), batches
+
+
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits of a hash that choose a bucket: more buckets than shuffle partitions, so that these are even."""
+    return max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+
+def table_slices(table: pa.Table, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """slices() of a table, rows numbered through."""
+    base = 0
+    for batch in table.to_batches():
+        for i, j, data, offsets in slices(batch, text):
+            yield base + i, base + j, data, offsets
+        base += len(batch)
+
+
+def bucket_cuts(names: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket (top bits) of sorted names begins; one more entry for the end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
+
+
+def joined(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Binary cells as one array, and each cell's place in it."""
+    cells = [np.frombuffer(x, dtype) for x in column.to_pylist()]
+    return (np.concatenate(cells) if cells else np.zeros(0, dtype)), np.concatenate([[0], np.cumsum([len(c) for c in cells], dtype=np.int64)]).astype(np.int64)
