@@ -56,7 +56,7 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     dealt = dealt.join(F.broadcast(first), ["bucket", "rid"], "left")
     place = lambda b, g: F.struct(F.col(b).cast("int").alias("bucket"), F.lit(g).alias("guest"))
     places = F.when(F.col("to").isNull(), F.array(place("bucket", False))).otherwise(F.array(place("bucket", False), place("to", True)))
-    return dealt.withColumn("place", F.explode(places)).drop("bucket").select("doc_id", "text", "key", "th", "rid", "place.*")
+    return dealt.withColumn("place", F.explode(places)).drop("bucket").select("doc_id", "text", "th", "rid", "place.*")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,7 +82,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumn("th", F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id())
-    order = [F.col("guest"), F.col("key").desc(), F.col("th").desc(), F.col("rid").desc()]
+    # Both branches below need all of these columns, so that they share one exchange of the texts.
+    order = [F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("th").desc(), F.col("rid").desc()]
     here = Window.partitionBy("bucket").orderBy(*order)
     n_chars, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - cut), F.substring(F.lead("text").over(here), F.lit(1), cut))
