@@ -12,6 +12,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
 #: Sources are totalled on the driver; more than this many is an error.
 MOST_SOURCES = 100_000
+#: Rows of copies sent to every task, at most; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -53,13 +55,14 @@ def mixed_sources(
     rows draw equal numbers and stand side by side.  A source without words gets
     target 0.  An empty table gives an empty result.  Other columns are not read.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (= copies * size).
+    Returns rid (the row's monotonically_increasing_id() in ``docs``), doc_id, source, size, source_size, target, copies, taken (= copies * size).
     """
     spark = docs.sparkSession
     name = F.col(source).cast("string")
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary")), 1, 13)
     base = written(
         docs.select(
+            F.monotonically_increasing_id().alias("rid"),
             F.col(doc_id).alias("doc_id"),
             name.alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
@@ -91,7 +94,16 @@ def mixed_sources(
     near = (F.col("at") <= F.col("rest")) | ((F.col("at") - F.col("size") < F.col("rest")) & (F.col("at") - F.col("rest") < F.col("rest") - (F.col("at") - F.col("size"))))
     edge = ranked.where(cut).withColumn("at", at).withColumn("more", near.cast("int")).drop("at")
     copies = F.col("whole") + F.col("more")
-    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return clear.unionByName(edge).select("rid", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every row as often as mixed_sources() takes it; docs must be a table that reads alike each time."""
+    copies = written(mixed_sources(docs, **options).select("rid", "copies"), "mix-copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    taken = docs.withColumn("rid", F.monotonically_increasing_id()).join(copies, "rid")
+    taken = taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*docs.columns)
 
 
 SQL = r"""

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.common import lowered, mixed, slices, span_hashes, word_spans
 
@@ -15,6 +16,7 @@ BITS, GRAM = 18, 4
 FIT_ROWS, PASSES, COST = 6000, 12, 0.02
 #: Labels sent to every task, at most; beyond it the labels are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
+SCORE = "quality_score"
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -101,17 +103,17 @@ def _fit(table: pa.Table, ratio: np.ndarray) -> pa.Table:
     return pa.table({"f": pa.array(np.append(f, -1), pa.int32()), "w": pa.array(np.append(w[f], bias))})
 
 
-def _score(batches, ratio: np.ndarray, w: np.ndarray, bias: float, slope: float):
+def _score(batches, text: str, ratio: np.ndarray, w: np.ndarray, bias: float, slope: float):
     product, square = (w * ratio), (ratio * ratio)
     for batch in batches:
-        for i, j, data, offsets in slices(batch, "text"):
+        for i, j, data, offsets in slices(batch, text):
             margin = np.array([product[f].sum() / (np.sqrt(square[f].sum()) or 1.0) + bias for f in indicators(data, offsets)])
             score = 1 / (1 + np.exp(-slope * margin))
             part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, SCORE])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every text for quality; learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Features are indicators of hashed words, word pairs and byte 4-grams of the whole
@@ -124,9 +126,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     Nulls: a null text counts as empty and is scored by the bias; a null doc_id is scored,
     and counts as held out False.  Labels that are null or neither 0 nor 1 don't count, of several for one
     id the least does.  Repeated rows are each scored.  Without labels of both classes all
-    scores are 1.  An empty table gives an empty result.  Other columns are not read.
+    scores are 1.  An empty table gives an empty result.  Other columns are carried; one named
+    like SCORE is replaced.
 
-    Returns doc_id, held_out, score, predicted.
+    Returns the columns of ``docs`` and SCORE.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -156,5 +159,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         f, values = model.column("f").to_numpy(), model.column("w").to_numpy()
         w[f[f >= 0]] = values[f >= 0]
         bias = float(values[f < 0][0])
-    out = rows.mapInArrow(lambda it: _score(it, ratio, w, bias, 4.0), "doc_id long, score double")
-    return out.select("doc_id", fold("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    plain = docs.drop(SCORE)
+    schema = StructType([*plain.schema.fields, StructField(SCORE, DoubleType())])
+    return plain.mapInArrow(lambda it: _score(it, text, ratio, w, bias, 4.0), schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """with_quality() as doc_id, held_out, score, predicted (1 from a score of 0.5)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = labels.withColumnRenamed(doc_id, "doc_id")
+    return with_quality(rows, labels, **options).select("doc_id", held.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects."""
+    return with_quality(docs, labels, **options).where(F.col(SCORE) >= 0.5).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import cws, mixing, nbsvm, packing, pii, ppm, sharding, substring_dedup, topk
+from quillspark.llm import cws, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, sharding, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.lpt_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
