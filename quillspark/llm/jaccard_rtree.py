@@ -52,6 +52,11 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(60)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def head_size(n):
+    """Two sets that link share one of so many least names of each: n - ceil(3n / 4) + 1."""
+    return n // 4 + 1
+
+
 def linked(common, a, b):
     """100 * common >= 75 * (a + b - common)."""
     return 7 * common >= 3 * (a + b)
@@ -145,8 +150,7 @@ def _sets(batches):
             n = np.array([len(s) for s in sets])
             lo = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
             hi = [int(mixed(s ^ _ODD).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            # Two sets that link share one of the least n - ceil(3n/4) + 1 names of each.
-            heads = [s[: len(s) - -(-3 * len(s) // 4) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            heads = [s[: head_size(len(s))].view(np.int64) for s in sets]
             cuts = np.append(0, np.cumsum([len(h) for h in heads])).astype(np.int32)
             counts = np.array([count_vector(s) for s in sets], np.int32).reshape(-1, GROUPS)
             yield pa.RecordBatch.from_arrays([
@@ -159,6 +163,18 @@ def _candidates(table: pa.Table) -> pa.Table:
     """In each group of documents with a common shingle: a forest over the pairs that the tree's bound allows."""
     g, rid = table.column("grp").to_numpy(), table.column("rid").to_numpy()
     points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
+    top = table.column("top").to_numpy().view(np.uint64).tolist()
+    cells = table.column("names").combine_chunks()
+    names, at = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
+    size = points.sum(axis=1)
+    beyond = (size - head_size(size)).tolist()
+    size = size.tolist()
+
+    def may(i: int, j: int) -> bool:
+        # What two sets share beyond the heads is less than what the set whose head ends first has there.
+        common = len(np.intersect1d(names[at[i] : at[i + 1]], names[at[j] : at[j + 1]], assume_unique=True))
+        return linked(common + (beyond[i] if top[i] <= top[j] else beyond[j]), size[i], size[j])
+
     order = np.lexsort((rid, g))
     cuts = np.append(np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1])), len(order))
     out: tuple[list, list] = ([], [])
@@ -167,7 +183,8 @@ def _candidates(table: pa.Table) -> pa.Table:
         forest = Forest(len(rows))
         for a, b in CountRTree(points[rows]).pairs():
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                if forest.join(i, j):
+                if forest.find(i) != forest.find(j) and may(rows[i], rows[j]):
+                    forest.join(i, j)
                     out[0].append(rid[rows[i]])
                     out[1].append(rid[rows[j]])
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
@@ -215,8 +232,8 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     Documents of equal sets are one class.  A class sends out its least-hashed shingles, so
     many that two linked classes share one.  The classes of a shared shingle are put in
-    an R-tree of their counts by shingle group; its bound leaves pairs, of which only a
-    spanning forest goes on.  Joined, these are groups of candidates; their whole texts meet
+    an R-tree of their counts by shingle group; its bound leaves pairs, to which the heads'
+    overlap sets another bound; only a spanning forest of these goes on.  Joined, these are groups of candidates; their whole texts meet
     in tiles, are put in an R-tree again, and pairs that pass it are compared in full, but for pairs
     joined already.  A shingle or group with many classes is cut into tiles, and every pair of
     tiles is a task's work; none is left out.
@@ -236,10 +253,12 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     heads = sets.select("rid", "head", "counts").join(classes.select("rid"), "rid", "left_semi")
     entries = heads.select("rid", F.explode("head").alias("name"))
     often = entries.groupBy("name").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    met = _tiled(entries.join(often, "name"), "often", "rid").groupBy("name", "lo", "hi").agg(F.sort_array(F.collect_set("rid")).alias("members"))
+    shared = written(entries.join(often, "name"), "shared")
+    lists = shared.groupBy("rid").agg(F.collect_list("name").alias("names"))
+    met = _tiled(shared, "often", "rid").groupBy("name", "lo", "hi").agg(F.sort_array(F.collect_set("rid")).alias("members"))
     # Shingles of one passage have the same documents; these are joined once.
     groups = met.where("size(members) > 1").groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"))
-    groups = groups.select("grp", F.explode("members").alias("rid")).join(sets.select("rid", "counts"), "rid")
+    groups = groups.select("grp", F.explode("members").alias("rid")).join(sets.select("rid", "counts", F.try_element_at("head", F.lit(-1)).alias("top")), "rid").join(lists, "rid")
     parts = F.pmod(F.xxhash64("grp"), F.lit(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     maybe = groups.withColumn("part", parts).groupBy("part").applyInArrow(lambda t: _candidates(t), "a long, b long")
     found = components(maybe)

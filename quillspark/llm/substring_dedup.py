@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import batched, bucket_bits, bucket_cuts, joined, mixed, ranges, span_hashes, table_slices, word_spans
+from quillspark.llm.common import _powers, batched, bucket_bits, bucket_cuts, joined, mixed, ranges, span_hashes, table_slices, word_spans
 
 WINDOW, LEVELS = 20, 4
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _RUN, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _FAR = (1 << 62) - 1
 
@@ -57,7 +57,10 @@ def recompress(names: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np
 
 def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows, and the anchor of each: of the symbols that its own words decide, from the
-    highest level that has any, the one of least name.  Equal windows have equal anchors."""
+    highest level that has any, the one of least name.  Equal windows have equal anchors.
+
+    What names an anchor are all the words that decide it, which are more than the symbol's own.
+    """
     n_words = np.diff(place)
     starts = ranges(place[:-1], np.maximum(n_words - WINDOW + 1, 0))
     out = np.zeros(len(starts), np.uint64)
@@ -71,17 +74,21 @@ def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for i in range(LEVELS):
         level = recompress(*level, edges, i)
         levels.append(level)
+    up, down = _powers(len(words))
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)]))
     open_ = np.arange(len(starts))
     for names, _, first, last, _ in reversed(levels):
         p = starts[open_]
         lo, hi = np.searchsorted(first, p), np.searchsorted(last, p + WINDOW, "right")
         has = hi > lo
         mine, a, b = open_[has], lo[has], hi[has]
-        best = names[a]
+        best, of = names[a], a.copy()
         for step in range(1, int((b - a).max(initial=0))):
             at = np.minimum(a + step, b - 1)
-            best = np.minimum(best, names[at])
-        out[mine] = best
+            less = names[at] < best
+            best[less], of[less] = names[at[less]], at[less]
+        x, y = first[of], last[of]
+        out[mine] = mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * _RUN)
         open_ = open_[~has]
         if not len(open_):
             break
