@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import written
+
 
 def build(notes: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, ghost) and edges (src, dst, kind, count, seq); an edge keeps its first kind, ghosts are targets that no note answers."""
@@ -51,8 +53,8 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int
     score = seed score * decay ^ depth / log2(2 + degree).  Ghosts are passed through but not returned; nodes of more
     than ``hub`` links other than seeds are returned but not passed through.  Each level is one join, then one row a node.
     """
-    degree = degrees(nodes, edges)
-    ways = both_ways(edges)
+    degree = written(degrees(nodes, edges), "degrees")
+    ways = written(both_ways(edges), "ways")
     seen = seeds.select("id")
     front = seeds.select("id", "score", F.struct(F.col("pos").alias("p")).cast("string").alias("path"), F.lit(False).alias("stop"))
     found = None
@@ -62,6 +64,9 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int
         step = step.withColumn("n", F.row_number().over(order)).where("n = 1").join(degree, "id")
         rank = F.row_number().over(Window.orderBy("path", "way", "seq"))
         front = step.withColumn("pos", rank).select("id", "score", F.lpad(F.col("pos").cast("string"), 12, "0").alias("path"), (F.col("degree") > hub).alias("stop"), "degree", "ghost", "pos")
+        front = written(front, "front")
+        if front.isEmpty():
+            break
         level = front.where("not ghost").select("id", (F.col("score") * decay**depth / F.log2(F.col("degree") + 2)).alias("score"), F.lit(depth).alias("depth"), "pos")
         found = level if found is None else found.unionByName(level)
         seen = seen.unionByName(front.select("id"))
