@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import lowered, mixed, ranges, slices, span_hashes, word_spans, written
@@ -15,8 +15,8 @@ from quillspark.llm.components import components
 
 #: Words of a shingle; groups that shingles are hashed into; entries of a leaf and children of a node.
 SHINGLE, GROUPS, LEAF, FAN = 5, 16, 32, 8
-#: Documents of a tile: a hot shingle's documents, and a large group of candidates, are joined tile by tile.
-TILE = 512
+#: Documents of a tile: a hot shingle's documents (BLOCK), and a large group of candidates (TILE), are joined tile by tile.
+BLOCK, TILE = 4096, 512
 #: Ids sent to every task, at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,9 +52,18 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(60)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def spare(n):
+    """Names of a head that a set needn't be found by."""
+    return n // 16
+
+
 def head_size(n):
-    """Two sets that link share one of so many least names of each: n - ceil(3n / 4) + 1."""
-    return n // 4 + 1
+    """Two sets that link share an l of the n - ceil(3n / 4) + l least names of each.
+
+    With l = 2 * spare + 1, they still share one if each leaves out as many as spare(n) of
+    these: the names that most sets have.
+    """
+    return n // 4 + 2 * spare(n) + 1
 
 
 def linked(common, a, b):
@@ -218,9 +227,9 @@ def _verified(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
-def _tiled(df: DataFrame, size: str, by: str) -> DataFrame:
-    """Rows of groups of ``size`` rows, each to the pairs of tiles of about TILE rows that its tile is in."""
-    tiles = F.greatest(F.lit(1), F.ceil(F.col(size) / TILE)).cast("int")
+def _tiled(df: DataFrame, size: str, by: str, most: int) -> DataFrame:
+    """Rows of groups of ``size`` rows, each to the pairs of tiles of about ``most`` rows that its tile is in."""
+    tiles = F.greatest(F.lit(1), F.ceil(F.col(size) / most)).cast("int")
     own = F.pmod(F.xxhash64(by), F.col("tiles")).cast("int")
     df = df.withColumn("tiles", tiles).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -255,7 +264,9 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     often = entries.groupBy("name").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = written(entries.join(often, "name"), "shared")
     lists = shared.groupBy("rid").agg(F.collect_list("name").alias("names"))
-    met = _tiled(shared, "often", "rid").groupBy("name", "lo", "hi").agg(F.sort_array(F.collect_set("rid")).alias("members"))
+    hottest = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("often").desc(), "name"))
+    led = shared.withColumn("place", hottest).join(sets.select("rid", "n"), "rid").where(F.col("place") > F.floor(F.col("n") / 16))
+    met = _tiled(led, "often", "rid", BLOCK).select("name", "lo", "hi", "rid").groupBy("name", "lo", "hi").agg(F.sort_array(F.collect_set("rid")).alias("members"))
     # Shingles of one passage have the same documents; these are joined once.
     groups = met.where("size(members) > 1").groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"))
     groups = groups.select("grp", F.explode("members").alias("rid")).join(sets.select("rid", "counts", F.try_element_at("head", F.lit(-1)).alias("top")), "rid").join(lists, "rid")
@@ -265,7 +276,7 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     sized = written(found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("often")), "component").select(F.col("node").alias("rid"), "component", "often"), "candidates")
     n_found = sized.count()
     texts = rows.select("rid", "text").join(F.broadcast(sized) if n_found <= BROADCAST_IDS else sized, "rid")
-    tiles = _tiled(texts, "often", "rid").withColumn("tile", F.concat_ws("|", "component", "lo", "hi"))
+    tiles = _tiled(texts, "often", "rid", TILE).withColumn("tile", F.concat_ws("|", "component", "lo", "hi"))
     # Small groups share a part; a large group's tiles are parts of their own.
     part = F.when(F.col("often") > TILE // 2, F.xxhash64("tile")).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.lit(64), F.lit(n_found // 256))))
     links = tiles.withColumn("part", part).select("part", "tile", "rid", "text").groupBy("part").applyInArrow(lambda t: _verified(t), "a long, b long")
