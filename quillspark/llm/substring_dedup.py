@@ -40,7 +40,7 @@ def recompress(names: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np
     last = np.where(closes, edges[1][doc_] + 1, last[np.minimum(at + size, n - 1)])
     names = np.where(size == 1, names[at], mixed(names[at] + size.astype(np.uint64) * _RUN))
     begin, doc, n = begin[at], doc_, len(at)
-    left = (mixed(names + np.uint64(level + 1) * _LEFT) >> np.uint64(63)).astype(bool)
+    left = (mixed(names + np.array([level + 1], np.uint64) * _LEFT) >> np.uint64(63)).astype(bool)
     pair = np.zeros(n, bool)
     pair[:-1] = left[:-1] & ~left[1:] & ~closes[:-1]
     second = np.zeros(n, bool)
@@ -55,17 +55,17 @@ def recompress(names: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np
     return made[stay], begin[stay], first[stay], last[stay], doc[stay]
 
 
-def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows, and the anchor of each: of the symbols that its own words decide, from the
+def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows, the anchor of each and the word where it stands: of the symbols that its own words decide, from the
     highest level that has any, the one of least name.  Equal windows have equal anchors.
 
     What names an anchor are all the words that decide it, which are more than the symbol's own.
     """
     n_words = np.diff(place)
     starts = ranges(place[:-1], np.maximum(n_words - WINDOW + 1, 0))
-    out = np.zeros(len(starts), np.uint64)
+    out, where = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
     if not len(starts):
-        return starts, out
+        return starts, out, where
     doc = np.repeat(np.arange(len(n_words)), n_words)
     edges = (place[:-1], place[1:])
     token = np.arange(len(words))
@@ -88,11 +88,12 @@ def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
             less = names[at] < best
             best[less], of[less] = names[at[less]], at[less]
         x, y = first[of], last[of]
+        where[mine] = x
         out[mine] = mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * _RUN)
         open_ = open_[~has]
         if not len(open_):
             break
-    return starts, out
+    return starts, out, where
 
 
 def window_names(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -109,11 +110,13 @@ class _Batch:
     def __init__(self, table: pa.Table, named: bool):
         order = [("missing", "ascending"), ("doc_id", "ascending"), ("rid", "ascending")]
         self.table = table.append_column("missing", pa.compute.is_null(table.column("doc_id"))).sort_by(order)
-        rows, starts, found, names = [], [], [], []
+        rows, starts, found, names, stands, words_before = [], [], [], [], [], 0
         for i, j, data, offsets in table_slices(self.table):
             s, e, place = word_spans(data, offsets)
             words = span_hashes(data, s, e)
-            p, a = anchors(words, place)
+            p, a, x = anchors(words, place)
+            stands.append(x + words_before)
+            words_before += len(words)
             d = np.searchsorted(place, p, "right") - 1
             rows.append((d + i).astype(np.int32))
             starts.append((p - place[d]).astype(np.int32))
@@ -122,7 +125,7 @@ class _Batch:
                 names.append(window_names(words, p))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.row, self.start, self.anchor = cat(rows, np.int32), cat(starts, np.int32), cat(found, np.uint64)
-        self.name = cat(names, np.uint64)
+        self.name, self.stands = cat(names, np.uint64), cat(stands, np.int64)
 
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Windows whose anchor is shared."""
@@ -134,7 +137,11 @@ class _Batch:
 
 def _ask(key: tuple[pa.Scalar, ...], table: pa.Table, bits: int) -> pa.Table:
     """The batch's anchors, each once, to the anchors' buckets."""
-    names, counts = np.unique(_Batch(table, False).anchor, return_counts=True)
+    batch = _Batch(table, False)
+    # Neighbouring windows have one anchor in common; what counts is at how many places it stands.
+    order = np.lexsort((batch.stands, batch.anchor))
+    a, x = batch.anchor[order], batch.stands[order]
+    names, counts = np.unique(a[np.append(True, (a[1:] != a[:-1]) | (x[1:] != x[:-1]))[: len(a)]], return_counts=True)
     cuts = bucket_cuts(names, bits).tolist()
     own = [(b, names[x:y].tobytes(), (counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
     return pa.table({"bucket": pa.array([o[0] for o in own], pa.int32()), "batch": pa.array([key[0].as_py()] * len(own), pa.int32()), "names": pa.array([o[1] for o in own], pa.binary()), "many": pa.array([o[2] for o in own], pa.binary())})
