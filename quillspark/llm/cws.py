@@ -56,7 +56,9 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     dealt = dealt.join(F.broadcast(first), ["bucket", "rid"], "left")
     place = lambda b, g: F.struct(F.col(b).cast("int").alias("bucket"), F.lit(g).alias("guest"))
     places = F.when(F.col("to").isNull(), F.array(place("bucket", False))).otherwise(F.array(place("bucket", False), place("to", True)))
-    return dealt.withColumn("place", F.explode(places)).drop("bucket").select("doc_id", "text", "th", "rid", "place.*")
+    # A bucket that may not be null gets no null filter, which would keep two readers from sharing one exchange.
+    bucket = F.coalesce("place.bucket", F.lit(0)).alias("bucket")
+    return dealt.withColumn("place", F.explode(places)).drop("bucket").select("doc_id", "text", "th", "rid", bucket, "place.guest")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
