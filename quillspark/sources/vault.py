@@ -8,8 +8,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.frontmatter import with_header
 from quillspark.functions.text import basename, folder, inline_tags, tokens
 
+NOTES = "note_id string, path string, title string, body string, content_hash string, tags array<string>, aliases array<string>, created timestamp_ntz, folder string, token_estimate long"
+
 
 def note_paths(root: str, exclude: tuple[str, ...] = ("trash/**",)) -> list[str]:
     """Relative paths of the notes, by path parts: no dot files or folders, no excluded globs ('*' crosses slashes)."""
@@ -25,7 +28,7 @@ def load_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("tras
     """Notes of a folder: texts are read by the executors from the listed paths, bad bytes become U+FFFD."""
     paths = note_paths(root, exclude)
     if not paths:
-        return spark.createDataFrame([], "note_id string, path string, title string, body string, content_hash string, tags array<string>, folder string, token_estimate long")
+        return spark.createDataFrame([], NOTES)
 
     def read(batches):
         for pdf in batches:
@@ -33,10 +36,12 @@ def load_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("tras
             yield pdf
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(read, "path string, raw string")
-    head = r"(?s)^---\s*\n.*?\n---\s*(?:\n|$)"
-    rows = files.withColumn("body", F.trim(F.regexp_replace("raw", head, "")))
-    rows = rows.withColumn("note_id", F.regexp_replace("path", r"\.md$", ""))
-    return rows.select("note_id", "path", basename(F.col("note_id")).alias("title"), "body", F.sha2(F.col("body").cast("binary"), 256).alias("content_hash"), inline_tags(F.col("body")).alias("tags"), folder(F.col("note_id")).alias("folder"), tokens(F.col("body")).alias("token_estimate"))
+    rows = with_header(files).withColumn("note_id", F.regexp_replace("path", r"\.md$", ""))
+    body, tags = F.col("body"), F.array_distinct(F.concat("fm_tags", inline_tags(F.col("body"))))
+    return rows.select(
+        "note_id", "path", basename(F.col("note_id")).alias("title"), "body", F.sha2(body.cast("binary"), 256).alias("content_hash"), tags.alias("tags"),
+        "aliases", "created", folder(F.col("note_id")).alias("folder"), tokens(body).alias("token_estimate"),
+    )
 
 
 def document_notes(docs: DataFrame) -> DataFrame:
