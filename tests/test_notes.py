@@ -23,7 +23,7 @@ def test_small_sections_go_to_their_next_sibling():
 
 def test_large_sections_are_split_with_overlap():
     got = C.pieces("# H\n\n" + "word " * 1000, 100, 0, 10)
-    assert len(got) > 1 and all(len(p.text.split()) <= 110 for p in got) and got[1].text.startswith("word " * 9 + "word\n\n")
+    assert len(got) > 1 and all(len(p.text.split()) <= 110 for p in got) and got[1].text.startswith("# H\n\nword ") and got[2].text.startswith("word " * 9 + "word\n\n")
     assert [p.text for p in C.pieces("a b c. d e! f g h i j k l", 5, 0, 0)] == ["a b c. d e!", "f g h i j", "k l"]
     code = "```\n" + "\n".join(f"l{i}" for i in range(6)) + "\n```\nafter"
     assert [p.text for p in C.pieces(code, 8, 0, 0)] == [code.rsplit("\n", 1)[0], "after"]
