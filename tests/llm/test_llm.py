@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from quillspark.llm import cws, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, queries, sharding, substring_dedup, topk
+from quillspark.llm import components, cws, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, queries, sharding, substring_dedup, topk
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,6 +125,19 @@ def test_jaccard_join_is_brute_force(spark, monkeypatch):
     assert rows(jaccard_rtree.near_groups(frame(spark, docs))) == components_of(docs)
 
 
+@pytest.mark.parametrize("part_links", [5, 1000])
+def test_components_in_parts(spark, monkeypatch, part_links):
+    monkeypatch.setattr(components, "PART_LINKS", part_links)
+    rnd = random.Random(2)
+    pairs = [(i, i + 1) for i in range(12)] + [(rnd.randrange(20, 60), rnd.randrange(20, 60)) for _ in range(24)] + [(3, 3), (None, 4), (4, 5), (5, 4)]
+    up = list(range(61))
+    for a, b in [p for p in pairs if None not in p] * 61:
+        up[a] = up[b] = min(up[a], up[b])
+    want = {(x, up[x]) for p in pairs if None not in p and p[0] != p[1] for x in p}
+    got = [tuple(r) for r in components.components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("name", ["op2_exact_top_k", "op4_mix_sources"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
