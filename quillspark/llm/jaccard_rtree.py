@@ -168,13 +168,15 @@ def _sets(batches):
             ], names=["doc_id", "rid", "n", "lo", "hi", "head", "counts"])
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """In each group of documents with a common shingle: a forest over the pairs that the tree's bound allows."""
-    g, rid = table.column("grp").to_numpy(), table.column("rid").to_numpy()
-    points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
-    top = table.column("top").to_numpy().view(np.uint64).tolist()
-    cells = table.column("names").combine_chunks()
-    names, at = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
+def _candidates(groups: pa.Table, docs: pa.Table) -> pa.Table:
+    """In the part's groups of documents with a common shingle: a forest over the pairs that the tree's bound allows."""
+    docs = docs.sort_by("rid")
+    rid = docs.column("rid").to_numpy()
+    points = np.frombuffer(b"".join(docs.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
+    top = docs.column("top").to_numpy().view(np.uint64).tolist()
+    names, at = _cells(docs.column("names"))
+    members, cuts = _cells(groups.column("members"))
+    place = np.searchsorted(rid, members)
     size = points.sum(axis=1)
     beyond = (size - head_size(size)).tolist()
     size = size.tolist()
@@ -184,21 +186,29 @@ def _candidates(table: pa.Table) -> pa.Table:
         common = len(np.intersect1d(names[at[i] : at[i + 1]], names[at[j] : at[j + 1]], assume_unique=True))
         return linked(common + (beyond[i] if top[i] <= top[j] else beyond[j]), size[i], size[j])
 
-    order = np.lexsort((rid, g))
-    cuts = np.append(np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1])), len(order))
     out: tuple[list, list] = ([], [])
-    for x, y in zip(cuts, cuts[1:], strict=False):
-        rows = order[x:y]
-        forest = Forest(len(rows))
+    forest = Forest(len(rid))
+    for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        rows = place[x:y]
+        if len({forest.find(i) for i in rows.tolist()}) == 1:
+            continue
         for a, b in CountRTree(points[rows]).pairs():
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                if forest.find(i) != forest.find(j) and may(rows[i], rows[j]):
+            for i, j in zip(rows[a].tolist(), rows[b].tolist(), strict=True):
+                if forest.find(i) != forest.find(j) and may(i, j):
                     forest.join(i, j)
-                    out[0].append(rid[rows[i]])
-                    out[1].append(rid[rows[j]])
+                    out[0].append(rid[i])
+                    out[1].append(rid[j])
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
+def _cells(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values, and each cell's place among them."""
+    cells = column.combine_chunks()
+    cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells
+    n = pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    return cells.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n))
+
+
 def _verified(table: pa.Table) -> pa.Table:
     """In each tile of candidates: links, by exact overlap; pairs that are joined already need none."""
     out: tuple[list, list] = ([], [])
@@ -259,19 +269,26 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     counts = "doc_id long, rid long, n long, lo long, hi long, head array<long>, counts binary"
     sets = written(rows.mapInArrow(_sets, counts), "sets")
     classes = written(sets.where("n > 0").groupBy("n", "lo", "hi").agg(F.min("rid").alias("rid")), "classes")
-    heads = sets.select("rid", "head", "counts").join(classes.select("rid"), "rid", "left_semi")
+    # Rows of a class but its first; mostly few, whereas a join by rid would move every head.
+    first = classes.withColumnRenamed("rid", "class")
+    copies = written(sets.select("rid", "n", "lo", "hi").join(first, ["n", "lo", "hi"]).where("rid <> class").select("rid"), "copies")
+    heads = sets.where("n > 0").select("rid", "head").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "rid", "left_anti")
     entries = heads.select("rid", F.explode("head").alias("name"))
     often = entries.groupBy("name").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = written(entries.join(often, "name"), "shared")
     lists = shared.groupBy("rid").agg(F.collect_list("name").alias("names"))
     hottest = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("often").desc(), "name"))
     led = shared.withColumn("place", hottest).join(sets.select("rid", "n"), "rid").where(F.col("place") > F.floor(F.col("n") / 16))
-    met = _tiled(led, "often", "rid", BLOCK).select("name", "lo", "hi", "rid").groupBy("name", "lo", "hi").agg(F.sort_array(F.collect_set("rid")).alias("members"))
+    met = _tiled(led, "often", "rid", BLOCK).groupBy("name", "lo", "hi").agg(F.sort_array(F.collect_set("rid")).alias("members"), F.first("often").alias("often"))
     # Shingles of one passage have the same documents; these are joined once.
-    groups = met.where("size(members) > 1").groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"))
-    groups = groups.select("grp", F.explode("members").alias("rid")).join(sets.select("rid", "counts", F.try_element_at("head", F.lit(-1)).alias("top")), "rid").join(lists, "rid")
-    parts = F.pmod(F.xxhash64("grp"), F.lit(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    maybe = groups.withColumn("part", parts).groupBy("part").applyInArrow(lambda t: _candidates(t), "a long, b long")
+    groups = met.where("size(members) > 1").groupBy(F.xxhash64("members").alias("grp")).agg(F.first("members").alias("members"), F.max("often").alias("often"))
+    # Groups with one first document share a part, so that a part gets its documents once, not once a group; tiles of a hot shingle go their own ways.
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first_of = F.when(F.col("often") > BLOCK, F.col("grp")).otherwise(F.col("members")[0])
+    groups = written(groups.select(F.pmod(F.xxhash64(first_of), F.lit(parts)).cast("int").alias("part"), "members"), "groups")
+    needed = groups.select(F.col("part").alias("home"), F.explode("members").alias("rid")).distinct()
+    met_docs = needed.join(sets.select("rid", "counts", F.try_element_at("head", F.lit(-1)).alias("top")), "rid").join(lists, "rid")
+    maybe = groups.groupBy("part").cogroup(met_docs.groupBy("home")).applyInArrow(lambda g, d: _candidates(g, d), "a long, b long")
     found = components(maybe)
     sized = written(found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("often")), "component").select(F.col("node").alias("rid"), "component", "often"), "candidates")
     n_found = sized.count()
