@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspark.llm.common import lowered, mixed, slices, span_hashes, word_spans
+from quillspark.llm.common import lowered, mixed, slices, span_hashes, text_buffers, word_spans
 
 #: Hashed n-gram indicators; bytes of the character n-grams.
 BITS, GRAM = 18, 4
@@ -72,14 +73,13 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     """Weights and bias of min |w|^2 / 2 + sum cost_i max(0, 1 - y_i (w x_i + b)) with x_i the ratios at the row's indicators, scaled to unit length."""
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
-    values = []
-    for f in rows:
-        x = ratio[f]
-        values.append(x / (np.sqrt((x * x).sum()) or 1.0))
+    # The scaled values are made again at each visit: kept, they would take twice the room of the rows.
+    norms = [np.sqrt((ratio[f] * ratio[f]).sum()) or 1.0 for f in rows]
     random = np.random.default_rng(seed)
     for _ in range(passes):
         for i in random.permutation(len(rows)).tolist():
-            f, x = rows[i], values[i]
+            f = rows[i]
+            x = ratio[f] / norms[i]
             gradient = y[i] * (w[f] @ x + bias) - 1
             q = x @ x + 1
             new = min(max(alpha[i] - gradient / q, 0.0), cost[i])
@@ -92,9 +92,13 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
 
 
 def _fit(table: pa.Table, ratio: np.ndarray) -> pa.Table:
-    table = table.sort_by("doc_id")
-    rows = [np.frombuffer(x.as_py(), np.int32) for x in table.column("f")]
-    y = np.where(table.column("quality").to_numpy() == 1, 1.0, -1.0)
+    order = pa.compute.sort_indices(table, [("doc_id", "ascending")]).to_numpy()
+    views = []
+    for chunk in table.column("f").chunks:
+        data, offsets = text_buffers(chunk)
+        views += [data[a:b].view(np.int32) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+    rows = [views[i] for i in order.tolist()]
+    y = np.where(table.column("quality").to_numpy()[order] == 1, 1.0, -1.0)
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     # Each class weighs the same as a whole.
     cost = COST * len(y) * 0.5 / (np.where(y > 0, share[1], share[0]) * len(y)) * 100
