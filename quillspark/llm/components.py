@@ -52,7 +52,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     on a side are left out; repeated links and loops don't matter.
     """
     fine = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = written(fine.mapInArrow(_forest, "a long, b long"), "links")
+    edges = written(fine, "links")
     for _ in range(most_rounds):
         parts = -(-edges.count() // PART_LINKS)
         edges = written(edges.coalesce(max(1, parts)).mapInArrow(_forest, "a long, b long"), "links")
