@@ -3,6 +3,7 @@ folder, and word splitting over whole Arrow buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the Arrow functions work on at a time (a longer text is worked on alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
+#: The C library's own, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +57,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch, text: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about ``most`` bytes of text: (first row, end row, bytes, offsets)."""
     data, offsets = text_buffers(batch.column(text))
@@ -62,6 +72,7 @@ def slices(batch, text: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -97,7 +108,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        m = max(n, SLICE_BYTES * 2) + 1
+        m = max(n, SLICE_BYTES) + 1
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(m, b, np.uint64)
             p[0] = 1

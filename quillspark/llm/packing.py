@@ -16,6 +16,10 @@ from quillspark.llm.common import ranges, slices, span_hashes
 LENGTH, END = 2048, 1
 #: Documents of a group that is packed in one go; encoded chunks that a worker remembers.
 GROUP_DOCS, MOST_CHUNKS = 2048, 600_000
+#: Chunks that the tokenizer is given at a time: what it returns for one is many times its size.
+STEP = 8192
+#: Bytes of text whose distinct chunks are looked up at a time.
+ENCODE_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, uid long"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -101,9 +105,11 @@ class ChunkedEncoder:
             first = np.full(len(names), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             raw = data.tobytes()
-            texts = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[new].tolist()]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self.remember([int(names[i]) for i in new], got)
+            for s in range(0, len(new), STEP):
+                some = new[s : s + STEP]
+                texts = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[some].tolist()]
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                self.remember([int(names[i]) for i in some], got)
             for i in new:
                 slots[i] = known[int(names[i])]
         slot = np.array(slots, np.int64)[codes]
@@ -133,7 +139,7 @@ def _pieces(batches, path: str, groups: int):
     task, row = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids_in = batch.column("doc_id").to_pylist()
-        for i, j, data, offsets in slices(batch, "text"):
+        for i, j, data, offsets in slices(batch, "text", ENCODE_BYTES):
             ids, place = encoder.encode(data, offsets)
             cols: list[list] = [[] for _ in range(7)]
             for d in range(j - i):
