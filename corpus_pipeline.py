@@ -32,7 +32,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids in sequences, a row a piece."""
+    """The documents' ids in sequences, a row a piece with its ids."""
     return packing.packed(docs, tokenizer_path())
 
 

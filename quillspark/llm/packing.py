@@ -11,17 +11,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ranges, slices, span_hashes
+from quillspark.llm.common import ranges, release, slices, span_hashes, text_buffers
 
 LENGTH, END = 2048, 1
 #: Documents of a group that is packed in one go; encoded chunks that a worker remembers.
 GROUP_DOCS, MOST_CHUNKS = 2048, 600_000
+#: Bytes of text of a group at most, on the average: long documents make more groups.
+GROUP_BYTES = 64 << 20
 #: Chunks that the tokenizer is given at a time: what it returns for one is many times its size.
 STEP = 8192
 #: Bytes of text whose distinct chunks are looked up at a time.
 ENCODE_BYTES = 2 << 20
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, uid long"
-OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, grp long, row_id long"
+OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, row_id long, sequence_id long, offset long"
 
 
 class Tournament:
@@ -67,6 +69,8 @@ class ChunkedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: What ids travel as: 16 bits where all fit.
+        self.travel = "<u2" if max([END, *self.tokenizer.get_vocab().values()]) < 1 << 16 else "<u4"
         self.forget()
 
     def forget(self) -> None:
@@ -134,33 +138,50 @@ class ChunkedEncoder:
 _ENCODERS: dict[str, ChunkedEncoder] = {}
 
 
+def _cells(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids as binary cells that end at these bytes, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+
+
 def _pieces(batches, path: str, groups: int):
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkedEncoder(path))
     task, row = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids_in = batch.column("doc_id").to_pylist()
+        ids_in = batch.column("doc_id")
         for i, j, data, offsets in slices(batch, "text", ENCODE_BYTES):
             ids, place = encoder.encode(data, offsets)
-            cols: list[list] = [[] for _ in range(7)]
-            for d in range(j - i):
-                mine = np.append(ids[place[d] : place[d + 1]], np.uint32(END))
-                # The row's number, not its id, deals it to a group: repeated ids are spread.
-                uid = (task << 34) + row
-                group = zlib.crc32(uid.to_bytes(8, "little")) % groups
-                row += 1
-                for start in range(0, len(mine), LENGTH):
-                    part = mine[start : start + LENGTH]
-                    for col, x in zip(cols, (ids_in[i + d], start, len(part), zlib.crc32(part.tobytes()), len(mine), group, uid), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "uid"])
+            place = place + np.arange(len(place))
+            mark = np.ones(int(place[-1]), bool)
+            mark[place[1:] - 1] = False
+            full = np.full(len(mark), END, encoder.travel)
+            full[mark] = ids
+            # The row's number, not its id, deals it to a group: repeated ids are spread.
+            uid = (task << 34) + np.arange(row, row + j - i)
+            row += j - i
+            group = np.array([zlib.crc32(u.to_bytes(8, "little")) % groups for u in uid.tolist()], np.int64)
+            sizes = np.diff(place)
+            parts = -(-sizes // LENGTH)
+            of = np.repeat(np.arange(j - i), parts)
+            start = ranges(np.zeros(len(parts), np.int64), parts) * LENGTH
+            length = np.minimum(LENGTH, sizes[of] - start)
+            # Pieces stand in the order of the ids, so their bytes are those of the ids as they are.
+            held = _cells(full, np.append(0, np.cumsum(length * full.itemsize)))
+            doc = ids_in.slice(i, j - i).take(pa.array(of))
+            cols = [doc, pa.array(start), pa.array(length), held, *(pa.array(c[of]) for c in (sizes, group, uid))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids", "doc_tokens", "grp", "row_id"])
 
 
 def _pack(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-    pieces = pieces.sort_by([("length", "descending"), ("uid", "ascending"), ("start", "ascending")])
-    places = first_fit_decreasing(pieces.column("length").to_pylist(), LENGTH)
-    sequence = [(key[0].as_py() << 24) + b for b, _ in places]
-    out = pieces.drop_columns(["grp", "uid"])
-    return out.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array([o for _, o in places], pa.int64()))
+    length, row, start = (np.asarray(pieces.column(k)) for k in ("length", "row_id", "start"))
+    order = np.lexsort((start, row, -length))
+    at = np.empty((len(order), 2), np.int64)
+    at[order] = first_fit_decreasing(length[order].tolist(), LENGTH)
+    data, ends = text_buffers(pieces.column("ids"))
+    if len(data) == 2 * length.sum():
+        data, ends = data.view("<u2").astype("<u4"), 2 * ends
+    out = pieces.drop_columns(["grp"]).set_column(pieces.schema.get_field_index("ids"), "ids", _cells(data, ends))
+    release()
+    return out.append_column("sequence_id", pa.array((key[0].as_py() << 24) + at[:, 0])).append_column("offset", pa.array(at[:, 1]))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -168,17 +189,20 @@ def packed(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
 
     A document is its text's ids and then id 1.  It is cut into pieces of 2048 and one
     shorter piece.  Documents are dealt at random (by a hash of their row's place in the
-    input) to groups of about ``group_docs``; in each group the pieces are packed first-fit
-    decreasing.  Groups are independent, so tasks stay bounded whatever the input; a group
-    pads about one sequence more than the whole would.
+    input) to groups of about ``group_docs``, or of 64 MB of text if that is less; in each
+    group the pieces are packed first-fit decreasing.  Groups are independent, so tasks stay
+    bounded whatever the input; a group pads about one sequence more than the whole would.
 
     Nulls: a null text counts as empty (one id), a null id is kept.  Repeated rows are
     packed one by one.  Equal lengths are packed in row order.  An empty table gives an
     empty result.  Other columns are not read.
 
-    Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    Returns per piece: doc_id, start, length, ids (32-bit little-endian numbers, one after
+    the other), doc_tokens, row_id (of the input's row, so that copies of one id can be told
+    apart), sequence_id, offset, and ids_crc32 of ids.  A sequence is its pieces' ids by offset.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text)))).first()
+    groups = max(1, -(-n // group_docs), -(-(size or 0) // GROUP_BYTES))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = rows.mapInArrow(lambda it: _pieces(it, tokenizer_path, groups), PIECES)
-    return pieces.groupBy("grp").applyInArrow(_pack, OUT)
+    return pieces.groupBy("grp").applyInArrow(_pack, OUT).withColumn("ids_crc32", F.crc32("ids"))

@@ -41,7 +41,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    out = packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,27 @@ def test_packing_round_trip(spark):
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
 
 
+def test_packing_keeps_the_ids(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    path = queries.tokenizer_path()
+    # Two copies of each id, as the mix makes them, and texts of no piece, one and many.
+    docs = [*some(9, 20), *some(9, 20), (None, "x " * 5000), (78, "\u00c7a va?  \n\n")]
+    got = corpus_pipeline.sequences(spark, frame(spark, docs), SF).collect()
+    tok, sequences, texts = Tokenizer.from_file(path), defaultdict(dict), defaultdict(list)
+    for r in got:
+        ids = [int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4)]
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        sequences[r.sequence_id][r.offset] = ids
+        texts[r.row_id, r.doc_id].append((r.start, ids))
+    for s in sequences.values():
+        assert len([x for o in sorted(s) for x in s[o]]) == max(o + len(s[o]) for o in s) <= 2048
+    whole = Counter((d, tuple(x for _, ids in sorted(p) for x in ids)) for (_, d), p in texts.items())
+    assert whole == Counter((i, (*tok.encode(t or "", add_special_tokens=False).ids, 1)) for i, t in docs)
+
+
 def test_shards_even_and_gapless(spark):
     docs = [*some(4), *[(2000 + i, f"t{i}") for i in range(200)]]
     got = sharding.lpt_shards(frame(spark, docs), n_shards=4).collect()
