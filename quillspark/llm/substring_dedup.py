@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import _powers, batched, bucket_bits, bucket_cuts, joined, mixed, ranges, span_hashes, table_slices, word_spans
 
@@ -204,7 +203,7 @@ def _first(table: pa.Table) -> pa.Table:
 
 def _remove(table: pa.Table, replies: pa.Table) -> pa.Table:
     """Remove the words of all windows with a shared anchor that aren't the first of their kind."""
-    cols: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256")}
+    parts = [pa.table({"rid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})]
     if len(table):
         batch = _Batch(table, True)
         mine = batch.candidates(np.sort(_told(replies, 0, "a", np.uint64)))
@@ -216,7 +215,6 @@ def _remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         key = where(batch.row[mine], batch.start[mine])
         late = mine[~np.isin(key, where(row, start), assume_unique=True)]
         late_row, late_start = batch.row[late], batch.start[late].astype(np.int64)
-        ids = batch.table.column("doc_id").to_pylist()
         for i, j, data, offsets in table_slices(batch.table):
             s, e, place = word_spans(data, offsets)
             x, y = np.searchsorted(late_row, [i, j])
@@ -230,17 +228,20 @@ def _remove(table: pa.Table, replies: pa.Table) -> pa.Table:
             text = data[np.minimum(ranges(ks, sizes), len(data) - 1)] if len(ks) else np.zeros(0, np.uint8)
             ends = np.cumsum(sizes)
             text[ends - 1] = 32
-            raw, ends = memoryview(text.tobytes()), np.append(0, ends)
             kept = np.append(0, np.cumsum(keep))[place]
-            for d in range(j - i):
-                a, b = ends[kept[d]], ends[kept[d + 1]]
-                n, k = int(place[d + 1] - place[d]), int(kept[d + 1] - kept[d])
-                for col, v in zip(cols.values(), (ids[i + d], n, n - k, hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest()), strict=True):
-                    col.append(v)
-    return pa.table({k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in cols.items()})
-
-
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+            n, k = np.diff(place), np.diff(kept)
+            # A text ends before the space behind its last word.
+            solid = np.ones(len(text), bool)
+            bytes_ = np.append(0, ends)[kept]
+            solid[bytes_[1:][k > 0] - 1] = False
+            text, bytes_ = text[solid], bytes_ - np.append(0, np.cumsum(k > 0))
+            texts = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(bytes_.astype(np.int32)), pa.py_buffer(text)])
+            own = batch.table.slice(i, j - i)
+            parts.append(pa.table({"rid": own.column("rid"), "doc_id": own.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(n - k), "kept": texts}))
+    return pa.concat_tables(parts)
+
+
+def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Remove every word covered by a window of 20 words whose word sequence also starts earlier.
 
     Texts travel once, in batches.  Rounds of recompression name runs and pairs of
@@ -256,7 +257,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text has no words.  Repeated rows: the first keeps its words.  An empty table gives an
     empty result.  Other columns are not read.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by a space).
+    Returns rid (the number of the input's row), doc_id, n_words, n_removed, kept (the words kept, joined by a space).
     """
     bits = bucket_bits(docs.sparkSession)
     rows, _ = batched(docs, doc_id, text, batch_bytes)
@@ -274,4 +275,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = asked.groupBy("bucket").applyInArrow(lambda t: _shared(t), reply)
     claims = by(rows).cogroup(by(shared)).applyInArrow(claim, "bucket int, batch int, name binary, anchor binary, doc_id binary, rid binary, start binary")
     first = claims.groupBy("bucket").applyInArrow(lambda t: _first(t), reply)
-    return by(rows).cogroup(by(shared.unionByName(first))).applyInArrow(lambda t, r: _remove(t, r), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return by(rows).cogroup(by(shared.unionByName(first))).applyInArrow(lambda t, r: _remove(t, r), "rid long, doc_id long, n_words long, n_removed long, kept string")
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Digests of ``kept_texts``: doc_id, n_words, n_removed, kept_sha256 (of the text kept)."""
+    out = kept_texts(docs, doc_id, text, batch_bytes)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -55,6 +55,15 @@ def test_substring_dedup_is_brute_force(spark):
     assert rows(substring_dedup.without_repeats(frame(spark, docs), batch_bytes=2000)) == sorted(want, key=repr)
 
 
+def test_substring_dedup_keeps_the_text(spark):
+    first, second = [" ".join(f"é{k}{j}" for j in range(25)) for k in "ab"]
+    docs = [(1, f"top  {first}\nend"), (2, f"new {second} mid {first} tail"), (2, first), (3, None), (4, ""), (None, f"{second} last")]
+    got = substring_dedup.kept_texts(frame(spark, docs), batch_bytes=300).collect()
+    assert len({r.rid for r in got}) == len(docs)
+    want = [(1, 27, 0, f"top {first} end"), (2, 53, 25, f"new {second} mid tail"), (2, 25, 25, ""), (3, 0, 0, ""), (4, 0, 0, ""), (None, 26, 25, "last")]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_ppm_is_brute_force(spark):
     docs = some(5, 25) + [(7002, "\x00 x\x00y  \n ÉaÿZ")]
     ctx, words, prep = [defaultdict(Counter) for _ in range(6)], Counter(), []
