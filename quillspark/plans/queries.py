@@ -75,11 +75,20 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return manifest.diff(hashed.where("note_id % 11 <> 0"), old)
 
 
-def sparse_weights(spark: SparkSession, d: str) -> DataFrame:
-    out = retrieval.term_weights(_docs(spark, d).where("lang = 'en'"), "doc_id", "text")
+def _weight_sums(docs: DataFrame) -> DataFrame:
+    out = retrieval.term_weights(docs, "doc_id", "text")
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
+def sparse_weights(spark: SparkSession, d: str) -> DataFrame:
+    """English documents only, as its SQL says; ``all_sparse_weights`` takes all."""
+    return _weight_sums(_docs(spark, d).where("lang = 'en'"))
+
+
+def all_sparse_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _weight_sums(_docs(spark, d))
+
+
 def fused_ranks(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     a = docs.select(F.lit(0).alias("list_no"), F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
@@ -98,7 +107,7 @@ def note_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLAGSHIP = dense_topk
-_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, fused_ranks, context_window, note_ids)
+_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, all_sparse_weights, fused_ranks, context_window, note_ids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,6 @@
+import re
 import uuid
+from collections import Counter
 
 import duckdb
 import pytest
@@ -28,6 +30,17 @@ def test_query_matches_sql(spark, name):
     assert sorted((tuple(_value(r[c]) for c in cols) for r in df.collect()), key=repr) == sorted((tuple(_value(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_sparse_weights_of_all_languages(spark, tmp_path):
+    docs = [(1, "the cat, the dog", "en"), (2, "l'été ÉTÉ à Paris", "fr"), (3, "über Über straße 12", "de"), (4, "niño niña", "es"), (5, "no language", None), (6, "", "fr"), (7, None, "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t, _ in docs:
+        if words := re.findall(r"[^\W_]+", (t or "").lower()):
+            tf = Counter(words)
+            want[i] = (len(tf), round(sum(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words) / 256)) for n in tf.values()), 4))
+    assert {r.doc_id: (r.terms, r.weight) for r in plans.queries()["all_sparse_weights"](spark, str(tmp_path)).collect()} == want
+
+
 def test_links_and_tags(spark):
     body = "see [[a]] [[b|x]] [[c#h]] [[d#^q]] ![[e]] ![[p.png]] [t](r/n.md) [u](http://x.org) `[[no]]` #one\n```\n[[no]] #no\n```\n#two/x #one"
     notes = spark.createDataFrame([("n", body)], "note_id string, body string")
