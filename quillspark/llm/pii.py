@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The forms looked for.  Each match is validated by its kind before it is replaced.
+_DOTTED = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\p{N})|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?!\p{N})"
+_DASHED = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{N}-])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\p{N})|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
+#: The forms looked for.  A card doesn't run into an address, date or number of another form.  Each match is validated by its kind before it is replaced.
 FORMS = (
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
@@ -16,9 +20,18 @@ FORMS = (
     r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\p{N})",
     r"(?<![\p{L}\p{N}])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\p{N})",
     r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
-    r"(?<![\p{L}\p{N}-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
+    rf"(?<![\p{{L}}\p{{N}}-])[0-9](?:(?:-(?!{_DOTTED})| (?!{_DOTTED}|{_DASHED}))?[0-9]){{12,18}}(?![\p{{L}}\p{{N}}])",
 )
 ANY = "|".join(FORMS)
+#: Where a form may begin if what stands before doesn't matter; runs of the characters that forms are made of, and of all others.
+ANYWHERE = f"(?={re.sub(r'[(][?]<!\[[^\]]*\][)]', '', ANY)})"
+RUNS = r"[\p{L}\p{N}._%+@()/ -]+|[^\p{L}\p{N}._%+@()/ -]+"
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31: 73049 = 17 * 4297, the two halves of a date's permutation.
 DAY_PARTS = (17, 4297)
@@ -118,6 +131,43 @@ def pseudonym(key: str) -> str:
     return _let("k", kind, f"if(k is null, null, {_let('s', core, _let('c', _codes('s'), inner))})")
 
 
+def cut(m: str) -> str:
+    """SQL for the part of a match that holds: of cards and account numbers with gaps the part up to a gap that validates, or ''.
+
+    An account number of its country's length comes first, then the longest; other kinds stay whole.
+    """
+    bare = "regexp_replace(v, '[ -]', '')"
+    size = " ".join(f"when substring({m}, 1, 2) in ({', '.join(repr(c) for c in names.split())}) then {n}" for n, names in IBAN_LENGTHS.items())
+    parts = f"transform(filter(sequence(char_length({m}), 12, -1), n -> substring({m}, n + 1, 1) in ('', ' ', '-') and substring({m}, n, 1) not in (' ', '-')), n -> substring({m}, 1, n))"
+    cards = f"filter({parts}, v -> char_length({bare}) between 13 and 19 and {_luhn(bare)} = 0)"
+    accounts = f"filter({parts}, v -> {_mod97(bare)} = 1)"
+    fits = f"filter(good, v -> char_length({bare}) = (case {size} end))"
+    rest = f"filter(good, v -> v = {m} or (case {size} end) is null)"
+    return f"""case when {m} rlike '^[0-9]+[ -]' and {m} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' then coalesce(get({cards}, 0), '')
+      when {m} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]* ' then {_let('good', accounts, f"coalesce(get({fits}, 0), get({rest}, 0), '')")}
+      else {m} end"""
+
+
+def _again(text: str) -> str:
+    """SQL for (text before, match) pairs where a match that is cut short or given up lets the search go on behind it or its first number.
+
+    Runs are searched one by one, as no form goes beyond one; a run's steps are at most the places where a form may begin.
+    """
+    form, where, runs = (f"r'{x}'" for x in (ANY, ANYWHERE, RUNS))
+    none = "cast(array() as array<struct<s: string, m: string>>)"
+    # What is skipped without a match: the first number of the match, up to its first gap.
+    skip = "char_length(regexp_extract(f, '^[^ -]+', 0))"
+    taken = "named_struct('out', concat(z.out, array(named_struct('s', concat(z.tail, substring(z.rest, 1, at - 1)), 'm', g))), 'tail', '', 'rest', substring(z.rest, at + char_length(g)))"
+    left = f"named_struct('out', z.out, 'tail', concat(z.tail, substring(z.rest, 1, at - 1 + {skip})), 'rest', substring(z.rest, at + {skip}))"
+    end = "named_struct('out', z.out, 'tail', concat(z.tail, z.rest), 'rest', '')"
+    found = _let("at", f"regexp_instr(z.rest, {form})", _let("g", cut("f"), f"if(g = '', {left}, {taken})"))
+    chosen = f"if(f = '', {end}, {found})"
+    step = f"if(z.rest = '', z, {_let('f', f'regexp_extract(z.rest, {form}, 0)', chosen)})"
+    start = f"named_struct('out', {none}, 'tail', '', 'rest', run)"
+    close = "concat(z.out, array(named_struct('s', concat(z.tail, z.rest), 'm', cast(null as string))))"
+    return f"flatten(transform(regexp_extract_all({text}, {runs}, 0), run -> aggregate(sequence(0, regexp_count(run, {where})), {start}, (z, o) -> {step}, z -> {close})))"
+
+
 def pseudonymised(docs: DataFrame, key: str = "quillspark", text: str = "text", count: str = "n_replaced") -> DataFrame:
     """Replace validated personal numbers, dates, addresses and secrets in ``text`` by keyed pseudonyms of the same form.
 
@@ -125,6 +175,8 @@ def pseudonymised(docs: DataFrame, key: str = "quillspark", text: str = "text",
     (octets), dates of 1900 to 2099 (calendar), phone numbers, social security numbers,
     card numbers (Luhn).  A pseudonym is a keyed permutation within the value's form, so
     equal values stay equal across documents, unequal ones unequal, and checksums hold.
+    Of a card or account number that doesn't validate, the parts up to its gaps are tried,
+    and the search goes on behind the part that does, or else behind its first number.
     What doesn't validate stays as it is, and so does all other text.
 
     Nulls: a null text stays null with count 0.  Empty texts stay empty.  Rows are worked
@@ -136,7 +188,9 @@ def pseudonymised(docs: DataFrame, key: str = "quillspark", text: str = "text",
     body = F.col(text)
     found = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
     out = docs.withColumn("_found", F.when(body.isNotNull(), found).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_new", F.when(F.size("_found") > 0, F.expr(f"transform(_found, m -> {pseudonym(key)})")))
-    pieces = F.zip_with(F.split(body, ANY), F.zip_with("_found", "_new", lambda m, q: F.coalesce(q, m)), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
+    once = F.zip_with(F.split(body, ANY), "_found", lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+    out = out.withColumn("_pairs", F.when(F.size("_found") > 0, F.when(F.expr(f"exists(_found, m -> m <> {cut('m')})"), F.expr(_again(f"`{text}`"))).otherwise(once)))
+    out = out.withColumn("_new", F.expr(f"transform(_pairs.m, m -> if(m is null, null, {pseudonym(key)}))"))
+    pieces = F.zip_with("_pairs", "_new", lambda p, q: F.concat(p["s"], F.coalesce(q, p["m"], F.lit(""))))
     out = out.withColumn(count, F.coalesce(F.size(F.filter("_new", lambda q: q.isNotNull())), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col(count) > 0, F.array_join(pieces, "")).otherwise(body)).drop("_found", "_new")
+    return out.withColumn(text, F.when(F.col(count) > 0, F.array_join(pieces, "")).otherwise(body)).drop("_found", "_pairs", "_new")

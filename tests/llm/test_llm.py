@@ -232,6 +232,20 @@ def test_pseudonyms(spark):
     assert (got[3].text, got[4].text, got[6].text, got[6].n_replaced) == (None, "", "clean 12 words", 0)
 
 
+def test_pseudonyms_side_by_side(spark):
+    card, iban, short = "9807915762804495", "BE68539007547034", "NO9386011117947"
+    texts = [
+        (f"{card} 190.137.223.204", [card, "190.137.223.204"]), ("pay 4111 1111 1111 1111 123 now", ["4111 1111 1111 1111"]), (f"{iban} 2024", [iban]), (f"to {short} BIC, {card}", [short, card]),
+        ("BE68 5390 0754 7034 2024-02-29", ["BE68 5390 0754 7034", "2024-02-29"]), ("no 123 4111 1111 1111 1111 12", ["4111 1111 1111 1111"]), (f"{card} 4111111111111111", [card, "4111111111111111"]), ("4111111111111112 123", []), ("a@b.de\n4111 1111 1111 1112 77", ["a@"]),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)] + [(50, card), (51, iban)])).collect()}
+    for i, (t, gone) in enumerate(texts):
+        assert got[i].n_replaced == len(gone) and len(got[i].text) >= len(t) - 12, (t, got[i].text)
+        assert not any(g in got[i].text for g in gone), (t, got[i].text)
+    assert got[0].text.split()[0] == got[6].text.split()[0] == got[50].text and got[2].text == got[51].text + " 2024"
+    assert got[1].text.startswith("pay ") and got[1].text.endswith(" 123 now") and got[5].text.startswith("no 123 ") and got[5].text.endswith(" 12") and got[8].text.endswith("\n4111 1111 1111 1112 77")
+
+
 def test_permutation_is_one_to_one(spark):
     for n in (1, 2, 3):
         df = spark.range(10**n).selectExpr(f"transform(split(lpad(id, {n}, '0'), ''), x -> cast(x as bigint)) as all").selectExpr(f"slice(all, 1, {n}) as v")
