@@ -45,12 +45,15 @@ def load_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("tras
 
 
 def document_notes(docs: DataFrame) -> DataFrame:
-    """Documents as notes: id by source, language and number; a first line links an exact id, an upper-case name and a missing note."""
+    """Documents as notes: id by source, language and number; a first line links an exact id, an upper-case name and a missing note.
+
+    A link whose document isn't there, as numbers have gaps, is left out; the note stays."""
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     ident = docs.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("-"), "doc_id").alias("id"), F.concat("lang", F.lit("-"), "doc_id").alias("name"))
     rows = docs.crossJoin(F.broadcast(n)).withColumn("a", (F.col("doc_id") * 7 + 1) % F.col("n_docs")).withColumn("b", (F.col("doc_id") * 13 + 5) % F.col("n_docs"))
-    rows = rows.join(ident.select(F.col("doc_id").alias("a"), F.col("id").alias("id_a")), "a").join(ident.select(F.col("doc_id").alias("b"), F.upper("name").alias("name_b")), "b").join(ident, "doc_id")
-    first = F.concat(F.lit("[["), "id_a", F.lit("]] [["), "name_b", F.lit("]] [[missing-"), F.col("doc_id") % 17, F.lit("]]\n"))
+    rows = rows.join(ident.select(F.col("doc_id").alias("a"), F.col("id").alias("id_a")), "a", "left").join(ident.select(F.col("doc_id").alias("b"), F.upper("name").alias("name_b")), "b", "left").join(ident, "doc_id")
+    links = [F.concat(F.lit("[["), x, F.lit("]]")) for x in ("id_a", "name_b", F.concat(F.lit("missing-"), F.col("doc_id") % 17))]
+    first = F.concat(F.concat_ws(" ", *links), F.lit("\n"))
     return rows.select(
         "doc_id", F.col("id").alias("note_id"), F.col("name").alias("title"), F.concat(first, F.coalesce("text", F.lit(""))).alias("body"), F.array("lang", F.concat(F.lit("t"), F.col("doc_id") % 7)).alias("tags"),
         F.array().cast("array<string>").alias("aliases"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 365).cast("int")).alias("created"), folder(F.col("id")).alias("folder"), tokens(F.col("text")).alias("token_estimate"),

@@ -41,6 +41,17 @@ def test_sparse_weights_of_all_languages(spark, tmp_path):
     assert {r.doc_id: (r.terms, r.weight) for r in plans.queries()["all_sparse_weights"](spark, str(tmp_path)).collect()} == want
 
 
+def test_notes_stay_where_numbers_have_gaps(spark, tmp_path):
+    docs = [(i, f"text {i}", "en", "src0") for i in (0, 1, 5, 9)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = plans.queries()
+    assert sorted(r.note_id for r in run["note_ids"](spark, str(tmp_path)).collect()) == [f"src0/en-{i}" for i in (0, 1, 5, 9)]
+    assert {r.tag: r.n for r in run["top_tags"](spark, str(tmp_path)).collect()} == {"en": 4, "t0": 1, "t1": 1, "t2": 1, "t5": 1}
+    # (7 i + 1) % 4 and (13 i + 5) % 4 of 0, 1, 5 and 9: 1, 0, 0, 0 and 1, 2, 2, 2.
+    got = sorted((r.note_id, r.target_raw, r.target_note_id) for r in run["resolved_links"](spark, str(tmp_path)).collect() if r.target_note_id)
+    assert got == [("src0/en-0", "EN-1", "src0/en-1"), ("src0/en-0", "src0/en-1", "src0/en-1"), *((f"src0/en-{i}", "src0/en-0", "src0/en-0") for i in (1, 5, 9))]
+
+
 def test_links_and_tags(spark):
     body = "see [[a]] [[b|x]] [[c#h]] [[d#^q]] ![[e]] ![[p.png]] [t](r/n.md) [u](http://x.org) `[[no]]` #one\n```\n[[no]] #no\n```\n#two/x #one"
     notes = spark.createDataFrame([("n", body)], "note_id string, body string")
