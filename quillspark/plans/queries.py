@@ -68,13 +68,23 @@ def graph_hubs(spark: SparkSession, d: str) -> DataFrame:
     return graph.hubs(*_graph(spark, d), threshold=3)
 
 
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.col("doc_id").alias("note_id"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+
+
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    hashed = docs.select(F.col("doc_id").alias("note_id"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    hashed = _hashed(spark, d)
     old = hashed.where("note_id % 10 <> 0").withColumn("content_hash", F.when(F.col("note_id") % 7 == 0, "other").otherwise(F.col("content_hash")))
     return manifest.diff(hashed.where("note_id % 11 <> 0"), old)
 
 
+def all_manifest_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table against a perturbed copy: some notes renamed (added and deleted), some changed."""
+    hashed, n = _hashed(spark, d), F.col("note_id")
+    old = hashed.select(F.when(n % 10 == 0, -n - 1).otherwise(n).alias("note_id"), F.when(n % 7 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"))
+    return manifest.diff(hashed, old)
+
+
 def _weight_sums(docs: DataFrame) -> DataFrame:
     out = retrieval.term_weights(docs, "doc_id", "text")
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
@@ -96,6 +106,14 @@ def fused_ranks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.rank_fusion(a.unionByName(b)).select("chunk_id", F.round("score", 9).alias("score"), F.col("best").cast("long").alias("best"))
 
 
+def all_fused_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in two lists: by length, and by a hash of the text."""
+    docs = _docs(spark, d)
+    a = docs.select(F.lit(0).alias("list_no"), F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
+    b = docs.select(F.lit(1).alias("list_no"), F.col("doc_id").alias("chunk_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("double").alias("score"))
+    return retrieval.rank_fusion(a.unionByName(b)).select("chunk_id", F.round("score", 9).alias("score"), F.col("best").cast("long").alias("best"))
+
+
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     ranked = _docs(spark, d).select(F.col("doc_id").alias("rank"), T.tokens(F.col("text")).alias("token_estimate"))
     return retrieval.context(ranked).select("rank", "key", "token_estimate")
@@ -107,7 +125,7 @@ def note_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLAGSHIP = dense_topk
-_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, all_sparse_weights, fused_ranks, context_window, note_ids)
+_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, all_manifest_diff, sparse_weights, all_sparse_weights, fused_ranks, all_fused_ranks, context_window, note_ids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

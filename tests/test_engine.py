@@ -1,5 +1,6 @@
 import re
 import uuid
+import zlib
 from collections import Counter
 
 import duckdb
@@ -52,6 +53,20 @@ def test_notes_stay_where_numbers_have_gaps(spark, tmp_path):
     assert got == [("src0/en-0", "EN-1", "src0/en-1"), ("src0/en-0", "src0/en-1", "src0/en-1"), *((f"src0/en-{i}", "src0/en-0", "src0/en-0") for i in (1, 5, 9))]
 
 
+def test_manifest_and_fusion_of_whole_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "n_chars").collect()
+    got = {(r.note_id, r.change) for r in plans.queries()["all_manifest_diff"](spark, SF).collect()}
+    want = {(i, "added" if i % 10 == 0 else "modified" if i % 7 == 0 else "unchanged") for i in (r.doc_id for r in docs)}
+    assert got == want | {(-r.doc_id - 1, "deleted") for r in docs if r.doc_id % 10 == 0}
+    score, best = Counter(), {}
+    for key in (lambda r: r.n_chars, lambda r: zlib.crc32((r.text or "").encode())):
+        for n, r in enumerate(sorted(docs, key=lambda r: (-key(r), r.doc_id))[:50], 1):
+            score[r.doc_id] += 1 / (60 + n)
+            best[r.doc_id] = min(n, best.get(r.doc_id, n))
+    fused = plans.queries()["all_fused_ranks"](spark, SF).collect()
+    assert {r.chunk_id: r.best for r in fused} == best and all(abs(r.score - score[r.chunk_id]) < 1e-8 for r in fused)
+
+
 def test_links_and_tags(spark):
     body = "see [[a]] [[b|x]] [[c#h]] [[d#^q]] ![[e]] ![[p.png]] [t](r/n.md) [u](http://x.org) `[[no]]` #one\n```\n[[no]] #no\n```\n#two/x #one"
     notes = spark.createDataFrame([("n", body)], "note_id string, body string")
