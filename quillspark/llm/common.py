@@ -4,17 +4,19 @@ folder, and word splitting over whole Arrow buffers."""
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import Tables, written  # noqa: F401 - the operators take these from here
+
 #: Bytes of text that the Arrow functions work on at a time (a longer text is worked on alone).
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose messages a bucket takes, about.
+BUCKET_BYTES, MOST_BITS = 8 << 20, 16
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -25,23 +27,6 @@ _POWERS: list[np.ndarray] = []
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place is None:
-        place = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage in a form that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,7 +92,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+    if not _POWERS or len(_POWERS[0]) <= n:
         m = max(n, SLICE_BYTES) + 1
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(m, b, np.uint64)
@@ -140,16 +125,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int) -> tuple[DataFrame, int]:
     """Deal rows to batches of about ``batch_bytes`` of text, by a hash of the row's place in the
-    input (so that repeated ids are spread): (batch, rid, doc_id, text) and the number of batches."""
+    input (so that repeated ids are spread): (batch, rid, doc_id, text) and the bytes of all texts.
+
+    Use the rows through one exchange by batch only: another scan may number them in another way."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    return rows.withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int")), batches
+    return rows.withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int")), total
+
 
+def bucket_bits(total: int, most: int = BUCKET_BYTES) -> int:
+    """Bits of a hash that choose a bucket, so that a bucket has the messages of about ``most`` bytes of text.
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Bits of a hash that choose a bucket: more buckets than shuffle partitions, so that these are even."""
-    return max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    A batch sends a message to each bucket at most, so there are 2^MOST_BITS buckets at most; beyond that they grow."""
+    return min(MOST_BITS, max(6, (-(-total // most) - 1).bit_length()))
 
 
 def table_slices(table: pa.Table, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

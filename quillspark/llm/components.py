@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import Tables
 
 #: Links that a task joins in a forest of its own, about.
 PART_LINKS = 500_000
@@ -41,21 +41,24 @@ def _summary(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the least node that it is joined to.
 
     Every round joins the links of a part, about PART_LINKS, in a forest and keeps its stars.
     While there are more parts than one, a round of large and small stars follows: each node's
     larger neighbours, then its smaller ones, are joined to the least of them; the end is when
     that changes nothing, as every component is one star.  Every round is written to the
-    shared folder; only a count and a checksum reach the driver.  Links that are null
+    shared folder and the one before deleted; only a count and a checksum reach the driver.
+    Every round but the last lowers some node's least neighbour, so there is an end.  Links that are null
     on a side are left out; repeated links and loops don't matter.
     """
     fine = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = written(fine, "links")
-    for _ in range(most_rounds):
+    tables = Tables(links.sparkSession, "components")
+    edges = tables.write(fine, "links")
+    while True:
         parts = -(-edges.count() // PART_LINKS)
-        edges = written(edges.coalesce(max(1, parts)).mapInArrow(_forest, "a long, b long"), "links")
+        old, edges = edges, tables.write(edges.coalesce(max(1, parts)).mapInArrow(_forest, "a long, b long"), "stars")
+        tables.drop(old)
         if parts <= 1:
             break
         before = _summary(edges)
@@ -64,9 +67,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).join(least, F.col("u") == least.a).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
-        edges = written(small.where("a <> b").distinct(), "links")
+        old, edges = edges, tables.write(small.where("a <> b").distinct(), "links")
+        tables.drop(old)
         if _summary(edges) == before:
             break
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
