@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import zlib
+import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ranges, release, slices, span_hashes, text_buffers
+from quillspark.llm.common import mixed, ranges, release, slices, text_buffers
 
 LENGTH, END = 2048, 1
-#: Documents of a group that is packed in one go; encoded chunks that a worker remembers.
-GROUP_DOCS, MOST_CHUNKS = 2048, 600_000
+#: Documents of a group that is packed in one go.
+GROUP_DOCS = 2048
 #: Bytes of text of a group at most, on the average: long documents make more groups.
 GROUP_BYTES = 64 << 20
-#: Chunks that the tokenizer is given at a time: what it returns for one is many times its size.
-STEP = 8192
-#: Bytes of text whose distinct chunks are looked up at a time.
+#: Bytes of text whose ids are held at a time (a longer text is encoded alone).
 ENCODE_BYTES = 2 << 20
+#: Fixed value: where byte-level vocabularies split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, grp long, row_id long"
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, row_id long, sequence_id long, offset long"
 
@@ -57,85 +56,57 @@ def first_fit_decreasing(sizes: list[int], room: int) -> list[tuple[int, int]]:
     return out
 
 
-class ChunkedEncoder:
-    """The tokenizer's ids of whole texts, each distinct chunk encoded once in a while.
+class Encoder:
+    """A vocabulary file's ids of whole texts, as ``tokenizers`` gives them without special tokens added.
 
-    Texts are cut where the tokenizer's own first split always cuts: before a single space
-    between characters that aren't white space, and around such a line feed.  So the ids of
-    the chunks in order are the ids of the text.
+    For a plain byte-level vocabulary, its merges are run by ``tiktoken`` with the file's own ids as ranks, which gives the
+    same ids several times as fast; texts that hold an added token's own text, and all texts of any other
+    vocabulary, go to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab = self.tokenizer.get_vocab()
         #: What ids travel as: 16 bits where all fit.
-        self.travel = "<u2" if max([END, *self.tokenizer.get_vocab().values()]) < 1 << 16 else "<u4"
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        gap = np.flatnonzero((data == 32) | (data == 10))
-        gap = gap[(gap > 2) & (gap < len(data) - 1)]
-        before, after = data[gap - 1], data[gap + 1]
-        # White space of several bytes starts with C2 or E1 to E3; a cut beside such a character is left out.
-        fine = (before > 32) & (after > 32) & (after != 0xC2) & ((after < 0xE1) | (after > 0xE3))
-        fine &= (before < 128) | ((data[gap - 2] != 0xC2) & ((data[gap - 3] < 0xE1) | (data[gap - 3] > 0xE3)))
-        gap = gap[fine & (before != 0x7F) & (after != 0x7F)]
-        mark = np.zeros(len(data) + 1, bool)
-        mark[gap] = True
-        mark[gap[data[gap] == 10] + 1] = True
-        mark[offsets] = True
-        mark[len(data)] = False
-        return np.flatnonzero(mark)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, one after the other, and each text's place among them."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = self.cuts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        codes, names = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.known) + len(names) > MOST_CHUNKS:
-            self.forget()
-        known = self.known
-        slots = [known.get(h, -1) for h in names.tolist()]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
-            first = np.full(len(names), -1, np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            raw = data.tobytes()
-            for s in range(0, len(new), STEP):
-                some = new[s : s + STEP]
-                texts = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[some].tolist()]
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                self.remember([int(names[i]) for i in some], got)
-            for i in new:
-                slots[i] = known[int(names[i])]
-        slot = np.array(slots, np.int64)[codes]
-        sizes = self.starts[slot + 1] - self.starts[slot]
-        ids = self.ids[ranges(self.starts[slot], sizes)]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, upto[np.searchsorted(starts, offsets)]
-
-    def remember(self, hashes: list[int], got: list[list[int]]) -> None:
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32)
-        n, m = len(self.known), int(self.starts[len(self.known)])
-        while n + len(got) + 1 >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while m + len(flat) >= len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[m : m + len(flat)] = flat
-        self.starts[n + 1 : n + 1 + len(got)] = m + np.cumsum([len(x) for x in got])
-        for i, h in enumerate(hashes):
-            self.known[h] = n + i
-
-
-_ENCODERS: dict[str, ChunkedEncoder] = {}
+        self.travel = "<u2" if max([END, *vocab.values()]) < 1 << 16 else "<u4"
+        self.added = [t["content"] for t in file.get("added_tokens") or []]
+        self.fast = self._ranked(file)
+
+    @staticmethod
+    def _ranked(file: dict):
+        """The vocabulary as ranks, or None if it is more than merges of bytes by rank."""
+        model, first = file["model"], file.get("pre_tokenizer") or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if not plain or file.get("normalizer") or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            return None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"].get("".join(m), -1) for m in merges]
+        if any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or ids[:1] == [-1]:
+            return None
+        import tiktoken
+
+        byte = {c: b for b, c in enumerate(_byte_characters())}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
+        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text)
+
+
+def _byte_characters() -> list[str]:
+    """The character that a byte-level vocabulary writes for each byte: itself where it is printed, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _cells(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -144,22 +115,22 @@ def _cells(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _pieces(batches, path: str, groups: int):
-    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkedEncoder(path))
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
     task, row = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids_in = batch.column("doc_id")
-        for i, j, data, offsets in slices(batch, "text", ENCODE_BYTES):
-            ids, place = encoder.encode(data, offsets)
-            place = place + np.arange(len(place))
-            mark = np.ones(int(place[-1]), bool)
-            mark[place[1:] - 1] = False
-            full = np.full(len(mark), END, encoder.travel)
-            full[mark] = ids
+        ids_in, texts = batch.column("doc_id"), batch.column("text")
+        for i, j, _, _ in slices(batch, "text", ENCODE_BYTES):
+            found = [encoder.encode(t.as_py() or "") for t in texts.slice(i, j - i)]
+            sizes = np.array([len(x) + 1 for x in found], np.int64)
+            full = np.full(int(sizes.sum()), END, encoder.travel)
+            at = 0
+            for x in found:
+                full[at : at + len(x)] = x
+                at += len(x) + 1
             # The row's number, not its id, deals it to a group: repeated ids are spread.
             uid = (task << 34) + np.arange(row, row + j - i)
             row += j - i
-            group = np.array([zlib.crc32(u.to_bytes(8, "little")) % groups for u in uid.tolist()], np.int64)
-            sizes = np.diff(place)
+            group = (mixed(uid.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
             parts = -(-sizes // LENGTH)
             of = np.repeat(np.arange(j - i), parts)
             start = ranges(np.zeros(len(parts), np.int64), parts) * LENGTH
