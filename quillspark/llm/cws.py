@@ -5,63 +5,88 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.rows import once
+
 WHITE = r"[\x20\x09-\x0D]+"
-#: Samples in a fingerprint; rows aimed at in a bucket of neighbouring ids, and the most buckets.
-SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 32, 4, 400, 20_000
+#: Samples in a fingerprint, drawn GROUP at a time; rows aimed at in a bucket of neighbouring ids, and the most buckets.
+SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 56, 4, 400, 100_000
+#: Bits of a sample's name; the highest one is that of a text without words.
+NAME_BITS = 24
+BLANK = (1 << NAME_BITS) - 1
 _LAST = (1 << 63) - 1
+_LEAST = -(1 << 63)
 
 
 def sample_parts(k: int) -> list[str]:
-    """SQL for term and sample (grp, k): r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), b ~ U(0, 1)."""
-    bits = lambda i: f"xxhash64(term, grp, {3 * k + i})"
-    unit = lambda x: f"((cast({x} as double) + 0.5) / 4294967296D)"
-    gamma = lambda h: f"(-ln({unit(f'shiftrightunsigned({h}, 32)')} * {unit(f'({h} & 4294967295)')}))"
-    return [f"{gamma(bits(0))} as r{k}", f"ln({gamma(bits(1))}) as c{k}", f"{unit(f'({bits(2)} & 4294967295)')} as b{k}"]
+    """SQL for term and sample (grp, k): r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), b ~ U(0, 1), from 128 bits of hash."""
+    bits = lambda i: f"xxhash64(term, grp, {2 * k + i})"
+    unit = lambda x, n: f"((cast({x} as double) + 0.5) / {1 << n}D)"
+    part = lambda h, at, n: unit(f"(shiftrightunsigned({h}, {at}) & {(1 << n) - 1})", n)
+    gamma = lambda u, v: f"(-ln({u} * {v}))"
+    one, two = bits(0), bits(1)
+    return [f"{gamma(part(one, 32, 32), part(one, 0, 32))} as r{k}", f"ln({gamma(part(two, 42, 22), part(two, 20, 22))}) as c{k}", f"{part(two, 0, 20)} as b{k}"]
 
 
 def sample_value(weight: str, log_weight: str, k: int) -> str:
-    """SQL for ln a of the term in sample k above 24 bits that name (term, t); the least one of a document is its sample.
+    """SQL for ln a of the term in sample k above the bits that name (term, t); the least one of a document is its sample.
 
     t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r.
     """
     t = f"floor({log_weight} / r{k} + b{k})"
     key = f"cast((c{k} - r{k} * ({t} - b{k} + 1D) + 128D) * 1073741824D as bigint)"
-    return f"if({weight} > 0, shiftleft({key}, 24) | (xxhash64(term, {t}) & 16777215), null)"
+    return f"if({weight} > 0, shiftleft({key}, {NAME_BITS}) | pmod(xxhash64(term, {t}), {BLANK}L), null)"
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Deal rows (doc_id, text, th, rid) into buckets of neighbouring ids, and each bucket's first
-    row (in descending order) as a guest into the bucket whose last row it follows."""
-    spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    docs = docs.withColumn("key", key)
+def _before(x, key, th):
+    """Whether a cut (k, t) stands before (key, th)."""
+    return (x["k"] < key) | ((x["k"] == key) & (x["t"] < th))
+
+
+def _cuts(docs: DataFrame, bucket_rows: int) -> list[tuple[int, int]]:
+    """Cuts (key, th) of rows (key, th, weight) into buckets of about ``bucket_rows`` rows, between ids and within those of many rows."""
     n = docs.count()
-    wanted = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    cuts = docs.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0] if wanted > 1 and n else []
-    cuts = sorted(set(cuts or []))
+    wanted = max(1, min(MOST_BUCKETS, -(-n // bucket_rows)))
+    if wanted == 1:
+        return []
+    cuts = docs.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))).first()[0]
+    out = {(k, _LAST) for k in cuts}
+    # At most wanted / 2 ids have so many rows; their rows are cut by the hash of the text, which is even.
+    for r in docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * -(-n // wanted)).collect():
+        pieces = -(-r.n * wanted // n)
+        out |= {(r.key, _LEAST + i * (1 << 64) // pieces - 1) for i in range(1, pieces)} | {(r.key, _LAST)}
+    return sorted(out)
+
+
+def _bucketed(docs: DataFrame, bucket_rows: int) -> DataFrame:
+    """Deal rows (doc_id, text, th, k2, weight) into buckets of neighbouring ids, and each bucket's first row (in descending
+    order) as a guest into the bucket whose last row it follows.  Where a row goes depends on what it holds only."""
+    spark = docs.sparkSession
+    docs = docs.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(_LEAST).cast("long")))
+    cuts = _cuts(docs.select("key", "th"), bucket_rows)
     # Two steps of a search tree: groups of about sqrt(cuts) cuts.
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     if groups:
-        tree = spark.createDataFrame([([g[-1] for g in groups], groups)], "tops array<long>, cuts array<array<long>>")
-        at = F.size(F.filter("tops", lambda x: x < F.col("key")))
-        inner = F.coalesce(F.size(F.filter(F.get("cuts", F.col("at")), lambda x: x < F.col("key"))), F.lit(0))
-        dealt = docs.join(F.broadcast(tree)).withColumn("at", at).withColumn("bucket", F.col("at") * step + inner).drop("tops", "cuts", "at")
+        cut = "array<struct<k:long,t:long>>"
+        tree = spark.createDataFrame([([g[-1] for g in groups], groups)], f"tops {cut}, cuts array<{cut}>")
+        behind = lambda x: _before(x, F.col("key"), F.col("th"))
+        inner = F.coalesce(F.size(F.filter(F.get("cuts", F.col("at")), behind)), F.lit(0))
+        dealt = docs.join(F.broadcast(tree)).withColumn("at", F.size(F.filter("tops", behind))).withColumn("bucket", F.col("at") * step + inner).drop("tops", "cuts", "at")
     else:
         dealt = docs.withColumn("bucket", F.lit(0))
-    heads = dealt.groupBy("bucket").agg(F.max(F.struct("key", "th", "rid")).alias("head")).select("bucket", "head.*").collect()
+    heads = dealt.groupBy("bucket").agg(F.max(F.struct("key", "th", "k2", "weight")).alias("head")).select("bucket", "head.*").collect()
     heads.sort(key=lambda r: r.bucket)
-    guests = [(h.bucket, h.rid, heads[(i + 1) % len(heads)].bucket) for i, h in enumerate(heads)]
-    first = spark.createDataFrame(guests, "bucket int, rid long, to int")
-    dealt = dealt.join(F.broadcast(first), ["bucket", "rid"], "left")
+    guests = [(h.bucket, h.th, h.k2, h.weight, heads[(i + 1) % len(heads)].bucket) for i, h in enumerate(heads)]
+    first = spark.createDataFrame(guests, "bucket int, th long, k2 long, weight long, to int")
+    dealt = dealt.join(F.broadcast(first), ["bucket", "th", "k2", "weight"], "left")
     place = lambda b, g: F.struct(F.col(b).cast("int").alias("bucket"), F.lit(g).alias("guest"))
     places = F.when(F.col("to").isNull(), F.array(place("bucket", False))).otherwise(F.array(place("bucket", False), place("to", True)))
     # A bucket that may not be null gets no null filter, which would keep two readers from sharing one exchange.
     bucket = F.coalesce("place.bucket", F.lit(0)).alias("bucket")
-    return dealt.withColumn("place", F.explode(places)).drop("bucket").select("doc_id", "text", "th", "rid", bucket, "place.guest")
+    return dealt.withColumn("place", F.explode(places)).drop("bucket").select("doc_id", "text", "th", "k2", "weight", bucket, "place.guest")
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Consistent weighted samples of every text and of its edited text.
 
     Terms are the words of the whole text, weighted by their counts.  Sample k of a text is
@@ -71,25 +96,27 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     (or all) of the next document by descending id; after the last comes the first.
 
     Texts travel once, by bucket of neighbouring ids; terms are counted and samples are
-    taken in those buckets without a further shuffle.  The number of buckets is a
-    parameter, so the tables that are broadcast are bounded.
+    taken in those buckets without a further shuffle.  Buckets have about ``bucket_rows`` rows, also where
+    one id has many, up to MOST_BUCKETS buckets (then they grow, and spill); so the tables that are broadcast are bounded.
 
     Nulls: a null text counts as empty, a null id is least.  Equal ids follow each other by
-    text hash; repeated rows each get a row.  A text without words has the fingerprint
+    text hash; repeated rows are worked on as two, one followed by its like and the last, and each gets a row.  A text without words has the fingerprint
     of empty slots, alike only to another such.  A lone document follows itself.  An
     empty table gives an empty result.  Other columns are not read.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (24 bits a
-    sample in hex), near_edited, near_next.
+    sample in hex), near_edited, near_next: the shares of equal samples in these fingerprints.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumn("th", F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id())
+    rows = once(docs, doc_id, text)
+    # Of equal rows all but the last are followed by their like.
+    weights = F.explode(F.when(F.col("times") > 1, F.array(F.col("times") - 1, F.lit(1).cast("long"))).otherwise(F.array("times")))
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("k1").alias("th"), "k2", weights.alias("weight"))
     # Both branches below need all of these columns, so that they share one exchange of the texts.
-    order = [F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("th").desc(), F.col("rid").desc()]
+    order = [F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("th").desc(), F.col("k2").desc(), F.col("weight").desc()]
     here = Window.partitionBy("bucket").orderBy(*order)
     n_chars, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - cut), F.substring(F.lead("text").over(here), F.lit(1), cut))
-    pairs = _bucketed(rows).withColumn("n", F.row_number().over(here)).withColumn("edited", edited)
+    pairs = _bucketed(rows, bucket_rows).withColumn("n", F.row_number().over(here)).withColumn("edited", edited)
 
     ours = F.split("text", WHITE)
     theirs = F.split(F.coalesce("edited", F.lit("")), WHITE)
@@ -102,15 +129,19 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     groups = -(-samples // GROUP)
     drawn = counted.selectExpr("bucket", "n", "term", "s", "z", "ln(cast(s as double)) as ls", "ln(cast(z as double)) as lz", f"explode(sequence(0, {groups - 1})) as grp")
     drawn = drawn.selectExpr("bucket", "n", "grp", "term", "s", "z", "ls", "lz", *[x for k in range(GROUP) for x in sample_parts(k)])
-    draws = [f"min({sample_value(s, f'l{s}', k)}) as {x}{k}" for s, x in (("s", "f"), ("z", "e")) for k in range(GROUP)]
+    # Most terms weigh the same in both texts.
+    drawn = drawn.selectExpr("*", *[f"{sample_value('s', 'ls', k)} as f{k}" for k in range(GROUP)])
+    draws = [f"min(f{k}) as f{k}" for k in range(GROUP)] + [f"min(if(s = z, f{k}, {sample_value('z', 'lz', k)})) as e{k}" for k in range(GROUP)]
     least = drawn.groupBy("bucket", "n", "grp").agg(*map(F.expr, draws))
-    some = lambda x: f"array({', '.join(f'coalesce({x}{k}, {_LAST}L)' for k in range(GROUP))})"
+    # What stays of a sample is its name.
+    some = lambda x: f"array({', '.join(f'coalesce({x}{k} & {BLANK}L, {BLANK}L)' for k in range(GROUP))})"
     packed = least.groupBy("bucket", "n").agg(F.expr(f"sort_array(collect_list(struct(grp, {some('f')} as f, {some('e')} as e))) as all"))
     packed = packed.selectExpr("bucket", "n", *[f"slice(flatten(transform(all, x -> x.{x})), 1, {samples}) as {x}" for x in "fe"])
-    info = pairs.select("bucket", "n", "guest", "doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    blank = F.array_repeat(F.lit(_LAST), samples)
+    info = pairs.select("bucket", "n", "guest", "doc_id", "weight", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    blank = F.array_repeat(F.lit(BLANK).cast("long"), samples)
     full = info.join(packed, ["bucket", "n"], "left").withColumn("f", F.coalesce("f", blank)).withColumn("e", F.coalesce("e", blank))
     full = full.withColumn("next", F.lead("f").over(Window.partitionBy("bucket").orderBy("n"))).where(~F.col("guest"))
     alike = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda p: p)) / F.lit(float(samples))
-    shown = lambda x: F.lower(F.array_join(F.transform(x, lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFFFF).cast("long"))), 6, "0")), ""))
-    return full.select("doc_id", "n_chars", "edited_sha256", shown("f").alias("fingerprint"), shown("e").alias("edited_fingerprint"), alike("f", "e").alias("near_edited"), alike("f", "next").alias("near_next"))
+    shown = lambda x: F.lower(F.array_join(F.transform(x, lambda v: F.lpad(F.hex(v), NAME_BITS // 4, "0")), ""))
+    out = full.select("doc_id", "weight", "n_chars", "edited_sha256", shown("f").alias("fingerprint"), shown("e").alias("edited_fingerprint"), alike("f", "e").alias("near_edited"), alike("f", "next").alias("near_next"))
+    return out.withColumn("weight", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("weight")
