@@ -15,6 +15,8 @@ from quillspark.llm.common import lowered, mixed, slices, span_hashes, text_buff
 BITS, GRAM = 18, 4
 #: Labelled rows that the linear model is fitted on, at most (log-count ratios use all of them); passes over these.
 FIT_ROWS, PASSES, COST = 6000, 12, 0.02
+#: Bytes of text of these rows together, at most (the first of a class stays, whatever its length).
+FIT_BYTES = 128 << 20
 #: Labels sent to every task, at most; beyond it the labels are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 SCORE = "quality_score"
@@ -117,20 +119,20 @@ def _score(batches, text: str, ratio: np.ndarray, w: np.ndarray, bias: float, sl
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, SCORE])
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """Score every text for quality; learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Features are indicators of hashed words, word pairs and byte 4-grams of the whole
     text.  Their log-count ratios between the classes are taken over all labelled
     training rows; a linear model over the indicators times these ratios is fitted by dual
-    coordinate descent on at most ``fit_rows`` labelled training rows (up to half of each
-    class, those with the least hash of their id).  The score is the logistic of the margin, so
+    coordinate descent on at most ``fit_rows`` distinct labelled training texts of ``fit_bytes`` together (up to half of each
+    class, those with the least hash of id and text).  The score is the logistic of the margin, so
     0.5 is the separating plane.
 
     Nulls: a null text counts as empty and is scored by the bias; a null doc_id is scored,
     and counts as held out False.  Labels that are null or neither 0 nor 1 don't count, of several for one
-    id the least does.  Repeated rows are each scored.  Without labels of both classes all
-    scores are 1.  An empty table gives an empty result.  Other columns are carried; one named
+    id the least does.  Repeated rows are each scored.  Unless both classes have labelled training documents, all
+    scores are 1; labels of ids that ``docs`` lacks don't count.  An empty table gives an empty result.  Other columns are carried; one named
     like SCORE is replaced.
 
     Returns the columns of ``docs`` and SCORE.
@@ -154,11 +156,16 @@ def with_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     ratio = (np.log(good / (n["good"] + 2)) - np.log(bad / (n["bad"] + 2))).astype(np.float32).astype(float)
     w, bias = np.zeros(1 << BITS), 1e9
     if min(n.values()) > 0:
-        picked = None
+        keyed = learn.select("doc_id", "quality", F.xxhash64("text").alias("t"), F.octet_length("text").alias("size"))
+        keys = []
         for y in (0, 1):
-            some = known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2)
-            picked = some if picked is None else picked.unionByName(some)
-        sample = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, f binary")
+            some = keyed.where(F.col("quality") == y).distinct().orderBy(F.xxhash64("doc_id", "t"), "doc_id").limit(fit_rows // 2).collect()
+            upto = np.cumsum([r["size"] or 0 for r in some])
+            keys += [(r.doc_id, r.t) for i, r in enumerate(some) if not i or upto[i] <= fit_bytes // 2]
+        picked = spark.createDataFrame(keys, "doc_id long, t long")
+        sample = learn.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"])
+        # Repeated rows are reduced in every task, before they travel.
+        sample = sample.groupBy("doc_id", "t", "quality").agg(F.first("text").alias("text")).select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, f binary")
         model = sample.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _fit(t, ratio), "f int, w double").toArrow()
         f, values = model.column("f").to_numpy(), model.column("w").to_numpy()
         w[f[f >= 0]] = values[f >= 0]
