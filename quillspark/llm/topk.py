@@ -1,17 +1,19 @@
-"""Exact top-k search: tiled matrix products, partial selection per tile, tree merging."""
+"""Exact top-k search: tiled matrix products of queries and shards, partial selection per tile, tree merging."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import Tables
+from quillspark.llm.rows import named
 
-#: Largest block of queries held by every task, and rows of a tile of candidates.
-BLOCK_BYTES, TILE_ROWS = 4 << 20, 4096
+#: Bytes of a block of queries and of a shard of candidates, as doubles; shards at least, if there are as many rows.
+BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 8 << 20, 16 << 20, 8
+#: Queries and candidates of a tile, whose products are held at a time.
+TILE_QUERIES, TILE_ROWS = 512, 4096
 #: Lists that one merge step joins.
 FAN = 16
 _EXACT = float(1 << 53)
@@ -54,43 +56,56 @@ def _select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tup
     return r, ids[c], scores[r, c]
 
 
-def _lists(batches, blocks, k: int, schema: pa.Schema):
-    """Running top lists of every query over this task's tiles, one row a query."""
-    q_ids = {d: np.array([i for i, _ in v], np.int64) for d, v in blocks.items()}
-    q_vec = {d: np.array([x for _, x in v], np.float64).reshape(len(v), d) for d, v in blocks.items()}
-    best = {d: (np.zeros(0, np.int64),) * 3 for d in blocks}
-    for b in batches:
+def _vectors(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the rows (vec_id, v), by length."""
+    out: dict[int, list] = {}
+    for b in table.to_batches():
         vec = b.column("v")
-        ids, sizes = b.column("vec_id").to_numpy(zero_copy_only=False), np.diff(np.asarray(vec.offsets))
-        flat, first = np.asarray(vec.flatten(), dtype=np.float64), np.asarray(vec.offsets)[:-1] - vec.offsets[0].as_py()
-        for d in blocks:
+        ids, at = b.column("vec_id").to_numpy(zero_copy_only=False), np.asarray(vec.offsets)
+        flat, sizes, first = np.asarray(vec.flatten(), dtype=np.float64), np.diff(at), at[:-1] - at[0]
+        for d in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == d)
-            for at in range(0, len(rows), TILE_ROWS):
-                part = rows[at : at + TILE_ROWS]
-                tile = flat[first[part][:, None] + np.arange(d)]
-                r, i, s = _select(_product(q_vec[d], tile), ids[part], q_ids[d], k)
-                r, i, s = (np.concatenate(x) for x in zip(best[d], (r, i, s), strict=True))
+            out.setdefault(d, []).append((ids[rows], flat[first[rows][:, None] + np.arange(d)]))
+    return {d: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for d, parts in out.items()}
+
+
+def _cell(key: tuple[pa.Scalar, ...], queries: pa.Table, shard: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The top lists of a block of queries over a shard of candidates: products tile by tile, the best of each kept."""
+    tile, asked, held = key[1].as_py(), _vectors(queries), _vectors(shard)
+    out: dict[str, list] = {"query_id": [], "score": [], "back": [], "size": []}
+    for d, (q_ids, q_vec) in asked.items():
+        if d not in held:
+            continue
+        order = np.argsort(q_ids)
+        q_ids, q_vec = q_ids[order], q_vec[order]
+        ids, vec = held[d]
+        for x in range(0, len(q_ids), TILE_QUERIES):
+            mine, best = q_ids[x : x + TILE_QUERIES], (np.zeros(0, np.int64),) * 3
+            for at in range(0, len(ids), TILE_ROWS):
+                some = _select(_product(q_vec[x : x + TILE_QUERIES], vec[at : at + TILE_ROWS]), ids[at : at + TILE_ROWS], mine, k)
+                r, i, s = (np.concatenate(c) for c in zip(best, some, strict=True))
                 order = np.lexsort((i, ~s, r))
                 r, i, s = r[order], i[order], s[order]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                best[d] = r[keep], i[keep], s[keep]
-    task = TaskContext.get().partitionId()
-    for d, (r, i, s) in best.items():
-        cuts = np.searchsorted(r, np.arange(len(q_ids[d]) + 1))
-        for j, q in enumerate(q_ids[d].tolist()):
-            if cuts[j] < cuts[j + 1]:
-                one = [{"score": x, "back": ~y} for x, y in zip(s[cuts[j] : cuts[j + 1]].tolist(), i[cuts[j] : cuts[j + 1]].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pylist([{"query_id": q, "tile": task, "best": one}], schema=schema)
+                best = r[keep], i[keep], s[keep]
+            r, i, s = best
+            rows, sizes = np.unique(r, return_counts=True)
+            for name, values in zip(out, (mine[rows], s, ~i, sizes), strict=True):
+                out[name].append(values)
+    flat = {n: np.concatenate(v) if v else np.zeros(0, np.int64) for n, v in out.items()}
+    entries = pa.StructArray.from_arrays([pa.array(flat["score"], pa.int64()), pa.array(flat["back"], pa.int64())], names=["score", "back"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(flat["size"])), pa.int32()), entries)
+    return pa.table([pa.array(flat["query_id"], pa.int64()), pa.array([tile] * len(flat["query_id"]), pa.int32()), lists], schema=schema)
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k best inner products of each query, exactly.
 
     Components become floor(scale * x).  Queries are the rows whose id is divisible by
-    ``every``; candidates all rows but the query's own id.  Queries are dealt by id into
-    blocks of at most about BLOCK_BYTES; a block is sent to all tasks, every task multiplies
-    it with its tiles of candidates and keeps k a query, and the tasks' lists are merged
-    FAN at a time.  Ties go to the smaller id.  Only vectors of the query's length count.
+    ``every``; candidates all rows but the query's own id.  Queries are dealt into blocks of about BLOCK_BYTES
+    and candidates into shards of about SHARD_BYTES, and every block meets every shard in a task of its own, which multiplies
+    them tile by tile and keeps k a query; the tasks' lists are merged FAN at a time.  Neither queries nor
+    candidates pass through the driver.  Ties go to the smaller id.  Only vectors of the query's length count.
     Products beyond 64 bits are held at the limit.
 
     Nulls: rows with a null id or vector, or a null or non-finite component take no
@@ -101,30 +116,25 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
     Returns query_id, rank (from 1), vec_id, score.
     """
     spark = vectors.sparkSession
-    v = F.col(embedding)
+    v = named(embedding)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(v, lambda x: _floor(x.cast("double") * scale))
-    clean = vectors.where(F.col(vec_id).isNotNull() & v.isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
+    clean = vectors.where(named(vec_id).isNotNull() & v.isNotNull() & fine).select(named(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
     queries = clean.where(F.col("vec_id") % every == 0)
-    n, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    schema = "query_id long, rank int, vec_id long, score long"
+    rows, n, longest = clean.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).first()
     if not n:
-        return spark.createDataFrame([], schema)
-    blocks = max(1, -(-n * max(8, 8 * longest) // BLOCK_BYTES))
-    row = "query_id long, tile int, best array<struct<score:long,back:long>>"
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(8, 8 * longest)
+    blocks, shards = -(-n * width // BLOCK_BYTES), max(min(LEAST_SHARDS, rows), -(-rows * width // SHARD_BYTES))
     entry = pa.struct([("score", pa.int64()), ("back", pa.int64())])
     arrow = pa.schema([("query_id", pa.int64()), ("tile", pa.int32()), ("best", pa.list_(entry))])
-    parts = []
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).groupBy("vec_id").agg(F.min("v").alias("v"))
-        block: dict[int, list] = {}
-        for r in sorted(mine.collect()):
-            block.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        parts.append(clean.mapInArrow(lambda it, block=block: _lists(it, block, k, arrow), row))
-    lists = parts[0]
-    for p in parts[1:]:
-        lists = lists.unionByName(p)
-    lists = written(lists, "topk-lists")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("tile", every_one(shards))
+    # Rows are dealt by their place, so that repeated rows are spread.
+    held = clean.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")).withColumn("home", every_one(blocks))
+    cells = asked.groupBy("block", "tile").cogroup(held.groupBy("home", "shard"))
+    tables = Tables(spark, "topk")
+    lists = tables.write(cells.applyInArrow(lambda key, q, c: _cell(key, q, c, k, arrow), "query_id long, tile int, best array<struct<score:long,back:long>>"), "lists")
     left = (lists.agg(F.max("tile")).first()[0] or 0) + 1
     while left > 0:
         merged = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k)
