@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batched, bucket_bits, joined, lowered, mixed, ranges, slices, span_hashes, table_slices, word_spans
+from quillspark.llm.common import batched, bucket_bits, joined, lowered, mixed, ranges, slices, span_hashes, table_slices, word_spans, written
 
 #: Symbols are bytes plus 1; 0 stands before a text, END after it.
 ORDER, BITS, END, SYMBOLS = 5, 9, 257, 258
@@ -20,21 +22,15 @@ def _mask(k: int) -> np.uint64:
     return np.uint64((1 << (BITS * k)) - 1)
 
 
-def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text its words joined by single spaces and END, as (context, symbol) grams; and each text's place among these."""
-    n = len(place) - 1
-    sizes = ends - starts + 1
-    upto = np.append(0, np.cumsum(sizes))
-    own = upto[place[1:]] - upto[place[:-1]]
-    blank = own == 0
-    total = np.append(0, np.cumsum(np.where(blank, 1, own)))
-    out = np.zeros(int(total[-1]) + ORDER * n, np.uint64)
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text its bytes and END, as (context, symbol) grams; and each text's place among these."""
+    n = len(offsets) - 1
+    sizes = np.diff(offsets)
+    total = offsets + np.arange(n + 1)
     shift = ORDER * (np.arange(n) + 1)
-    if len(starts):
-        body = data[np.minimum(ranges(starts, sizes), len(data) - 1)].astype(np.uint64) + np.uint64(1)
-        body[np.cumsum(sizes) - 1] = 33
-        to = ranges((total[:-1] + shift)[~blank], own[~blank])
-        out[to] = body
+    out = np.zeros(int(total[-1]) + ORDER * n, np.uint64)
+    out[np.arange(len(data)) + np.repeat(np.arange(n) + shift, sizes)] = data
+    out[np.arange(len(data)) + np.repeat(np.arange(n) + shift, sizes)] += np.uint64(1)
     out[total[1:] + shift - 1] = END
     gram = out.copy()
     for j in range(1, ORDER + 1):
@@ -53,7 +49,7 @@ def _pairs(batches):
     for batch in batches:
         for _, _, data, offsets in slices(batch, "text"):
             data = lowered(data)
-            gram, _ = symbols(data, *word_spans(data, offsets))
+            gram, _ = symbols(data, offsets)
             total += np.bincount(((gram >> np.uint64(BITS)) & _mask(1)).astype(np.int64) * SYMBOLS + (gram & _mask(1)).astype(np.int64), minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "n"])
@@ -133,7 +129,7 @@ def _ask(key: tuple[pa.Scalar, ...], table: pa.Table, bits: int) -> pa.Table:
         train = _train(table, i, j)
         data = lowered(data)
         s, e, place = word_spans(data, offsets)
-        gram, at = symbols(data, s, e, place)
+        gram, at = symbols(data, offsets)
         for store, keys, cuts in ((grams, gram, at), (words, span_hashes(data, s, e), place)):
             k, c = _summed(keys, np.repeat(train, np.diff(cuts)))
             store[0].append(k)
@@ -147,10 +143,10 @@ def _ask(key: tuple[pa.Scalar, ...], table: pa.Table, bits: int) -> pa.Table:
         order = np.argsort(bucket, kind="stable")
         keys, counts, bucket = keys[order], counts[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
-        # Every bucket gets a message, so that every batch hears of all words' total.
         for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            for col, v in zip(cols, (kind, b, key[0].as_py(), keys[x:y].tobytes(), counts[x:y].tobytes()), strict=True):
-                col.append(v)
+            if x < y:
+                for col, v in zip(cols, (kind, b, key[0].as_py(), keys[x:y].tobytes(), counts[x:y].tobytes()), strict=True):
+                    col.append(v)
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "batch", "keys", "counts"])
 
 
@@ -162,15 +158,20 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table, pairs: np.ndarray) -> p
     names, back = np.unique(keys, return_inverse=True)
     total = np.bincount(back, counts, len(names)).astype(np.int64)
     values = (Trie(names, total, pairs).price(names) if kind == 0 else total.astype(float))[back]
-    distinct, tokens = (int((total > 0).sum()), int(total.sum())) if kind else (0, 0)
     spans = list(zip(cuts, cuts[1:], strict=False))
-    return pa.table({
-        "batch": table.column("batch"), "kind": pa.array([kind] * len(spans), pa.int32()), "keys": table.column("keys"),
-        "vals": pa.array([values[x:y].tobytes() for x, y in spans], pa.binary()), "distinct": pa.array([distinct] * len(spans), pa.int64()), "tokens": pa.array([tokens] * len(spans), pa.int64()),
-    })
-
-
-def _score(table: pa.Table, replies: pa.Table) -> pa.Table:
+    out = {"batch": table.column("batch").to_pylist(), "kind": [kind] * len(spans), "keys": table.column("keys").to_pylist(), "vals": [values[x:y].tobytes() for x, y in spans]}
+    if kind:
+        # What the bucket knows of all words together goes to a batch of its own.
+        for col, v in zip(out.values(), (TOTALS, 2, b"", np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()), strict=True):
+            col.append(v)
+    return pa.table([pa.array(c, t) for c, t in zip(out.values(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+
+
+def _score(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
+    """The batch's rows, with the sum of log10(c + 1) as base; or the one row of totals: V as n_tokens, N as n_known."""
+    if key[0].as_py() == TOTALS:
+        v, n = joined(replies.column("vals"), np.int64)[0].reshape(-1, 2).sum(axis=0).tolist()
+        return pa.table([pa.array([x], f.type) for x, f in zip((None, None, v, n, None, None), OUT, strict=True)], schema=OUT)
     told = []
     for kind in (0, 1):
         part = replies.filter(pa.compute.equal(replies.column("kind"), kind))
@@ -178,40 +179,39 @@ def _score(table: pa.Table, replies: pa.Table) -> pa.Table:
         order = np.argsort(keys)
         told.append((keys[order], values[order]))
     (grams, prices), (words, counts) = told
-    distinct, tokens = (int(pa.compute.sum(replies.column(c)).as_py() or 0) for c in ("distinct", "tokens"))
     end = counts[np.searchsorted(words, _END_TOKEN)] if len(words) else 0.0
-    base = lambda c: np.log10((c + 1) / (tokens + distinct + 1))
-    parts = []
+    parts = [OUT.empty_table()]
     for i, j, data, offsets in table_slices(table):
         data = lowered(data)
         s, e, place = word_spans(data, offsets)
-        gram, at = symbols(data, s, e, place)
+        gram, at = symbols(data, offsets)
         score = np.add.reduceat(prices[np.searchsorted(grams, gram)], at[:-1])
         c = counts[np.searchsorted(words, span_hashes(data, s, e))]
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[place])
         n = j - i
-        parts.append(pa.table({
-            "doc_id": table.column("doc_id").slice(i, n), "held_out": table.column("held_out").slice(i, n), "n_tokens": pa.array(np.diff(place) + 1),
-            "n_known": pa.array((sums((c > 0).astype(np.int64)) + int(end > 0)).astype(np.int64)), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(sums(base(c)) + base(end)), "score": pa.array(score),
-        }))
-    return pa.concat_tables(parts) if parts else OUT.empty_table()
+        known = (sums((c > 0).astype(np.int64)) + int(end > 0)).astype(np.int64)
+        cols = (table.column("doc_id").slice(i, n), table.column("held_out").slice(i, n), pa.array(np.diff(place) + 1), pa.array(known), pa.array(sums(np.log10(c + 1)) + np.log10(end + 1)), pa.array(score))
+        parts.append(pa.table(list(cols), schema=OUT))
+    return pa.concat_tables(parts)
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+#: The batch to which buckets send their totals.
+TOTALS = -1
+OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """log10 probability of every whole text under a byte model of the training texts.
 
     Training texts are those whose crc32(doc_id as text) mod 7 is not 2.  What is modelled is the
-    text in lower case (A-Z), its words joined by single spaces, and an end.  The model is
+    whole text's bytes in lower case (A-Z), white space and all, and an end.  The model is
     a trie of contexts of up to ORDER bytes of all training texts, priced with escapes and
     exclusion; every text is scored by the whole model.
 
     Texts travel once, in batches.  A batch asks for its distinct grams once; the buckets
     hold the trie by the last two bytes of context, add up the batches' training counts
-    and answer with prices.  Only the table of byte pairs (at most 258 x 258 counts) is on the
-    driver and in every task.  Words for the base score go the same way, by 64-bit hash.
+    and answer with prices.  The number of buckets grows with the text.  Only the table of byte pairs (at most 258 x 258 counts) and the
+    two totals of the base are on the driver.  Words for the base score go the same way, by 64-bit hash.
 
     Nulls: a null text counts as empty, a null id as training (not held out).  Repeated
     rows each count and are each scored.  An empty table gives an empty result; without training
@@ -219,9 +219,9 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_by
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    bits = bucket_bits(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    rows, _ = batched(docs, doc_id, text, batch_bytes)
+    rows, total = batched(docs, doc_id, text, batch_bytes)
+    bits = bucket_bits(total)
     rows = rows.select("batch", "doc_id", "text", held.alias("held_out"))
     found = rows.where(~F.col("held_out")).select("text").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
@@ -234,6 +234,12 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_by
         return _answer(key, table, pairs)
 
     asked = rows.groupBy("batch").applyInArrow(ask, "kind int, bucket int, batch int, keys binary, counts binary")
-    told = asked.groupBy("kind", "bucket").applyInArrow(answer, "batch int, kind int, keys binary, vals binary, distinct long, tokens long")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda t, r: _score(t, r), out)
+    told = asked.groupBy("kind", "bucket").applyInArrow(answer, "batch int, kind int, keys binary, vals binary")
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    found = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda key, t, r: _score(key, t, r), out)
+    # The rows without their texts are few bytes; the totals are read off them.
+    found = written(found, "scores")
+    totals = found.where("held_out is null").first()
+    distinct, tokens = (totals.n_tokens, totals.n_known) if totals else (0, 0)
+    base = F.col("base_score") - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))
+    return found.where("held_out is not null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
