@@ -54,17 +54,24 @@ def recompress(names: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np
     return made[stay], begin[stay], first[stay], last[stay], doc[stay]
 
 
-def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows, the anchor of each and the word where it stands: of the symbols that its own words decide, from the
-    highest level that has any, the one of least name.  Equal windows have equal anchors.
+def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts of all windows, the anchor of each, the words [x, y) that decide it, and a hash of any words [i, j) by prefix sums.
 
-    What names an anchor are all the words that decide it, which are more than the symbol's own.
+    The anchor is, of the symbols that the window's own words decide, from the highest level that has any, the one of least
+    name.  Equal windows have equal anchors at equal places.  What names an anchor are all the words that decide it,
+    which are more than the symbol's own.
     """
     n_words = np.diff(place)
     starts = ranges(place[:-1], np.maximum(n_words - WINDOW + 1, 0))
-    out, where = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+    out, begin, end = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    up, down = _powers(len(words))
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)]))
+
+    def hashed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * _RUN)
+
     if not len(starts):
-        return starts, out, where
+        return starts, out, begin, end, hashed
     doc = np.repeat(np.arange(len(n_words)), n_words)
     edges = (place[:-1], place[1:])
     token = np.arange(len(words))
@@ -73,8 +80,6 @@ def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for i in range(LEVELS):
         level = recompress(*level, edges, i)
         levels.append(level)
-    up, down = _powers(len(words))
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)]))
     open_ = np.arange(len(starts))
     for names, _, first, last, _ in reversed(levels):
         p = starts[open_]
@@ -86,34 +91,34 @@ def anchors(words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
             at = np.minimum(a + step, b - 1)
             less = names[at] < best
             best[less], of[less] = names[at[less]], at[less]
-        x, y = first[of], last[of]
-        where[mine] = x
-        out[mine] = mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * _RUN)
+        begin[mine], end[mine] = first[of], last[of]
+        out[mine] = hashed(begin[mine], end[mine])
         open_ = open_[~has]
         if not len(open_):
             break
-    return starts, out, where
+    return starts, out, begin, end, hashed
 
 
-def window_names(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit names of the windows' word sequences."""
-    h = np.zeros(len(starts), np.uint64)
-    for j in range(WINDOW):
-        h += words[starts + j] * mixed(np.array([2 * j + 1], np.uint64) * _RUN)
-    return mixed(h)
+def _ordered(table: pa.Table) -> pa.Table:
+    """A batch's rows in the order in which windows start earlier."""
+    order = [("missing", "ascending"), ("doc_id", "ascending"), ("rid", "ascending")]
+    return table.append_column("missing", pa.compute.is_null(table.column("doc_id"))).sort_by(order)
 
 
 class _Batch:
-    """A batch's windows: row and start word of each, its anchor and its name."""
+    """A batch's windows: row and start word of each, its anchor, where that stands, and what stands around it.
+
+    A window's word sequence is its anchor between its two edges: the anchor's name is that of all words which decide it, so
+    two windows that agree in it verify each other by the words left of it and right of it.
+    """
 
     def __init__(self, table: pa.Table, named: bool):
-        order = [("missing", "ascending"), ("doc_id", "ascending"), ("rid", "ascending")]
-        self.table = table.append_column("missing", pa.compute.is_null(table.column("doc_id"))).sort_by(order)
+        self.table = _ordered(table)
         rows, starts, found, names, stands, words_before = [], [], [], [], [], 0
         for i, j, data, offsets in table_slices(self.table):
             s, e, place = word_spans(data, offsets)
             words = span_hashes(data, s, e)
-            p, a, x = anchors(words, place)
+            p, a, x, y, hashed = anchors(words, place)
             stands.append(x + words_before)
             words_before += len(words)
             d = np.searchsorted(place, p, "right") - 1
@@ -121,7 +126,7 @@ class _Batch:
             starts.append((p - place[d]).astype(np.int32))
             found.append(a)
             if named:
-                names.append(window_names(words, p))
+                names.append(mixed(hashed(p, x) * _LEFT + hashed(y, p + WINDOW) * _RIGHT + (x - p).astype(np.uint64)))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.row, self.start, self.anchor = cat(rows, np.int32), cat(starts, np.int32), cat(found, np.uint64)
         self.name, self.stands = cat(names, np.uint64), cat(stands, np.int64)
@@ -155,19 +160,28 @@ def _shared(table: pa.Table) -> pa.Table:
     twice[back[many]] = True
     keep = twice[back]
     cells = [names[x:y][keep[x:y]].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
-    return pa.table({"batch": table.column("batch"), "kind": pa.array([0] * len(cells), pa.int32()), "a": pa.array(cells, pa.binary()), "b": pa.array([b""] * len(cells), pa.binary())})
+    return pa.table({"batch": table.column("batch"), "a": pa.array(cells, pa.binary())})
 
 
-def _told(replies: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
-    return joined(replies.filter(pa.compute.equal(replies.column("kind"), kind)).column(column), dtype)[0]
+def _told(replies: pa.Table, column: str, dtype) -> np.ndarray:
+    return joined(replies.column(column), dtype)[0]
 
 
 def _claim(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
-    """The first window of each word sequence in the batch, of those with a shared anchor, to the anchors' buckets."""
+    """The first window of each word sequence in the batch, of those with a shared anchor, to the anchors' buckets; and
+    all windows with a shared anchor, as runs, to the batch itself, by a key of its own behind the buckets'."""
     cols: dict[str, list] = {k: [] for k in ("bucket", "batch", "name", "anchor", "doc_id", "rid", "start")}
     if len(table):
         batch = _Batch(table, True)
-        mine = batch.candidates(np.sort(_told(replies, 0, "a", np.uint64)))
+        mine = batch.candidates(np.sort(_told(replies, "a", np.uint64)))
+        if len(mine):
+            row, start = batch.row[mine], batch.start[mine]
+            first = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))
+            at = np.flatnonzero(first)
+            size = np.diff(np.append(at, len(mine))).astype(np.int32)
+            own = ((1 << bits) + key[0].as_py(), key[0].as_py(), b"", b"", row[at].tobytes(), start[at].tobytes(), size.tobytes())
+            for col, v in zip(cols.values(), own, strict=True):
+                col.append(v)
         _, first = np.unique(mixed(batch.name[mine] * np.uint64(3) + batch.anchor[mine]), return_index=True)
         mine = mine[np.sort(first)]
         bucket = (batch.anchor[mine] >> np.uint64(64 - bits)).astype(np.int64)
@@ -182,11 +196,13 @@ def _claim(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table, bits:
                 row = batch.row[w]
                 for k, v in zip(cols, (b, key[0].as_py(), batch.name[w].tobytes(), batch.anchor[w].tobytes(), ids[row].tobytes(), rids[row].tobytes(), batch.start[w].tobytes()), strict=True):
                     cols[k].append(v)
-    return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "batch") else pa.binary()) for k, v in cols.items()})
+    return pa.table({k: pa.array(v, pa.int64() if k == "bucket" else pa.int32() if k == "batch" else pa.binary()) for k, v in cols.items()})
 
 
-def _first(table: pa.Table) -> pa.Table:
-    """To each batch, those of its claims that are the first of their word sequence."""
+def _first(key: tuple[pa.Scalar, ...], table: pa.Table, bits: int) -> pa.Table:
+    """To each batch, those of its claims that are the first of their word sequence; what a batch keeps for itself goes on as it is."""
+    if key[0].as_py() >= 1 << bits:
+        return pa.table({"batch": table.column("batch"), "a": table.column("doc_id"), "b": table.column("rid"), "c": table.column("start")})
     name, cuts = joined(table.column("name"), np.uint64)
     anchor, doc_id, rid, start = (joined(table.column(k), t)[0] for k, t in (("anchor", np.uint64), ("doc_id", np.int64), ("rid", np.int64), ("start", np.int32)))
     order = np.lexsort((start, rid, doc_id, anchor, name))
@@ -196,62 +212,62 @@ def _first(table: pa.Table) -> pa.Table:
     won[order[new]] = True
     spans = list(zip(cuts, cuts[1:], strict=False))
     return pa.table({
-        "batch": table.column("batch"), "kind": pa.array([1] * len(spans), pa.int32()),
-        "a": pa.array([rid[x:y][won[x:y]].tobytes() for x, y in spans], pa.binary()), "b": pa.array([start[x:y][won[x:y]].tobytes() for x, y in spans], pa.binary()),
+        "batch": table.column("batch"), "a": pa.array([rid[x:y][won[x:y]].tobytes() for x, y in spans], pa.binary()),
+        "b": pa.array([start[x:y][won[x:y]].tobytes() for x, y in spans], pa.binary()), "c": pa.array([None] * len(spans), pa.binary()),
     })
 
 
 def _remove(table: pa.Table, replies: pa.Table) -> pa.Table:
     """Remove the words of all windows with a shared anchor that aren't the first of their kind."""
     parts = [pa.table({"rid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})]
-    if len(table):
-        batch = _Batch(table, True)
-        mine = batch.candidates(np.sort(_told(replies, 0, "a", np.uint64)))
-        rid, start = _told(replies, 1, "a", np.int64), _told(replies, 1, "b", np.int32)
-        rids = np.asarray(batch.table.column("rid"))
-        sorted_rids = np.argsort(rids)
-        row = sorted_rids[np.searchsorted(rids, rid, sorter=sorted_rids)]
-        where = lambda r, s: r.astype(np.int64) << 32 | s
-        key = where(batch.row[mine], batch.start[mine])
-        late = mine[~np.isin(key, where(row, start), assume_unique=True)]
-        late_row, late_start = batch.row[late], batch.start[late].astype(np.int64)
-        for i, j, data, offsets in table_slices(batch.table):
-            s, e, place = word_spans(data, offsets)
-            x, y = np.searchsorted(late_row, [i, j])
-            p = place[late_row[x:y] - i] + late_start[x:y]
-            cover = np.zeros(len(s) + 1, np.int64)
-            np.add.at(cover, p, 1)
-            np.add.at(cover, p + WINDOW, -1)
-            keep = np.cumsum(cover[:-1]) == 0
-            ks, ke = s[keep], e[keep]
-            sizes = ke - ks + 1
-            text = data[np.minimum(ranges(ks, sizes), len(data) - 1)] if len(ks) else np.zeros(0, np.uint8)
-            ends = np.cumsum(sizes)
-            text[ends - 1] = 32
-            kept = np.append(0, np.cumsum(keep))[place]
-            n, k = np.diff(place), np.diff(kept)
-            # A text ends before the space behind its last word.
-            solid = np.ones(len(text), bool)
-            bytes_ = np.append(0, ends)[kept]
-            solid[bytes_[1:][k > 0] - 1] = False
-            text, bytes_ = text[solid], bytes_ - np.append(0, np.cumsum(k > 0))
-            texts = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(bytes_.astype(np.int32)), pa.py_buffer(text)])
-            own = batch.table.slice(i, j - i)
-            parts.append(pa.table({"rid": own.column("rid"), "doc_id": own.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(n - k), "kept": texts}))
+    if not len(table):
+        return parts[0]
+    table = _ordered(table)
+    own = replies.filter(pa.compute.is_valid(replies.column("c")))
+    won = replies.filter(pa.compute.is_null(replies.column("c")))
+    row, first, size = (_told(own, k, np.int32) for k in "abc")
+    late_row, late_start = np.repeat(row, size), ranges(first.astype(np.int64), size.astype(np.int64))
+    rid, start = _told(won, "a", np.int64), _told(won, "b", np.int32)
+    rids = np.asarray(table.column("rid"))
+    by_rid = np.argsort(rids)
+    where = lambda r, s: r.astype(np.int64) << 32 | s
+    late = ~np.isin(where(late_row, late_start), where(by_rid[np.searchsorted(rids, rid, sorter=by_rid)], start), assume_unique=True)
+    late_row, late_start = late_row[late], late_start[late]
+    for i, j, data, offsets in table_slices(table):
+        s, e, place = word_spans(data, offsets)
+        x, y = np.searchsorted(late_row, [i, j])
+        p = place[late_row[x:y] - i] + late_start[x:y]
+        cover = np.bincount(p, minlength=len(s) + 1)[: len(s) + 1] - np.bincount(p + WINDOW, minlength=len(s) + 1)[: len(s) + 1]
+        keep = np.cumsum(cover[:-1]) == 0
+        ks, ke = s[keep], e[keep]
+        sizes = ke - ks + 1
+        text = data[np.minimum(ranges(ks, sizes), len(data) - 1)] if len(ks) else np.zeros(0, np.uint8)
+        ends = np.cumsum(sizes)
+        text[ends - 1] = 32
+        kept = np.append(0, np.cumsum(keep))[place]
+        n, k = np.diff(place), np.diff(kept)
+        # A text ends before the space behind its last word.
+        solid = np.ones(len(text), bool)
+        bytes_ = np.append(0, ends)[kept]
+        solid[bytes_[1:][k > 0] - 1] = False
+        text, bytes_ = text[solid], bytes_ - np.append(0, np.cumsum(k > 0))
+        texts = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(bytes_.astype(np.int32)), pa.py_buffer(text)])
+        own = table.slice(i, j - i)
+        parts.append(pa.table({"rid": own.column("rid"), "doc_id": own.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(n - k), "kept": texts}))
     return pa.concat_tables(parts)
 
 
 def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Remove every word covered by a window of 20 words whose word sequence also starts earlier.
 
-    Texts travel once, in batches.  Rounds of recompression name runs and pairs of
-    symbols; names are hashes of what they stand for, so they are global.  Every window is
-    anchored by a symbol that its own words decide.  Each batch sends its anchors once to
-    their buckets, which tell it those that occur elsewhere too; of the windows with such an
-    anchor, each batch sends the first of each word sequence (64 bits besides the
-    anchor's 64), and the buckets tell it which are the first of all.  All other windows with a shared
+    Texts travel once, in batches.  Rounds of recompression name runs and pairs of symbols, in each batch by itself: a
+    name is a 64-bit hash of what it stands for, so names are global without a shuffle a round.  High-level symbols
+    reveal repeats: every window is anchored by a symbol that its own words decide.  Each batch sends its anchors once to
+    their buckets, which tell it those that stand elsewhere too.  They verify them, too: of the windows with such an
+    anchor, each batch sends the first of each word sequence, named by the anchor, its place and
+    the words on both sides of it (128 bits in all), and the buckets tell it which are the first of all.  All other windows with a shared
     anchor are repeats.  A batch sends a name once, so a passage of a third of all
-    documents is no more to a bucket than one entry a batch.
+    documents is no more to a bucket than one entry a batch.  The number of buckets grows with the text.
 
     Order: smaller doc_id first, null last, rows of one id in input order.  Nulls: a null
     text has no words.  Repeated rows: the first keeps its words.  An empty table gives an
@@ -259,8 +275,8 @@ def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
 
     Returns rid (the number of the input's row), doc_id, n_words, n_removed, kept (the words kept, joined by a space).
     """
-    bits = bucket_bits(docs.sparkSession)
-    rows, _ = batched(docs, doc_id, text, batch_bytes)
+    rows, total = batched(docs, doc_id, text, batch_bytes)
+    bits = bucket_bits(total)
     rows = rows.select("batch", "rid", "doc_id", "text")
     by = lambda df: df.groupBy("batch")
 
@@ -270,12 +286,14 @@ def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
     def claim(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         return _claim(key, table, replies, bits)
 
-    reply = "batch int, kind int, a binary, b binary"
+    def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _first(key, table, bits)
+
     asked = by(rows).applyInArrow(ask, "bucket int, batch int, names binary, many binary")
-    shared = asked.groupBy("bucket").applyInArrow(lambda t: _shared(t), reply)
-    claims = by(rows).cogroup(by(shared)).applyInArrow(claim, "bucket int, batch int, name binary, anchor binary, doc_id binary, rid binary, start binary")
-    first = claims.groupBy("bucket").applyInArrow(lambda t: _first(t), reply)
-    return by(rows).cogroup(by(shared.unionByName(first))).applyInArrow(lambda t, r: _remove(t, r), "rid long, doc_id long, n_words long, n_removed long, kept string")
+    shared = asked.groupBy("bucket").applyInArrow(lambda t: _shared(t), "batch int, a binary")
+    claims = by(rows).cogroup(by(shared)).applyInArrow(claim, "bucket long, batch int, name binary, anchor binary, doc_id binary, rid binary, start binary")
+    told = claims.groupBy("bucket").applyInArrow(first, "batch int, a binary, b binary, c binary")
+    return by(rows).cogroup(by(told)).applyInArrow(lambda t, r: _remove(t, r), "rid long, doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
