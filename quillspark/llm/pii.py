@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.rows import named
+
 _DOTTED = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\p{N})|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?!\p{N})"
 _DASHED = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{N}-])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\p{N})|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 #: The forms looked for.  A card doesn't run into an address, date or number of another form.  Each match is validated by its kind before it is replaced.
@@ -35,6 +37,8 @@ IBAN_LENGTHS = {
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31: 73049 = 17 * 4297, the two halves of a date's permutation.
 DAY_PARTS = (17, 4297)
+#: Areas (001 to 899 without 666), groups (01 to 99) and serials (0001 to 9999) of social security numbers.
+SSN_PARTS = (898, 99, 9999)
 #: First code point and count of each class of characters that is permuted within itself.
 CLASSES = ((48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8))
 
@@ -114,8 +118,10 @@ def pseudonym(key: str) -> str:
     day = "datediff(cast(try_to_timestamp(m, k) as date), date'1900-01-01')"
     values = f"""case when k = 'ip' then cast(split(m, '[.]') as array<bigint>)
       when k like '%yyyy%' then array(cast({day} div {DAY_PARTS[1]} as bigint), cast({day} % {DAY_PARTS[1]} as bigint))
+      when k = 'ssn' then array(cast(substring(s, 1, 3) as bigint) - if(substring(s, 1, 3) > '666', 2, 1), cast(substring(s, 4, 2) as bigint) - 1, cast(substring(s, 6, 4) as bigint) - 1)
       else transform(c, x -> x - {_class('x', 'k', False)}) end"""
     radices = f"""case when k = 'ip' then array(256L, 256L, 256L, 256L) when k like '%yyyy%' then array({DAY_PARTS[0]}L, {DAY_PARTS[1]}L)
+      when k = 'ssn' then array({', '.join(f'{n}L' for n in SSN_PARTS)})
       else transform(c, x -> {_class('x', 'k', True)}) end"""
     label = "concat(if(k like '%yyyy%', 'date', k), '|', array_join(cast(p.r as array<string>), '.'))"
     text = f"array_join(zip_with(c, q, (x, y) -> if({_class('x', 'k', True)} = 1, decode(unhex(lpad(hex(x), 8, '0')), 'UTF-32'), chr({_class('x', 'k', False)} + y))), '')"
@@ -125,6 +131,7 @@ def pseudonym(key: str) -> str:
     filled = "array_join(transform(sequence(1, char_length(w)), i -> if(substring(w, i, 1) rlike '[0-9A-Z]', substring(u, char_length(regexp_replace(substring(w, 1, i), '[^0-9A-Z]', '')), 1), substring(w, i, 1))), '')"
     shown = f"""case when k = 'ip' then array_join(cast(q as array<string>), '.')
       when k like '%yyyy%' then date_format(date_add(date'1900-01-01', cast(q[0] * {DAY_PARTS[1]} + q[1] as int)), k)
+      when k = 'ssn' then concat_ws('-', lpad(cast(q[0] + if(q[0] < 665, 1, 2) as string), 3, '0'), lpad(cast(q[1] + 1 as string), 2, '0'), lpad(cast(q[2] + 1 as string), 4, '0'))
       else {_let('t', text, f"case k when 'mail' then concat(t, substring(m, instr(m, '@'))) when 'hex' then t else "
                  f"concat(if(k = 'phone', {country}, ''), {_let('u', full, _let('w', tail, filled))}) end")} end"""
     inner = _let("p", f"named_struct('v', {values}, 'r', {radices})", _let("q", permuted("p.v", "p.r", label, key), shown))
@@ -168,13 +175,13 @@ def _again(text: str) -> str:
     return f"flatten(transform(regexp_extract_all({text}, {runs}, 0), run -> aggregate(sequence(0, regexp_count(run, {where})), {start}, (z, o) -> {step}, z -> {close})))"
 
 
-def pseudonymised(docs: DataFrame, key: str = "quillspark", text: str = "text", count: str = "n_replaced") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
     """Replace validated personal numbers, dates, addresses and secrets in ``text`` by keyed pseudonyms of the same form.
 
     Kinds: e-mail (local part), keys of 32 to 64 hex digits, IBAN (modulo 97), IPv4
     (octets), dates of 1900 to 2099 (calendar), phone numbers, social security numbers,
     card numbers (Luhn).  A pseudonym is a keyed permutation within the value's form, so
-    equal values stay equal across documents, unequal ones unequal, and checksums hold.
+    equal values stay equal across documents, unequal ones unequal, and checksums and ranges hold.  Whoever has ``key`` can undo it.
     Of a card or account number that doesn't validate, the parts up to its gaps are tried,
     and the search goes on behind the part that does, or else behind its first number.
     What doesn't validate stays as it is, and so does all other text.
@@ -185,12 +192,19 @@ def pseudonymised(docs: DataFrame, key: str = "quillspark", text: str = "text",
 
     Returns the columns of ``docs`` with ``text`` replaced, and the number of replacements.
     """
-    body = F.col(text)
+    columns, body = [c for c in docs.columns if c != count], named(text)
+    docs = docs.select(*map(named, columns))
+    if not {c.lower() for c in columns}.isdisjoint({"found_", "pairs_", "new_"}):
+        # What is worked out on the way must not hide a column.
+        own = {c: f"c{i}" for i, c in enumerate(columns)}
+        out = pseudonymised(docs.select(*[named(c).alias(n) for c, n in own.items()]), key, own[text], "replaced")
+        return out.select(*[F.col(n).alias(c) for c, n in own.items()], F.col("replaced").alias(count))
     found = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
-    out = docs.withColumn("_found", F.when(body.isNotNull(), found).otherwise(F.array().cast("array<string>")))
-    once = F.zip_with(F.split(body, ANY), "_found", lambda s, m: F.struct(s.alias("s"), m.alias("m")))
-    out = out.withColumn("_pairs", F.when(F.size("_found") > 0, F.when(F.expr(f"exists(_found, m -> m <> {cut('m')})"), F.expr(_again(f"`{text}`"))).otherwise(once)))
-    out = out.withColumn("_new", F.expr(f"transform(_pairs.m, m -> if(m is null, null, {pseudonym(key)}))"))
-    pieces = F.zip_with("_pairs", "_new", lambda p, q: F.concat(p["s"], F.coalesce(q, p["m"], F.lit(""))))
-    out = out.withColumn(count, F.coalesce(F.size(F.filter("_new", lambda q: q.isNotNull())), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col(count) > 0, F.array_join(pieces, "")).otherwise(body)).drop("_found", "_pairs", "_new")
+    out = docs.withColumn("found_", F.when(body.isNotNull(), found).otherwise(F.array().cast("array<string>")))
+    once = F.zip_with(F.split(body, ANY), "found_", lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+    out = out.withColumn("pairs_", F.when(F.size("found_") > 0, F.when(F.expr(f"exists(found_, m -> m <> {cut('m')})"), F.expr(_again(f"`{text}`"))).otherwise(once)))
+    out = out.withColumn("new_", F.expr(f"transform(pairs_.m, m -> if(m is null, null, {pseudonym(key)}))"))
+    pieces = F.zip_with("pairs_", "new_", lambda p, q: F.concat(p["s"], F.coalesce(q, p["m"], F.lit(""))))
+    n = F.coalesce(F.size(F.filter("new_", lambda q: q.isNotNull())), F.lit(0)).cast("long")
+    kept = [F.when(n > 0, F.array_join(pieces, "")).otherwise(body).alias(text) if c == text else named(c) for c in columns]
+    return out.select(*kept, n.alias(count))

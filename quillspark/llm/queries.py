@@ -20,8 +20,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret from the session's setting; the public stand-in is for tests and benchmarks only."""
+    return spark.conf.get("spark.quillspark.pseudonym.key", "quillspark")
+
+
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ def lpt_shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text:
     larger than total / (n_shards * FINE) are scheduled one by one: there are fewer than
     n_shards * FINE of those whatever the input.  The rest is first hashed by group into
     BUNDLES bundles, and the bundles are scheduled like groups.  So the heap works on a
-    number of items bounded by parameters, and these tables may be broadcast.
+    number of items bounded by parameters, and these tables may be broadcast.  Beyond about n_shards * FINE groups of like
+    size, therefore, most are dealt by bundle; shards then differ by about a bundle's part that is left at the end.
 
     Nulls: a null text counts as empty; a null id is kept.  Repeated rows each get a slot.
     An empty table gives an empty result.  Other columns are not read.
