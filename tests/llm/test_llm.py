@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from quillspark.llm import components, cws, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, queries, sharding, substring_dedup, topk
+from quillspark.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,7 +71,7 @@ def test_ppm_is_brute_force(spark):
     for i, t in docs:
         w = [x.encode() for x in WORD.findall(lower(t))]
         held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-        s = [0] * 5 + [b + 1 for b in b" ".join(w)] + [257]
+        s = [0] * 5 + [b + 1 for b in lower(t).encode()] + [257]
         prep.append((i, held, [*w, "END"], s))
         if not held:
             words.update([*w, "END"])
@@ -221,7 +222,7 @@ def test_shards_even_and_gapless(spark):
 
 def test_pseudonyms(spark):
     docs = [(1, "card 4111111111111111 or 4111 1111 1111 1111, not 4111111111111112"), (2, "on 2024-02-29, 29.02.2024; not 2024-02-30"), (3, None), (4, ""), (5, "IBAN DE89370400440532013000"), (6, "clean 12 words")]
-    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, docs)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, docs), "k").collect()}
     digits = re.findall(r"\d[\d ]{14,}\d", got[1].text)
     assert got[1].n_replaced == 2 and digits[0] == digits[1].replace(" ", "") != "4111111111111111" and digits[2] == "4111111111111112"
     assert sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[0][::-1])) % 10 == 0
@@ -238,7 +239,7 @@ def test_pseudonyms_side_by_side(spark):
         (f"{card} 190.137.223.204", [card, "190.137.223.204"]), ("pay 4111 1111 1111 1111 123 now", ["4111 1111 1111 1111"]), (f"{iban} 2024", [iban]), (f"to {short} BIC, {card}", [short, card]),
         ("BE68 5390 0754 7034 2024-02-29", ["BE68 5390 0754 7034", "2024-02-29"]), ("no 123 4111 1111 1111 1111 12", ["4111 1111 1111 1111"]), (f"{card} 4111111111111111", [card, "4111111111111111"]), ("4111111111111112 123", []), ("a@b.de\n4111 1111 1111 1112 77", ["a@"]),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)] + [(50, card), (51, iban)])).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)] + [(50, card), (51, iban)]), "k").collect()}
     for i, (t, gone) in enumerate(texts):
         assert got[i].n_replaced == len(gone) and len(got[i].text) >= len(t) - 12, (t, got[i].text)
         assert not any(g in got[i].text for g in gone), (t, got[i].text)
@@ -273,14 +274,61 @@ def test_quality_learns(spark):
     assert len(got) == len(docs) and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 200)
 
 
-def test_targets_share_all(spark):
-    got = mixing.targets([100, 10, 1000], [5, 2, 1], 1665.0, 2.0)
-    assert got[0] == 200 and got[1] == 20 and abs(sum(got) - 1665) < 1e-6
+def test_targets_share_all(spark, tmp_path):
+    sizes = {"a": 100, "b": 10, "c": 1000, "z\U0001f600": 0, "z\uffff": 300, None: 50}
+    weights = dict(zip(["a", "b", "c", "z\uffff", "z\U0001f600", None], [5, 2, 1, 5, 2, 1], strict=True))
+    total, tables = 1.5 * sum(sizes.values()), Tables(spark, "t")
+    got = {r.source: r.target for r in mixing.targets(tables, spark.createDataFrame(list(sizes.items()), "source string, size long"), (5, 2, 1), 1.5, 2.0).collect()}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * n, mid * weights[s]) for s, n in sizes.items()) < total else (lo, mid)
+    assert sum(got.values()) == pytest.approx(total)
+    assert all(got[s] == pytest.approx(min(2 * n, lo * weights[s])) for s, n in sizes.items())
+
+
+def test_inclusion_frequencies_are_the_wanted_ones(spark):
+    # 300 sources of like documents: as many draws with one set of odds for each weight.
+    sizes = [5 + 3 * i for i in range(30)]
+    docs = [(s * 100 + i, "w " * n, f"s{s:04d}") for s in range(900) for i, n in enumerate(sizes)]
+    got = mixing.mixed_sources(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)).collect()
+    drawn, wanted, words, targets = defaultdict(list), {}, Counter(), {}
+    for r in got:
+        rest = r.target / r.source_size % 1
+        if rest > 0:
+            drawn[round(r.target), r.size].append(r.copies - int(r.target // r.source_size))
+            wanted[round(r.target), r.size] = r.inclusion
+        words[r.source] += r.taken
+        targets[r.source] = r.target
+    assert len(got) == len(docs) and len({round(p, 6) for p in wanted.values()}) >= len(sizes)
+    for k, hits in drawn.items():
+        assert len(hits) == 300 and abs(sum(hits) / 300 - wanted[k]) < 0.11, (k, sum(hits) / 300, wanted[k])
+    for target, size in {(t, s) for t, s in drawn}:
+        mine = [(wanted[target, n], n) for n in sizes]
+        assert abs(sum(p * n for p, n in mine) + target // sum(sizes) * sum(sizes) - target) < 1
+    assert all(abs(words[s] - t) <= max(sizes) / 2 for s, t in targets.items())
+    assert max(wanted.values()) - min(wanted.values()) > 0.3
+
+
+def test_mix_of_odd_rows(spark):
+    rows_ = [(None, "a b c", None, 1, 2), (None, "a b c", None, 1, 2), (None, "a b c", None, 3, 4), (1, None, "s", 0, 0), (2, "", "s", 0, 0), (2, "", "s", 0, 0), *((i, "x y " * i, "s", i, i) for i in range(3, 40)), *((7, "same text here", "t", 0, 0) for _ in range(50))]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string, copies long, copy long").repartition(3)
+    taken = mixing.mixed_sources(docs).collect()
+    assert len(taken) == len(rows_) and all(0 <= r.taken <= 2 * r.size for r in taken)
+    size = lambda t: len(WORD.findall(t or ""))
+    for s in (None, "s", "t"):
+        mine = [r for r in taken if r.source == s]
+        assert {r.source_size for r in mine} == {sum(size(r[1]) for r in rows_ if r[2] == s)}
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
+    assert len({r.copies for r in taken if r.doc_id == 7}) == 2 or mine[0].target % mine[0].source_size == 0
+    got = Counter(tuple(r) for r in mixing.mix(docs).collect())
+    assert got == Counter(tuple(r) for r in mixing.mix(docs.repartition(7)).collect()) and set(got) <= set(rows_)
+    assert sum(n * size(r[1]) for r, n in got.items()) == sum(r.taken for r in taken)
 
 
 def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int")
     sources = none.selectExpr("doc_id", "text", "score as source")
-    for df in (substring_dedup.without_repeats(none), ppm.scored(none), packing.packed(none, queries.tokenizer_path()), sharding.lpt_shards(none), jaccard_rtree.near_groups(none), nbsvm.quality_scores(none, labels), cws.fingerprints(none), pii.pseudonymised(none), mixing.mixed_sources(sources)):
+    for df in (substring_dedup.without_repeats(none), ppm.scored(none), packing.packed(none, queries.tokenizer_path()), sharding.lpt_shards(none), jaccard_rtree.near_groups(none), nbsvm.quality_scores(none, labels), cws.fingerprints(none), pii.pseudonymised(none, "k"), mixing.mixed_sources(sources)):
         assert df.count() == 0
