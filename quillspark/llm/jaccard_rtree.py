@@ -320,6 +320,8 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
     key = ("rid", "n", "counts", "k1", "k2")
     firsts = heads.select(*key, F.explode(F.slice("head", 1, FIRSTS)).alias("name"))
     centres = firsts.groupBy("name").agg(F.min(F.struct(*key)).alias("c"), F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Written, so that the join is of two plain exchanges, whose hot shingles Spark can split.
+    centres = tables.write(centres, "centres")
     bound = F.aggregate(F.zip_with("counts", "c.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     edges = firsts.join(centres, "name").where((F.col("rid") != F.col("c.rid")) & linked(bound, F.col("n"), F.col("c.n")))
     edges = edges.select(F.col("rid").alias("a"), F.col("c.rid").alias("b"), "k1", "k2", F.col("c.k1").alias("c1"), F.col("c.k2").alias("c2")).distinct()
@@ -333,12 +335,12 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
     texts = rows.select("k1", "k2", "text").join(sent(ends), ["k1", "k2"]).select(F.col("part").alias("home"), "rid", "text")
     stars = compared(dealt.select("part", "a", "b").groupBy("part").cogroup(texts.groupBy("home")).applyInArrow(lambda e, t: _stars(e, t), LINKS), "stars")
     labels = tables.write(components(stars), "labels")
-    tables.drop(edges, dealt)
+    tables.drop(edges, dealt, centres)
 
     n_labels = labels.count()
     labelled = lambda df: df.join(sent(labels.select(F.col("node").alias("rid"), "component"), n_labels), "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
     entries = heads.select("rid", F.explode("head").alias("name"))
-    often = entries.groupBy("name").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = tables.write(entries.groupBy("name").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     shared = tables.write(labelled(entries.join(often, "name")), "shared")
     hottest = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("often").desc(), "name"))
     led = shared.withColumn("place", hottest).join(sets.select("rid", "n"), "rid").where(F.col("place") > F.floor(F.col("n") / 16))
@@ -353,7 +355,7 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
     lists = shared.groupBy("rid", "label").agg(F.collect_list("name").alias("names"))
     met_docs = needed.join(sets.select("rid", "counts", F.try_element_at("head", F.lit(-1)).alias("top")), "rid").join(lists, "rid")
     maybe = compared(groups.groupBy("part").cogroup(met_docs.groupBy("home")).applyInArrow(lambda g, d: _candidates(g, d), LINKS), "maybe")
-    tables.drop(shared, groups)
+    tables.drop(shared, groups, often)
 
     found = components(maybe)
     sized = labelled(heads.select("rid", "k1", "k2")).join(sent(found.select(F.col("node").alias("label"), "component")), "label")
