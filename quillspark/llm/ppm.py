@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -29,8 +30,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     total = offsets + np.arange(n + 1)
     shift = ORDER * (np.arange(n) + 1)
     out = np.zeros(int(total[-1]) + ORDER * n, np.uint64)
-    out[np.arange(len(data)) + np.repeat(np.arange(n) + shift, sizes)] = data
-    out[np.arange(len(data)) + np.repeat(np.arange(n) + shift, sizes)] += np.uint64(1)
+    out[np.arange(len(data)) + np.repeat(np.arange(n) + shift, sizes)] = data.astype(np.uint64) + np.uint64(1)
     out[total[1:] + shift - 1] = END
     gram = out.copy()
     for j in range(1, ORDER + 1):
@@ -40,8 +40,10 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names, back = np.unique(keys, return_inverse=True)
-    return names, np.bincount(back, counts, len(names)).astype(np.int64)
+    back, names = pd.factorize(keys)
+    total = np.bincount(back, counts, len(names)).astype(np.int64)
+    order = np.argsort(names)
+    return names[order], total[order]
 
 
 def _pairs(batches):
@@ -176,17 +178,16 @@ def _score(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa
     for kind in (0, 1):
         part = replies.filter(pa.compute.equal(replies.column("kind"), kind))
         keys, values = joined(part.column("keys"), np.uint64)[0], joined(part.column("vals"), np.float64)[0]
-        order = np.argsort(keys)
-        told.append((keys[order], values[order]))
-    (grams, prices), (words, counts) = told
-    end = counts[np.searchsorted(words, _END_TOKEN)] if len(words) else 0.0
+        told += [pd.Index(keys), values]
+    grams, prices, words, counts = told
+    end = counts[words.get_loc(_END_TOKEN)] if len(words) else 0.0
     parts = [OUT.empty_table()]
     for i, j, data, offsets in table_slices(table):
         data = lowered(data)
         s, e, place = word_spans(data, offsets)
         gram, at = symbols(data, offsets)
-        score = np.add.reduceat(prices[np.searchsorted(grams, gram)], at[:-1])
-        c = counts[np.searchsorted(words, span_hashes(data, s, e))]
+        score = np.add.reduceat(prices[grams.get_indexer(gram)], at[:-1])
+        c = counts[words.get_indexer(span_hashes(data, s, e))]
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[place])
         n = j - i
         known = (sums((c > 0).astype(np.int64)) + int(end > 0)).astype(np.int64)
