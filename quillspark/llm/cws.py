@@ -9,7 +9,7 @@ from quillspark.llm.rows import once
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Samples in a fingerprint, drawn GROUP at a time; rows aimed at in a bucket of neighbouring ids, and the most buckets.
-SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 56, 4, 400, 100_000
+SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 48, 4, 400, 100_000
 #: Bits of a sample's name; the highest one is that of a text without words.
 NAME_BITS = 24
 BLANK = (1 << NAME_BITS) - 1
