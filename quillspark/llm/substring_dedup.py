@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -133,18 +134,17 @@ class _Batch:
 
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Windows whose anchor is shared."""
-        if not len(shared):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(shared, self.anchor), len(shared) - 1)
-        return np.flatnonzero(shared[at] == self.anchor)
+        return np.flatnonzero(pd.Index(shared).get_indexer(self.anchor) >= 0)
 
 
 def _ask(key: tuple[pa.Scalar, ...], table: pa.Table, bits: int) -> pa.Table:
     """The batch's anchors, each once, to the anchors' buckets."""
     batch = _Batch(table, False)
     # Neighbouring windows have one anchor in common; what counts is at how many places it stands.
-    order = np.lexsort((batch.stands, batch.anchor))
-    a, x = batch.anchor[order], batch.stands[order]
+    a, x = batch.anchor, batch.stands
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (x[1:] != x[:-1]))[: len(a)])
+    order = new[np.lexsort((x[new], a[new]))]
+    a, x = a[order], x[order]
     names, counts = np.unique(a[np.append(True, (a[1:] != a[:-1]) | (x[1:] != x[:-1]))[: len(a)]], return_counts=True)
     cuts = bucket_cuts(names, bits).tolist()
     own = [(b, names[x:y].tobytes(), (counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
@@ -173,7 +173,7 @@ def _claim(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table, bits:
     cols: dict[str, list] = {k: [] for k in ("bucket", "batch", "name", "anchor", "doc_id", "rid", "start")}
     if len(table):
         batch = _Batch(table, True)
-        mine = batch.candidates(np.sort(_told(replies, "a", np.uint64)))
+        mine = batch.candidates(_told(replies, "a", np.uint64))
         if len(mine):
             row, start = batch.row[mine], batch.start[mine]
             first = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))
