@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space, as in splitting on any white space.
+#: Unicode white space as in splitting on any white space, line ends, and what links, tags and ids look like.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-WIKI = r"(!?)\[\[([^\[\]|#]*)(#\^?[^\[\]|]*)?(\|[^\[\]]*)?\]\]"
-MARKDOWN = r"(?<!!)\[([^\[\]]*)\]\(([^()\s]+\.md)\)"
-INLINE_TAG = r"(?<!\S)#([A-Za-z0-9_/-]+)"
-#: Fixed value: the namespace of chunk ids.
+WIKI = r"(!?)\[\[([^\]|#]+?)(?:#(\^?)([^\]|]+))?(?:\|([^\]]+))?\]\]"
+MARKDOWN = r"(?U)(?<!!)\[[^\]]*\]\(([^\s)]+\.md)\)"
+INLINE_TAG = r"(?U)(?<!\S)#([A-Za-z0-9_/-]+)"
+CODE_SPAN = "`[^`]*`"
+FENCE = r"(?U)^[\s\x1c-\x1f]*(```|~~~)"
 NAMESPACE = "b52d14a73f8954679512c3d5508b486d"
 
 
@@ -35,22 +36,39 @@ def lines(text: Column) -> Column:
     return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def outside_fences(text: Column) -> Column:
-    """The lines that are neither in a fenced block nor fences; a fence is closed by its own marker only."""
-    start = F.struct(F.lit("").alias("marker"), F.array().cast("array<string>").alias("out"))
+    """The lines that are neither in a fenced block nor fences; a fence is closed by its own marker only.
+
+    Only lines that begin with a marker are folded, to one character of state each; the lines between them are sliced out,
+    so the work is linear in the lines.
+    """
+    given = F.struct(lines(text).alias("lines"))
+    marks = lambda g: F.filter(F.transform(g["lines"], lambda x, i: F.struct(F.substring(F.regexp_extract(x, FENCE, 1), 1, 1).alias("mark"), i.alias("at"))), lambda m: m["mark"] != "")
+
+    def step(state: Column, m: Column) -> Column:
+        now = F.substring(state, -1, 1)
+        return F.concat(state, F.when(now == "0", m["mark"]).when(now == m["mark"], F.lit("0")).otherwise(now))
 
-    def step(s: Column, line: Column) -> Column:
-        mark = F.substring(F.ltrim(line), 1, 3)
-        fence = mark.isin("```", "~~~")
-        free = s["marker"] == ""
-        marker = F.when(free & fence, mark).when(~free & (mark == s["marker"]), F.lit("")).otherwise(s["marker"])
-        return F.struct(marker.alias("marker"), F.when(free & ~fence, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
+    def free(g: Column, found: Column, states: Column) -> Column:
+        # Segment j lies before marker j; the last one ends with the text.
+        n = F.size(found)
+        begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.coalesce(F.get(found, j - 1)["at"], F.lit(0)) + 1)
+        end = lambda j: F.when(j == n, F.size(g["lines"])).otherwise(F.coalesce(F.get(found, j)["at"], F.lit(0)))
+        part = lambda j: F.when(F.substr(states, j + 1, F.lit(1)) == "0", F.slice(g["lines"], begin(j) + 1, end(j) - begin(j)))
+        return F.flatten(F.filter(F.transform(F.sequence(F.lit(0), n), part), lambda x: x.isNotNull()))
 
-    return F.aggregate(lines(text), start, step)["out"]
+    # Each step is worked out once, as the only element of an array.
+    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    return F.when(text.isNotNull(), once(given, lambda g: once(marks(g), lambda found: once(F.aggregate(found, F.lit("0"), step), lambda states: free(g, found, states)))))
 
 
 def without_code(line: Column) -> Column:
-    return F.regexp_replace(line, "`[^`]*`", " ")
+    return F.regexp_replace(line, CODE_SPAN, " ")
 
 
 def inline_tags(text: Column) -> Column:

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import MARKDOWN, WIKI, basename, outside_fences, without_code
+from quillspark.functions.text import MARKDOWN, WIKI, basename, outside_fences, stripped, without_code
 
 
 def extract_links(notes: DataFrame) -> DataFrame:
     """(note_id, line, class, pos, kind, target_raw, heading, block_id, alias) of all links outside code, in order.
 
-    Wiki links of a line come before its markdown links.  Embeds of files other than notes are left out.
+    Wiki links of a line come before its markdown links, which have no alias.  Embeds of files other than notes are left out.
     """
     rows = notes.select("note_id", F.posexplode(outside_fences(F.col("body"))).alias("line", "text")).withColumn("text", without_code(F.col("text")))
     wiki = rows.select("note_id", "line", F.lit(0).alias("class"), F.posexplode(F.regexp_extract_all("text", F.lit(WIKI), F.lit(0))).alias("pos", "m"))
     part = lambda g: F.regexp_extract("m", WIKI, g)
-    mark = part(3)
+    given = lambda g: F.when(part(g) != "", stripped(part(g)))
     none = F.lit(None).cast("string")
     wiki = wiki.select(
-        "note_id", "line", "class", "pos", F.when(part(1) == "!", "embed").otherwise("link").alias("kind"), F.trim(part(2)).alias("target_raw"),
-        F.when(mark.rlike("^#[^^]"), F.trim(F.substring(mark, 2, 1 << 30))).alias("heading"), F.when(mark.startswith("#^"), F.substring(mark, 3, 1 << 30)).alias("block_id"),
-        F.when(part(4) != "", F.trim(F.substring(part(4), 2, 1 << 30))).alias("alias"),
+        "note_id", "line", "class", "pos", F.when(part(1) == "!", "embed").otherwise("link").alias("kind"), stripped(part(2)).alias("target_raw"),
+        F.when(part(3) == "", given(4)).alias("heading"), F.when(part(3) != "", given(4)).alias("block_id"), given(5).alias("alias"),
     )
     foreign = (F.col("kind") == "embed") & F.col("target_raw").rlike(r"\.[A-Za-z0-9]+$") & ~F.lower("target_raw").endswith(".md")
-    plain = rows.select("note_id", "line", F.lit(1).alias("class"), F.posexplode(F.regexp_extract_all("text", F.lit(MARKDOWN), F.lit(0))).alias("pos", "m"))
-    plain = plain.select("note_id", "line", "class", "pos", F.lit("link").alias("kind"), F.regexp_extract("m", MARKDOWN, 2).alias("target_raw"), none.alias("heading"), none.alias("block_id"), F.nullif(F.regexp_extract("m", MARKDOWN, 1), F.lit("")).alias("alias"))
+    plain = rows.select("note_id", "line", F.lit(1).alias("class"), F.posexplode(F.regexp_extract_all("text", F.lit(MARKDOWN), F.lit(1))).alias("pos", "target_raw"))
+    plain = plain.select("note_id", "line", "class", "pos", F.lit("link").alias("kind"), "target_raw", none.alias("heading"), none.alias("block_id"), none.alias("alias"))
     return wiki.where(~foreign & (F.col("target_raw") != "")).unionByName(plain)
 
 
