@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def diff(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(note_id, change): added, modified, deleted or unchanged, from (note_id, content_hash) on both sides."""
-    both = current.select("note_id", F.col("content_hash").alias("new")).join(previous.select("note_id", F.col("content_hash").alias("old")), "note_id", "full_outer")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("new") != F.col("old"), "modified").otherwise("unchanged")
+    """(note_id, change): added, modified, deleted or unchanged, from (note_id, content_hash) on both sides; a null hash equals another."""
+    side = lambda df, h, here: df.select("note_id", F.col("content_hash").alias(h), F.lit(True).alias(here))
+    both = side(current, "new", "is_new").join(side(previous, "old", "is_old"), "note_id", "full_outer")
+    change = F.when(F.col("is_old").isNull(), "added").when(F.col("is_new").isNull(), "deleted").when(~F.col("new").eqNullSafe(F.col("old")), "modified").otherwise("unchanged")
     return both.select("note_id", change.alias("change"))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import quoted
+
 
 def filtered(chunks: DataFrame, tags: list[str] | None = None, folder: str | None = None, after=None, before=None) -> DataFrame:
     """Any of the tags, the very folder ('' is the root), created in the closed range; an open end, no tags or None doesn't filter."""
@@ -40,6 +42,18 @@ def dense_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "chun
     return vectors.select(key, cosine(F.col(vector), query).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def dense_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "dense") -> DataFrame:
+    """The k nearest of each of a few queries (query_id, query), sent to every task: (query_id, key, score, rank)."""
+    number = lambda a, f: F.aggregate(a, F.lit(0.0), f)
+    length = lambda v: F.sqrt(number(v, lambda s, x: s + x.cast("double") * x.cast("double")))
+    asked = queries.select("query_id", "query", length(F.col("query")).alias("own"))
+    held = vectors.select(key, F.col(vector).alias("v"), length(F.col(vector)).alias("norm"))
+    dot = number(F.zip_with("v", "query", lambda a, b: a.cast("double") * b.cast("double")), lambda s, x: s + x)
+    scored = held.join(F.broadcast(asked)).select("query_id", key, (dot / (F.col("norm") * F.col("own"))).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def term_weights(texts: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, mean: float = 256.0) -> DataFrame:
     """(key, term, weight): saturated term frequency; documents and queries alike."""
     words = texts.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("term"))
@@ -74,15 +88,42 @@ def rerank(candidates: DataFrame, score: Column, rerank_n: int = 30, final_k: in
     return first.orderBy("rank").limit(rerank_n).withColumn("score", score).orderBy(F.desc("score"), "rank").limit(final_k)
 
 
-def context(ranked: DataFrame, budget: int = 2000, start: int = 1) -> DataFrame:
-    """The best chunks while their tokens fit the budget; the first always stays.  Adds key S1, S2, ..."""
-    whole = F.sum("token_estimate").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    place = F.row_number().over(Window.orderBy("rank"))
+def context(ranked: DataFrame, budget: int = 2000, start: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best chunks by rank while their tokens fit the budget; the first always stays.  Adds key S1, S2, ...
+
+    Of one list, what can't fit is cut off first: at most ``budget`` chunks with tokens do, so the windows see these only.  ``by``:
+    columns that name a list of its own, each of which is ordered by itself.
+    """
+    if not by:
+        ends = ranked.where("token_estimate > 0").select("rank", "token_estimate").orderBy("rank").limit(budget + 1)
+        upto = F.sum("token_estimate").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+        last = ends.withColumn("upto", upto).where((F.col("upto") > budget)).agg(F.min("rank").alias("last"))
+        ranked = ranked.join(F.broadcast(last)).where(F.col("last").isNull() | (F.col("rank") <= F.col("last"))).drop("last")
+    of = Window.partitionBy(*by).orderBy("rank") if by else Window.orderBy("rank")
+    whole, place = F.sum("token_estimate").over(of.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(of)
     out = ranked.withColumn("upto", whole).withColumn("n", place).where((F.col("n") == 1) | (F.col("upto") <= budget))
     return out.withColumn("key", F.concat(F.lit("S"), (F.col("n") + start - 1).cast("string"))).drop("n", "upto")
 
 
-def validated_citations(answers: DataFrame, known: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
-    """Keys of ``answers`` (id, answer) that are known (id, key, ...), each once, by first place."""
+def cited(answers: DataFrame, known: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """Keys of ``answers`` (id, answer), each once by first place pos, with the columns of ``known`` (id, key, ...) and whether it is ``known``."""
     used = answers.select("id", F.posexplode(keys(F.col("answer"))).alias("pos", "key")).groupBy("id", "key").agg(F.min("pos").alias("pos"))
-    return used.join(known, ["id", "key"])
+    return used.join(known.withColumn("known", F.lit(True)), ["id", "key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def validated_citations(answers: DataFrame, known: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """The known ones of ``cited``."""
+    return cited(answers, known, keys).where("known").drop("known")
+
+
+def unknown_citations(answers: DataFrame, known: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+    """(id, key) of keys that were never given, to be reported."""
+    return cited(answers, known, keys).where("not known").select("id", "key")
+
+
+def sources_footer(citations: DataFrame, vault: str) -> DataFrame:
+    """(id, footer): a line a citation (id, key, path, start_line, end_line), by key as text: [S1] path:L1-L2 and a link that opens the note."""
+    link = F.concat(F.lit("obsidian://open?vault="), quoted(F.lit(vault)), F.lit("&file="), quoted(F.col("path")))
+    line = F.format_string("[%s] %s:L%d-L%d (%s)", F.col("key"), F.col("path"), F.col("start_line"), F.col("end_line"), link)
+    rows = F.sort_array(F.collect_list(F.struct("key", line.alias("line"))))
+    return citations.groupBy("id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("footer"))

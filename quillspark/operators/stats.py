@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import graph
+
 
 def token_distribution(chunks: DataFrame) -> DataFrame:
     """min, max, mean and median of the chunks' tokens; no row for no chunks."""
@@ -20,3 +24,16 @@ def top_tags(notes: DataFrame, most: int = 10) -> DataFrame:
 
 def top_folders(notes: DataFrame, most: int = 10) -> DataFrame:
     return notes.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").limit(most)
+
+
+def corpus(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """The statistics bundle as one table (section, item, value): counts, tokens a chunk, top tags and folders, orphans, unresolved targets."""
+    row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+    one, zero = F.lit(1), F.lit(0)
+    tokens = token_distribution(chunks).select(F.explode(F.create_map(*[x for c in ("min", "max", "mean", "median") for x in (F.lit(c), F.col(c).cast("double"))])).alias("k", "v"))
+    parts = [
+        row(notes.agg(F.count(one).alias("n")), "count", F.lit("notes"), F.col("n")), row(chunks.agg(F.count(one).alias("n")), "count", F.lit("chunks"), F.col("n")), row(tokens, "tokens", F.col("k"), F.col("v")),
+        row(top_tags(notes, most), "tag", F.col("tag"), F.col("n")), row(top_folders(notes, most), "folder", F.col("folder"), F.col("n")),
+        row(graph.orphans(nodes, edges), "orphan", F.col("id"), zero), row(graph.ghosts(nodes), "unresolved", F.col("id"), zero),
+    ]
+    return reduce(DataFrame.unionByName, parts)
