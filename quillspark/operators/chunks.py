@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ _HEADING = re.compile(r" {0,3}(#{1,6}) +(.*)$")
 _CLOSING = re.compile(r"\s+#+\s*$")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _FENCES = ("```", "~~~")
+#: Characters of text after which a batch of chunks goes on.
+BATCH_CHARS = 4 << 20
 _PIECES = "header_path array<string>, text string, start_line int, end_line int, token_estimate long, place int"
 
 
@@ -162,20 +164,30 @@ def chunk_notes(notes: DataFrame, most: int = 512, least: int = 64, overlap: int
     chunks.  chunk_id is a name-based id of note, path and the chunk's ordinal under that path.
     """
     kept = [f for f in notes.schema.fields if f.name in ("note_id", "path", "title", "tags", "created")]
-    names = [f.name for f in kept]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_PIECES])
+    names = [f.name for f in kept]
+    kinds = [("header_path", pa.list_(pa.string())), ("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("token_estimate", pa.int64()), ("place", pa.int32())]
+
+    def table(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        cols = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names] + [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, names=[*names, *(k for k, _ in kinds)])
 
     def cut(batches):
-        for pdf in batches:
-            # A note is a batch of its own, so that no batch holds more than one note's chunks.
-            for i, body in enumerate(pdf["body"]):
-                found = pieces(body, most, least, overlap) if isinstance(body, str) else []
-                if found:
-                    out = pdf.iloc[[i] * len(found)][names].reset_index(drop=True)
-                    rest = [(list(x.path), x.text, x.first, x.last, _words(x.text), k) for k, x in enumerate(found)]
-                    yield pd.concat([out, pd.DataFrame(rest, columns=["header_path", "text", "start_line", "end_line", "token_estimate", "place"])], axis=1)
-
-    cuts = notes.select(*names, "body").mapInPandas(cut, schema)
+        for batch in batches:
+            rows, found, held = [], [], 0
+            for i, body in enumerate(x.as_py() for x in batch.column("body")):
+                own = [(list(x.path), x.text, x.first, x.last, _words(x.text), k) for k, x in enumerate(pieces(body or "", most, least, overlap))]
+                rows.extend([i] * len(own))
+                found.extend(own)
+                held += len(body or "")
+                # A note's chunks are some more than its text: batches go on by the text that they hold.
+                if found and held > BATCH_CHARS:
+                    yield table(batch, rows, found)
+                    rows, found, held = [], [], 0
+            if found:
+                yield table(batch, rows, found)
+
+    cuts = notes.select(*names, "body").mapInArrow(cut, schema)
     ordinal = F.row_number().over(Window.partitionBy("note_id", "header_path").orderBy("place")) - 1
     name = F.concat("note_id", F.lit("::"), F.array_join("header_path", "/"), F.lit("::"), ordinal.cast("string"))
     return cuts.withColumn("chunk_id", uuid5(name)).withColumn("folder", folder(F.col("note_id")))

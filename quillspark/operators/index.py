@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.operators import chunks as C
 from quillspark.operators import manifest, retrieval
@@ -14,63 +16,125 @@ MANIFEST = "note_id string, content_hash string"
 
 
 class NoteIndex:
-    """Versions v1, v2, ... under ``root``, each with tables manifest, chunks and terms.
+    """Versions v1, v2, ... under ``root``, each with a manifest and the parts of tables chunks and terms that it changed.
 
-    A version counts once its manifest is written, which comes last, so that a run that is cut off is
+    Rows lie in buckets by a hash of their note; a version writes the buckets of changed notes and points to older versions for
+    the others.  A version counts once its pointers are written, which come last, so that a run that is cut off is
     run again; readers keep the version they opened.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] | None = None):
-        """``embed`` adds column dense to rows with column embedding_text; without it there are no vectors."""
-        self.spark, self.root, self.embed = spark, root.rstrip("/"), embed
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 16):
+        """``embed`` adds column dense to rows with column embedding_text; without it there are no vectors.
 
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        ``buckets`` counts for the first version; later ones keep it.
+        """
+        self.spark, self.root, self.embed, self.buckets = spark, root.rstrip("/"), embed, buckets
+
+    def _path(self, at: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.root + at)
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        fs = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(self._path())] if fs.exists(self._path()) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._path(f"/{n}/pointers/_SUCCESS")))
 
     def version(self) -> int:
         """The last whole version; 0 for none."""
-        path, fs = self._files()
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/manifest/_SUCCESS"))]
-        return max(whole, default=0)
+        return max(self.versions(), default=0)
 
-    def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        """A table of a version; None where there is none yet."""
-        v = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/v{v}/{table}") if v else None
+    def _pointers(self, v: int) -> dict[int, int]:
+        """The version that holds each bucket."""
+        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.root}/v{v}/pointers").collect()} if v else dict.fromkeys(range(self.buckets), 0)
 
-    def refresh(self, notes: DataFrame, full: bool = False, purge_stale: bool = True, most: int = 512, least: int = 64, overlap: int = 64) -> dict[str, int]:
+    def read(self, table: str, version: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """A table of a version, or ``only`` some of its buckets; None where there is none yet."""
+        v = self.version() if version is None else version
+        if not v:
+            return None
+        if table == "manifest":
+            return self.spark.read.parquet(f"{self.root}/v{v}/manifest")
+        fs = self._fs()
+        places = [f"/v{at}/{table}/bucket={b}" for b, at in self._pointers(v).items() if only is None or b in only]
+        files = [self.root + x for x in places if fs.exists(self._path(x))]
+        schema = StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.root}/v{v}/schemas").where(F.col("table") == table).first()["schema"]))
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+
+    def refresh(self, notes: DataFrame, full: bool = False, purge_stale: bool = True, most: int = 512, least: int = 64, overlap: int = 64, progress: Callable[[str, int, int], None] | None = None) -> dict[str, int]:
         """Bring the index up to ``notes`` (note_id, title, body, content_hash, ...): notes by change.
 
         Only notes that are new or whose hash changed are chunked, and deleted ones lose their chunks.  ``full``
-        chunks all notes again; then chunks of deleted notes linger unless ``purge_stale``.
+        chunks all notes again; then chunks of deleted notes linger unless ``purge_stale``.  Texts of changed notes are read
+        once more and kept with the hash of that reading, so that a note edited meanwhile is found changed the next time, and a note
+        that has gone meanwhile is left out.  ``progress`` is told (stage, done, of all).
         """
+        tell = progress or (lambda *_: None)
         at = self.version()
         out = f"{self.root}/v{at + 1}"
-        now = notes.select("note_id", "content_hash")
+        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{out}/{name}"), self.spark.read.parquet(f"{out}/{name}"))[1]
+        now = keep(notes.select("note_id", "content_hash"), "seen")
+        tell("seen", 1, 5)
         before = self.read("manifest", at)
         before = self.spark.createDataFrame([], MANIFEST) if before is None else before
-        manifest.diff(now, before).write.mode("overwrite").parquet(f"{out}/changes")
-        changes = self.spark.read.parquet(f"{out}/changes")
+        changes = keep(manifest.diff(now, before), "changes")
         fresh = changes.where(F.col("change") != "deleted") if full else changes.where(F.col("change").isin("added", "modified"))
         gone = fresh if full and not purge_stale else fresh.unionByName(changes.where("change = 'deleted'"))
-        new = C.chunk_notes(notes.join(fresh.select("note_id"), "note_id", "left_semi"), most, least, overlap)
+        taken = keep(notes.join(fresh.select("note_id"), "note_id", "left_semi"), "taken")
+        tell("taken", 2, 5)
+        new = C.chunk_notes(taken, most, least, overlap)
         # Two paths of headings can have one name; the later chunk replaces the earlier.
         new = new.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "chunk_id"]), "place").alias("x")).select("chunk_id", "x.*")
         new = new.withColumn("embedding_text", C.embedding_text(F.col("title"), F.col("header_path"), F.col("text")))
-        new = self.embed(new) if self.embed else new
-        self._replace(out, "chunks", new, at, gone)
+        new = keep(self.embed(new) if self.embed else new, "new")
+        self._check_dimension(new, at)
+        tell("chunks", 3, 5)
+        pointers = self._pointers(at)
+        bucket = F.pmod(F.xxhash64("note_id"), F.lit(len(pointers))).cast("int")
+        touched = [r.bucket for r in gone.select(bucket.alias("bucket")).distinct().collect()]
         terms = retrieval.term_weights(new, "chunk_id", "embedding_text").join(new.select("chunk_id", "note_id"), "chunk_id")
-        self._replace(out, "terms", terms, at, gone)
-        now.write.mode("overwrite").parquet(f"{out}/manifest")
-        return {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def _replace(self, out: str, table: str, new: DataFrame, at: int, gone: DataFrame) -> None:
-        old = self.read(table, at)
-        if old is not None:
-            new = manifest.delete(old, gone.select("note_id")).unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").parquet(f"{out}/{table}")
+        schemas = []
+        for i, (table, rows) in enumerate((("chunks", new), ("terms", terms))):
+            old = self.read(table, at, touched)
+            if old is not None:
+                rows = manifest.delete(old, gone.select("note_id")).unionByName(rows, allowMissingColumns=True)
+            schemas.append((table, rows.schema.json()))
+            rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{table}")
+            tell(table, 4 + i, 5)
+        manifest.upsert(now.join(fresh.select("note_id"), "note_id", "left_anti"), taken.select("note_id", "content_hash"), "note_id").write.mode("overwrite").parquet(f"{out}/manifest")
+        self.spark.createDataFrame(schemas, "table string, schema string").write.mode("overwrite").parquet(f"{out}/schemas")
+        for name in ("seen", "taken", "new"):
+            self._fs().delete(self._path(f"/v{at + 1}/{name}"), True)
+        told = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = [(b, at + 1 if b in touched else v) for b, v in pointers.items()]
+        self.spark.createDataFrame(held, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{out}/pointers")
+        return told
+
+    def _check_dimension(self, new: DataFrame, at: int) -> None:
+        """All vectors of an index have one length."""
+        if "dense" not in new.columns:
+            return
+        sizes = {r[0] for r in new.select(F.size("dense")).distinct().limit(2).collect()}
+        old = self.read("chunks", at)
+        first = old.where("dense is not null").select(F.size("dense")).first() if old is not None and "dense" in old.columns else None
+        if len(sizes | ({first[0]} if first else set())) > 1:
+            raise ValueError(f"vectors of lengths {sorted(sizes | ({first[0]} if first else set()))}; index again with full=True in a new folder")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete what the last ``keep`` versions don't point to."""
+        kept = self.versions()[-keep:]
+        held = {(b, v) for k in kept for b, v in self._pointers(k).items()}
+        fs = self._fs()
+        for v in self.versions():
+            if v in kept:
+                continue
+            for table in ("chunks", "terms"):
+                for b in range(len(self._pointers(v))):
+                    if (b, v) not in held:
+                        fs.delete(self._path(f"/v{v}/{table}/bucket={b}"), True)
+            if not any(at == v for _, at in held):
+                fs.delete(self._path(f"/v{v}"), True)
 
 
 def hybrid_search(chunks: DataFrame, terms: DataFrame, query_terms: DataFrame, query_vector: list[float] | None, candidate_k: int = 50, k: int = 60, **filters) -> DataFrame:

@@ -5,37 +5,83 @@ from __future__ import annotations
 import fnmatch
 import os
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.frontmatter import with_header
 from quillspark.functions.text import basename, folder, inline_tags, tokens
 
-NOTES = "note_id string, path string, title string, body string, content_hash string, tags array<string>, aliases array<string>, created timestamp_ntz, folder string, token_estimate long"
 
 
-def note_paths(root: str, exclude: tuple[str, ...] = ("trash/**",)) -> list[str]:
-    """Relative paths of the notes, by path parts: no dot files or folders, no excluded globs ('*' crosses slashes)."""
-    found = []
-    for top, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if not d.startswith(".")]
-        rel = os.path.relpath(top, root)
-        found += [f if rel == "." else f"{rel}/{f}" for f in files if f.endswith(".md") and not f.startswith(".")]
-    return sorted((p for p in found if not any(fnmatch.fnmatchcase(p, g) for g in exclude)), key=lambda p: p.split("/"))
+def is_note(path: str, exclude: tuple[str, ...] = ("trash/**",)) -> bool:
+    """Whether a relative path is a note's: no dot file or folder, no excluded glob ('*' crosses slashes)."""
+    parts = path.split("/")
+    return path.endswith(".md") and not any(p.startswith(".") for p in parts) and not any(fnmatch.fnmatchcase(path, g) for g in exclude)
 
 
-def load_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("trash/**",)) -> DataFrame:
-    """Notes of a folder: texts are read by the executors from the listed paths, bad bytes become U+FFFD."""
-    paths = note_paths(root, exclude)
-    if not paths:
-        return spark.createDataFrame([], NOTES)
+def _found(root: str, folders, exclude: tuple[str, ...], deep: bool):
+    """(path, placeholder) of the notes in folders, and below them if ``deep``; a placeholder stands for a file that isn't there yet."""
+    fs, base = pafs.FileSystem.from_uri(root)
+    base = base.rstrip("/")
+    for folder in folders:
+        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=deep)):
+            path = info.path[len(base) + 1 :]
+            if info.type == pafs.FileType.File and not any(p.startswith(".") for p in path.split("/")[:-1]):
+                if path.endswith(".md.icloud"):
+                    yield path, True
+                elif is_note(path, exclude):
+                    yield path, False
+
+
+def note_paths(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("trash/**",)) -> DataFrame:
+    """(path, placeholder) of the notes under a folder of any file system that pyarrow opens; tasks list the folders below the first."""
+    fs, base = pafs.FileSystem.from_uri(root)
+    top = [i.path.rsplit("/", 1)[-1] for i in fs.get_file_info(pafs.FileSelector(base)) if i.type == pafs.FileType.Directory]
+    folders = [("", False)] + [(f, True) for f in sorted(top) if not f.startswith(".")]
+
+    def listed(batches):
+        for batch in batches:
+            for folder, deep in zip(batch.column("folder").to_pylist(), batch.column("deep").to_pylist(), strict=True):
+                rows = list(_found(root, [folder], exclude, deep))
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), (pa.string(), pa.bool_()), strict=True)], names=["path", "placeholder"])
+
+    return spark.createDataFrame(folders, "folder string, deep boolean").repartition(len(folders), "folder").mapInArrow(listed, "path string, placeholder boolean")
+
+
+def read_texts(paths: DataFrame, root: str) -> DataFrame:
+    """(path, raw, replaced): the files' texts, read by the tasks one by one; bad bytes become U+FFFD, and ``replaced`` tells that there is one."""
 
     def read(batches):
-        for pdf in batches:
-            pdf["raw"] = [open(os.path.join(root, p), "rb").read().decode("utf-8", "replace") for p in pdf["path"]]
-            yield pdf
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                    raw = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([raw]), pa.array(["\ufffd" in raw])], names=["path", "raw", "replaced"])
+
+    tasks = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.select("path").repartition(tasks, F.xxhash64("path")).mapInArrow(read, "path string, raw string, replaced boolean")
+
+
+def walk_report(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("trash/**",)) -> DataFrame:
+    """(path, problem): placeholders that were skipped, and notes some of whose bytes were replaced."""
+    paths = note_paths(spark, root, exclude)
+    skipped = paths.where("placeholder").select("path", F.lit("placeholder").alias("problem"))
+    return skipped.unionByName(read_texts(paths.where("not placeholder"), root).where("replaced").select("path", F.lit("replaced bytes").alias("problem")))
+
+
+def load_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("trash/**",)) -> DataFrame:
+    """Notes of a folder, listed and read by the tasks; see ``walk_report`` for what was skipped or replaced."""
+    root = root if "://" in root else os.path.abspath(root)
+    files = read_texts(note_paths(spark, root, exclude).where("not placeholder"), root).drop("replaced")
+    return as_notes(files)
+
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(read, "path string, raw string")
+def as_notes(files: DataFrame) -> DataFrame:
+    """Texts (path, raw) as notes."""
     rows = with_header(files).withColumn("note_id", F.regexp_replace("path", r"\.md$", ""))
     body, tags = F.col("body"), F.array_distinct(F.concat("fm_tags", inline_tags(F.col("body"))))
     return rows.select(
