@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -15,6 +16,53 @@ from quillspark.operators import index as I
 
 #: What a model is: (messages, tools or none) to events, dicts of kind text, tool_call or stop.
 Model = Callable[[list[dict], list[dict]], Iterable[dict]]
+SYSTEM = (
+    "You answer questions about a collection of notes. Look notes up with search_vault before you say what is in them, and leave filters out "
+    "unless you need one. expand_graph finds notes linked with those you know; read_note gives a note in full. Mark what you take from a "
+    "passage with its key, such as [S1], and use no key that you weren't given. When a tool fails, call it again with better arguments."
+)
+_TEXT, _WHOLE = {"type": "string"}, {"type": "integer"}
+_FILTERS = {"type": "object", "properties": {"tags": {"type": "array", "items": _TEXT}, "folder": _TEXT, "created_after": _TEXT, "created_before": _TEXT}}
+#: The tools' names and arguments.
+TOOLS = {
+    "search_vault": ("Find the passages of the notes that answer a query best; filters are optional.", {"query": _TEXT, "filters": _FILTERS}, ["query"]),
+    "expand_graph": ("Follow links from notes that were found to related ones; the query says what is still asked.", {"query": _TEXT, "note_ids": {"type": "array", "items": _TEXT}, "depth": _WHOLE}, ["query", "note_ids", "depth"]),
+    "read_note": ("Give one note in full by its note_id.", {"note_id": _TEXT}, ["note_id"]),
+}
+
+
+def checked(value, schema: dict, name: str):
+    """``value`` if it is what ``schema`` says, with whole numbers in text read; else an error that says where it isn't."""
+    kind = schema["type"]
+    if kind == "string" and isinstance(value, str):
+        return value
+    if kind == "integer" and not isinstance(value, bool):
+        if isinstance(value, int) or (isinstance(value, float) and value.is_integer()) or (isinstance(value, str) and value.strip().lstrip("+-").isdigit()):
+            return int(value)
+    if kind == "array" and isinstance(value, (list, tuple)):
+        return [checked(x, schema["items"], f"{name}.{i}") for i, x in enumerate(value)]
+    if kind == "object" and isinstance(value, dict):
+        return {k: checked(v, schema["properties"][k], f"{name}.{k}") for k, v in value.items() if k in schema["properties"] and v is not None}
+    raise ValueError(f"{name}: not of type {kind}")
+
+
+def arguments(tool: str, given) -> dict:
+    """A call's arguments by its tool's schema.  Filters that are blank, empty or null are none; names that the tool doesn't know are left out."""
+    given = json.loads(given) if isinstance(given, str) else given
+    if not isinstance(given, dict):
+        raise ValueError("arguments: not of type object")
+    _, properties, required = TOOLS[tool]
+    if "filters" in given and (given["filters"] in (None, {}) or (isinstance(given["filters"], str) and not given["filters"].strip())):
+        given = {k: v for k, v in given.items() if k != "filters"}
+    if missing := [k for k in required if k not in given]:
+        raise ValueError(f"{', '.join(missing)}: missing")
+    return {k: checked(v, properties[k], k) for k, v in given.items() if k in properties}
+
+
+def filters(given: dict) -> dict:
+    """Filters as retrieval.filtered() takes them: an empty folder is the root, no tags don't filter, dates are ISO."""
+    when = lambda k: dt.datetime.fromisoformat(given[k]).replace(tzinfo=None) if k in given else None
+    return {"tags": given.get("tags") or None, "folder": given.get("folder"), "after": when("created_after"), "before": when("created_before")}
 
 
 @dataclass
@@ -27,26 +75,25 @@ class Tools:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     vector: Callable[[str], list[float]] | None = None
+    max_nodes: int = 20
+    decay: float = 0.5
+    hub: int = 50
 
     def specs(self) -> list[dict]:
-        text, whole = {"type": "string"}, {"type": "integer"}
-        takes = {
-            "search_vault": ({"query": text, "tags": {"type": "array", "items": text}, "folder": text}, ["query"]),
-            "expand_graph": ({"query": text, "note_ids": {"type": "array", "items": text}, "depth": whole}, ["query", "note_ids"]),
-            "read_note": ({"note_id": text}, ["note_id"]),
-        }
-        return [{"type": "function", "function": {"name": n, "parameters": {"type": "object", "properties": p, "required": r}}} for n, (p, r) in takes.items()]
-
-    def search_vault(self, query: str, tags: list[str] | None = None, folder: str | None = None) -> DataFrame:
-        """Empty filters don't filter."""
+        return [{"type": "function", "function": {"name": n, "description": d, "parameters": {"type": "object", "properties": p, "required": r}}} for n, (d, p, r) in TOOLS.items()]
+
+    def run(self, name: str, given) -> DataFrame | str:
+        return getattr(self, name)(**arguments(name, given))
+
+    def search_vault(self, query: str, filters: dict | None = None) -> DataFrame:
         near = self.vector(query) if self.vector else None
-        return I.search(self.chunks, self.terms, query, near, tags=tags or None, folder=folder or None)
+        return I.search(self.chunks, self.terms, query, near, **_filters(filters or {}))
 
-    def expand_graph(self, query: str, note_ids: list[str], depth: int = 1) -> DataFrame:
+    def expand_graph(self, query: str, note_ids: list[str], depth: int) -> DataFrame:
         """The chunks of the notes around these, by the reranker; candidates stand in order of chunk_id."""
         ids = list(dict.fromkeys(note_ids))
         seeds = self.notes.sparkSession.createDataFrame([(x, 1.0, i) for i, x in enumerate(ids)], "id string, score double, pos int")
-        around = graph.expand(self.nodes, self.edges, seeds, max_depth=depth).select(F.col("id").alias("note_id"))
+        around = graph.expand(self.nodes, self.edges, seeds, depth, self.max_nodes, self.decay, self.hub).select(F.col("id").alias("note_id"))
         return I.with_scores(retrieval.by_notes(self.chunks, around).withColumn("rank", F.col("chunk_id")), query)
 
     def read_note(self, note_id: str) -> str:
@@ -56,6 +103,9 @@ class Tools:
         return f"# {row.note_id}\n\n{row.body}"
 
 
+_filters = filters
+
+
 @dataclass
 class Session:
     """A chat: the messages so far, and the sources of the last answer."""
@@ -64,43 +114,52 @@ class Session:
     tools: Tools
     rounds: int = 4
     budget: int = 2000
+    system: str = SYSTEM
     messages: list[dict] = field(default_factory=list)
     last_sources: list[dict] = field(default_factory=list)
 
     def clear(self) -> None:
         self.messages, self.last_sources = [], []
 
-    def ask(self, question: str) -> str:
-        """Answer with at most ``rounds`` rounds of tools, then one reply without tools; keeps the sources it cites."""
+    def ask(self, question: str, on_text: Callable[[str], None] | None = None) -> str:
+        """Answer with at most ``rounds`` rounds of tools, then one reply without tools; keeps the sources it cites.
+
+        The system message stands before all others.  ``on_text`` is given each piece of text as it comes, in every round.  What is
+        kept of a turn is its question and answer.
+        """
         self.messages.append({"role": "user", "content": question})
+        turn = ([{"role": "system", "content": self.system}] if self.system else []) + self.messages
         known: dict[str, dict] = {}
         for left in range(self.rounds, -1, -1):
-            events = list(self.model(self.messages, self.tools.specs() if left else []))
-            text = "".join(e["text"] for e in events if e["kind"] == "text")
-            calls = [e for e in events if e["kind"] == "tool_call"] if left else []
-            said = {"role": "assistant", "content": text}
-            if calls:
-                said["tool_calls"] = [{"function": {"name": c["name"], "arguments": c["arguments"]}} for c in calls]
-            self.messages.append(said)
+            parts, calls = [], []
+            for e in self.model(turn, self.tools.specs() if left else []):
+                if e["kind"] == "text":
+                    parts.append(e["text"])
+                    if on_text:
+                        on_text(e["text"])
+                elif e["kind"] == "tool_call" and left:
+                    calls.append(e)
             if not calls:
                 break
+            turn.append({"role": "assistant", "content": "".join(parts), "tool_calls": [{"function": {"name": c["name"], "arguments": c["arguments"]}} for c in calls]})
             for c in calls:
-                self.messages.append({"role": "tool", "content": self._run(c, known)})
+                turn.append({"role": "tool", "content": self._run(c, known), "tool_call_id": c.get("call_id")})
+        text = "".join(parts)
+        self.messages.append({"role": "assistant", "content": text})
         self.last_sources = self._cited(text, known)
         return text
 
     def _run(self, call: dict, known: dict[str, dict]) -> str:
         """A tool's text; an unknown tool or a failing one gives the error as text."""
+        if call["name"] not in TOOLS:
+            return f"Error: unknown tool '{call['name']}'"
         try:
-            if call["name"] not in ("search_vault", "expand_graph", "read_note"):
-                return f"error: no tool {call['name']}"
-            given = call["arguments"]
-            out = getattr(self.tools, call["name"])(**(json.loads(given) if isinstance(given, str) else given))
+            out = self.tools.run(call["name"], call["arguments"])
             if isinstance(out, str):
                 return out
             rows = retrieval.context(out, self.budget, start=len(known) + 1).orderBy("rank").collect()
         except Exception as e:  # noqa: BLE001 - the model is told, whatever it was
-            return f"error: {e}"
+            return f"Error: '{call['name']}' failed: {e}"
         parts = []
         for r in rows:
             known[r.key] = {"key": r.key, "chunk_id": r.chunk_id, "path": r.path, "start_line": r.start_line, "end_line": r.end_line}
@@ -113,3 +172,11 @@ class Session:
         spark = self.tools.notes.sparkSession
         keys = spark.createDataFrame([(text,)], "a string").select(citation_keys(F.col("a"))).first()[0]
         return [known[k] for k in dict.fromkeys(keys) if k in known]
+
+    def footer(self, vault: str) -> str:
+        """The sources of the last answer as text; '' for none."""
+        if not self.last_sources:
+            return ""
+        spark = self.tools.notes.sparkSession
+        rows = spark.createDataFrame([(0, s["key"], s["path"], s["start_line"], s["end_line"]) for s in self.last_sources], "id int, key string, path string, start_line int, end_line int")
+        return retrieval.sources_footer(rows, vault).first().footer
