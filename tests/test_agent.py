@@ -1,8 +1,11 @@
 import json
 
-from quillspark.cli import main, note_graph
+import pytest
+
+from quillspark.cli import main
 from quillspark.operators.index import NoteIndex
-from quillspark.plans.agent import Session, Tools
+from quillspark.plans.agent import SYSTEM, Session, Tools, arguments, filters
+from quillspark.plans.engine import Engine, ModelUnreachable, Settings, http_model, reply_events
 from quillspark.sources.vault import load_notes
 
 
@@ -18,24 +21,27 @@ def test_tool_loop_and_sources(spark, tmp_path):
     notes = load_notes(spark, str(_vault(tmp_path)))
     index = NoteIndex(spark, str(tmp_path / "index"))
     index.refresh(notes)
-    tools = Tools(notes, index.read("chunks"), index.read("terms"), *note_graph(notes))
+    tools = Tools(notes, index.read("chunks"), index.read("terms"), *Engine(spark, Settings()).graph(notes))
     call = lambda name, **a: {"kind": "tool_call", "name": name, "arguments": json.dumps(a)}
     script = [
-        [call("search_vault", query="red fox", tags=[], folder=""), call("nothing")],
-        [call("expand_graph", query="whale", note_ids=["fox", "fox"]), call("read_note", note_id="gone")],
+        [call("search_vault", query="red fox", filters={"tags": [], "folder": ""}), call("nothing")],
+        [call("expand_graph", query="whale", note_ids=["fox", "fox"], depth="1"), call("read_note", note_id="gone"), call("expand_graph", query="x", note_ids="fox", depth=1)],
         [{"kind": "text", "text": "It runs [S1], "}, {"kind": "text", "text": "it swims [S2] [S1] [S9]."}],
     ]
-    asked = []
+    asked, said, seen = [], [], []
 
     def model(messages, specs):
         asked.append(len(specs))
+        said[:] = [m["content"] for m in messages if m["role"] == "tool"]
+        assert messages[0] == {"role": "system", "content": SYSTEM}
         return script[len(asked) - 1]
 
     chat = Session(model, tools)
-    assert chat.ask("what runs?") == "It runs [S1], it swims [S2] [S1] [S9]."
-    said = [m["content"] for m in chat.messages if m["role"] == "tool"]
-    assert said[0].startswith("[S1] fox > Fox\n# Fox") and said[1] == "error: no tool nothing"
-    assert "whale > Whale" in said[2] and said[3].startswith("error: no note gone")
+    assert chat.ask("what runs?", seen.append) == "It runs [S1], it swims [S2] [S1] [S9]." == "".join(seen)
+    assert said[0].startswith("[S1] fox > Fox\n# Fox") and said[1] == "Error: unknown tool 'nothing'"
+    assert "whale > Whale" in said[2] and said[3] == "Error: 'read_note' failed: no note gone" and said[4] == "Error: 'expand_graph' failed: note_ids: not of type array"
+    assert [m["role"] for m in chat.messages] == ["user", "assistant"]
+    assert chat.footer("v").split("\n")[0] == "[S1] fox.md:L1-L2 (obsidian://open?vault=v&file=fox.md)"
     assert [(s["key"], s["path"]) for s in chat.last_sources] == [("S1", "fox.md"), ("S2", "whale.md")]
     assert asked == [3, 3, 3]
     chat.clear()
@@ -45,15 +51,16 @@ def test_tool_loop_and_sources(spark, tmp_path):
 def test_rounds_are_bounded(spark, tmp_path):
     notes = load_notes(spark, str(_vault(tmp_path)))
     tools = Tools(notes, None, None)
-    seen = []
+    seen, said = [], []
 
     def model(messages, specs):
         seen.append(bool(specs))
+        said[:] = [m["content"] for m in messages if m["role"] == "tool"]
         return [{"kind": "tool_call", "name": "read_note", "arguments": {"note_id": "fox"}}] if specs else [{"kind": "text", "text": "done"}]
 
     chat = Session(model, tools, rounds=2)
     assert chat.ask("?") == "done" and seen == [True, True, False]
-    assert [m["content"] for m in chat.messages if m["role"] == "tool"] == ["# fox\n\n# Fox\nthe red fox runs, see [[whale]]"] * 2
+    assert said == ["# fox\n\n# Fox\nthe red fox runs, see [[whale]]"] * 2
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -63,4 +70,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["graph-info", vault], spark) == 0
     assert main(["graph-info", vault, "--note", "whale"], spark) == 0
     assert main(["graph-info", vault, "--note", "gone"], spark) == 1
+    assert main(["graph-info", vault + "/none"], spark) == 1
     assert "{'added': 2}" in capsys.readouterr().out
+    reply = [[{"kind": "tool_call", "name": "search_vault", "arguments": {"query": "red fox"}}], [{"kind": "text", "text": "a fox [S1]"}]]
+    assert main(["chat", vault, "--data", str(tmp_path / "index")], spark, lambda *_: reply.pop(0), ["what?", "", "/sources", "/clear", "/sources", "/exit", "never"]) == 0
+    out = capsys.readouterr().out
+    assert "a fox [S1]\n[S1] fox.md:L1-L2 (" in out and out.strip().endswith("no sources")
+
+
+def test_arguments_and_filters():
+    assert arguments("search_vault", '{"query": "q", "filters": " ", "more": 1}') == {"query": "q"} == arguments("search_vault", {"query": "q", "filters": {}})
+    for bad in ({}, {"query": 1}, {"query": "q", "filters": {"tags": "t"}}, [1]):
+        with pytest.raises(ValueError):
+            arguments("search_vault", bad)
+    got = filters(arguments("search_vault", {"query": "q", "filters": {"folder": "", "tags": [], "created_after": "2024-01-02", "created_before": "2024-02-03T04:05:06"}})["filters"])
+    assert got["folder"] == "" and got["tags"] is None and (str(got["after"]), str(got["before"])) == ("2024-01-02 00:00:00", "2024-02-03 04:05:06")
+
+
+def test_settings_and_model(monkeypatch):
+    monkeypatch.setenv("QUILLSPARK_FINAL_K", "3")
+    monkeypatch.setenv("QUILLSPARK_EXCLUDE_GLOBS", '["x/*"]')
+    assert (Settings.read(rrf_k=7).final_k, Settings.read(rrf_k=7).rrf_k, Settings.read().exclude_globs, Settings.read(final_k=5).final_k) == (3, 7, ("x/*",), 5)
+    with pytest.raises(ModelUnreachable):
+        list(http_model("http://127.0.0.1:9", "m", 5)([], []))
+    line = {"message": {"content": "a", "tool_calls": [{"function": {"name": "f"}}]}, "done": True, "eval_count": 2}
+    assert [e["kind"] for e in reply_events(line, 4)] == ["text", "tool_call", "stop"] and list(reply_events({}, 0)) == []

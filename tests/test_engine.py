@@ -1,14 +1,17 @@
+import math
+import random
 import re
 import uuid
 import zlib
 from collections import Counter
+from urllib.parse import quote
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import graph, links, retrieval
+from quillspark.operators import graph, links, manifest, retrieval
 from quillspark.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -71,7 +74,7 @@ def test_links_and_tags(spark):
     body = "see [[a]] [[b|x]] [[c#h]] [[d#^q]] ![[e]] ![[p.png]] [t](r/n.md) [u](http://x.org) `[[no]]` #one\n```\n[[no]] #no\n```\n#two/x #one"
     notes = spark.createDataFrame([("n", body)], "note_id string, body string")
     got = [(r.kind, r.target_raw, r.alias, r.heading, r.block_id) for r in links.extract_links(notes).orderBy("line", "class", "pos").collect()]
-    assert got == [("link", "a", None, None, None), ("link", "b", "x", None, None), ("link", "c", None, "h", None), ("link", "d", None, None, "q"), ("embed", "e", None, None, None), ("link", "r/n.md", "t", None, None)]
+    assert got == [("link", "a", None, None, None), ("link", "b", "x", None, None), ("link", "c", None, "h", None), ("link", "d", None, None, "q"), ("embed", "e", None, None, None), ("link", "r/n.md", None, None, None)]
     assert notes.select(T.inline_tags(F.col("body"))).first()[0] == ["one", "two/x"]
 
 
@@ -82,6 +85,88 @@ def test_resolution_order(spark):
     assert got == {"Exact": "Exact", "dup": "x/Dup", "other": "y/z/Dup", "none": None}
 
 
+def test_link_forms(spark):
+    body = "[[a#]] [[b|]] [[c#^]] [[ d # h | x ]] [[e#^ q ]]\n\t```\n[[no]] #no\n\t```\n\u3000~~~\n[[no]]\n~~~ end\n[[f]] [[g.png]] ![[N v1.2]] [x](http://y/z.md) [y](a.md#h) ![i](j.md) [[ ]]"
+    notes = spark.createDataFrame([("n", body), ("empty", ""), ("null", None)], "note_id string, body string")
+    got = [(r.target_raw, r.heading, r.block_id, r.alias) for r in links.extract_links(notes).orderBy("line", "class", "pos").collect()]
+    assert got == [("c", "^", None, None), ("d", "h", None, "x"), ("e", None, "q", None), ("f", None, None, None), ("g.png", None, None, None), ("http://y/z.md", None, None, None)]
+
+
+def test_lines_outside_fences_are_a_fold(spark):
+    rnd, texts = random.Random(4), []
+    for _ in range(60):
+        texts.append("\n".join(rnd.choice(["a", "", " b", "```", "~~~", "  ```py", "\t~~~", "x ```", "````"]) for _ in range(rnd.randint(0, 14))))
+
+    def free(text):
+        mark, out = None, []
+        for line in text.splitlines():
+            head = line.strip()[:3]
+            if mark is None and head in ("```", "~~~"):
+                mark = head
+            elif mark is None:
+                out.append(line)
+            elif head == mark:
+                mark = None
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.outside_fences(F.col("t")).alias("x"))
+    assert {r.i: r.x for r in df.collect()} == {i: free(t) for i, t in enumerate(texts)}
+    long = spark.createDataFrame([("\n".join(["```", "x", "```", "y"] * 5000),)], "t string")
+    assert long.select(F.size(T.outside_fences(F.col("t")))).first()[0] == 5000
+
+
+def test_manifest_with_null_hashes(spark):
+    a = spark.createDataFrame([("same", None), ("new", None), ("set", "h"), ("eq", "h")], "note_id string, content_hash string")
+    b = spark.createDataFrame([("same", None), ("gone", None), ("set", None), ("eq", "h")], "note_id string, content_hash string")
+    assert {r.note_id: r.change for r in manifest.diff(a, b).collect()} == {"same": "unchanged", "new": "added", "gone": "deleted", "set": "modified", "eq": "unchanged"}
+
+
+def queue_expand(nodes, edges, seeds, max_depth, max_nodes, decay, hub):
+    degree = Counter(x for a, b in edges for x in (a, b))
+    near = lambda x: [b for a, b in edges if a == x] + [a for a, b in edges if b == x]
+    visited, queue, out = set(seeds), [(s, 1.0, 0) for s in seeds], []
+    while queue and len(out) < max_nodes:
+        x, score, depth = queue.pop(0)
+        if depth and not nodes[x]:
+            out.append((x, round(score * decay**depth / math.log2(2 + degree[x]), 9), depth))
+        if depth < max_depth and not (depth and degree[x] > hub):
+            for y in near(x):
+                if y not in visited:
+                    visited.add(y)
+                    queue.append((y, score, depth + 1))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_expand_is_a_queue(spark, seed):
+    rnd = random.Random(seed)
+    nodes = {f"n{i}": rnd.random() < 0.2 for i in range(40)}
+    edges = list(dict.fromkeys((rnd.choice(list(nodes)), rnd.choice(list(nodes))) for _ in range(70)))
+    seeds = [f"n{i}" for i in rnd.sample(range(40), 12)]
+    df = graph.expand(
+        spark.createDataFrame(list(nodes.items()), "id string, ghost boolean"), spark.createDataFrame([(a, b, "link", 1, i) for i, (a, b) in enumerate(edges)], "src string, dst string, kind string, count long, seq int"),
+        spark.createDataFrame([(s, 1.0, i) for i, s in enumerate(seeds)], "id string, score double, pos int"), 3, 9 + 10 * (seed % 2), 0.5, 4,
+    )
+    assert [(r.id, round(r.score, 9), r.depth) for r in df.orderBy("place").collect()] == queue_expand(nodes, edges, seeds, 3, 9 + 10 * (seed % 2), 0.5, 4)
+
+
+def test_context_of_one_list_and_of_many(spark):
+    rows = [(q, i, t) for q in range(3) for i, t in enumerate([[5, 0, 3, 9], [20, 1, 1], [0, 0, 2, 2, 7]][q])]
+    ranked = spark.createDataFrame(rows, "q int, rank int, token_estimate long")
+    want = {0: [5, 0, 3], 1: [20], 2: [0, 0, 2, 2]}
+    assert {q: [r.token_estimate for r in retrieval.context(ranked.where(F.col("q") == q), 8).orderBy("rank").collect()] for q in want} == want
+    many = retrieval.context(ranked, 8, by=("q",)).orderBy("q", "rank").collect()
+    assert [(r.q, r.token_estimate, r.key) for r in many] == [(q, t, f"S{i}") for q, ts in want.items() for i, t in enumerate(ts, 1)]
+
+
+def test_footer_and_unknown_keys(spark):
+    known = spark.createDataFrame([(1, "S2", "b c/é~*.md", 3, 4), (1, "S10", "a.md", 1, 2)], "id int, key string, path string, start_line int, end_line int")
+    answers = spark.createDataFrame([(1, "[S2] [S9] [S10] [S2]")], "id int, answer string")
+    assert [r.key for r in retrieval.unknown_citations(answers, known.select("id", "key"), T.citation_keys).collect()] == ["S9"]
+    want = "\n".join(f"[{k}] {p}:L{a}-L{b} (obsidian://open?vault=my%20vault&file={quote(p)})" for k, p, a, b in (("S10", "a.md", 1, 2), ("S2", "b c/é~*.md", 3, 4)))
+    assert retrieval.sources_footer(retrieval.validated_citations(answers, known, T.citation_keys), "my vault").first().footer == want
+
+
 def test_expand_caps_and_decays(spark):
     edges = spark.createDataFrame([("hub", f"n{i}", "link", 1, i) for i in range(9)] + [("n0", "hub", "link", 1, 20)], "src string, dst string, kind string, count long, seq int")
     nodes = spark.createDataFrame([("hub", False)] + [(f"n{i}", False) for i in range(9)], "id string, ghost boolean")
