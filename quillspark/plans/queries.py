@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import graph, links, manifest, retrieval, stats
+from quillspark.plans import markdown
 from quillspark.sources.vault import document_notes
 
 
@@ -61,7 +62,9 @@ def graph_ghosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return graph.orphans(*_graph(spark, d))
+    """Only each third note keeps its links."""
+    notes = document_notes(_docs(spark, d)).withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.col("body")).otherwise("no links"))
+    return graph.orphans(*graph.build(notes, links.resolve_links(links.extract_links(notes), notes)))
 
 
 def graph_hubs(spark: SparkSession, d: str) -> DataFrame:
@@ -73,44 +76,23 @@ def _hashed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
-    hashed = _hashed(spark, d)
-    old = hashed.where("note_id % 10 <> 0").withColumn("content_hash", F.when(F.col("note_id") % 7 == 0, "other").otherwise(F.col("content_hash")))
-    return manifest.diff(hashed.where("note_id % 11 <> 0"), old)
-
-
-def all_manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     """The whole table against a perturbed copy: some notes renamed (added and deleted), some changed."""
     hashed, n = _hashed(spark, d), F.col("note_id")
     old = hashed.select(F.when(n % 10 == 0, -n - 1).otherwise(n).alias("note_id"), F.when(n % 7 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"))
     return manifest.diff(hashed, old)
 
 
-def _weight_sums(docs: DataFrame) -> DataFrame:
-    out = retrieval.term_weights(docs, "doc_id", "text")
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
-
-
 def sparse_weights(spark: SparkSession, d: str) -> DataFrame:
-    """English documents only, as its SQL says; ``all_sparse_weights`` takes all."""
-    return _weight_sums(_docs(spark, d).where("lang = 'en'"))
-
-
-def all_sparse_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _weight_sums(_docs(spark, d))
+    out = retrieval.term_weights(_docs(spark, d), "doc_id", "text")
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 def fused_ranks(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    a = docs.select(F.lit(0).alias("list_no"), F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
-    b = docs.where("doc_id % 3 = 0").select(F.lit(1).alias("list_no"), F.col("doc_id").alias("chunk_id"), (-F.col("n_chars")).cast("double").alias("score"))
-    return retrieval.rank_fusion(a.unionByName(b)).select("chunk_id", F.round("score", 9).alias("score"), F.col("best").cast("long").alias("best"))
-
-
-def all_fused_ranks(spark: SparkSession, d: str) -> DataFrame:
     """All documents in two lists: by length, and by a hash of the text."""
     docs = _docs(spark, d)
+    hashed = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double")
     a = docs.select(F.lit(0).alias("list_no"), F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
-    b = docs.select(F.lit(1).alias("list_no"), F.col("doc_id").alias("chunk_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("double").alias("score"))
+    b = docs.select(F.lit(1).alias("list_no"), F.col("doc_id").alias("chunk_id"), hashed.alias("score"))
     return retrieval.rank_fusion(a.unionByName(b)).select("chunk_id", F.round("score", 9).alias("score"), F.col("best").cast("long").alias("best"))
 
 
@@ -119,17 +101,12 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.context(ranked).select("rank", "key", "token_estimate")
 
 
-def note_ids(spark: SparkSession, d: str) -> DataFrame:
-    notes = document_notes(_docs(spark, d))
-    return notes.select("note_id", T.uuid5(F.col("note_id")).alias("chunk_id"), F.sha2(F.col("body").cast("binary"), 256).alias("content_hash"))
-
-
 FLAGSHIP = dense_topk
-_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, all_manifest_diff, sparse_weights, all_sparse_weights, fused_ranks, all_fused_ranks, context_window, note_ids)
+_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, fused_ranks, context_window)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | markdown.queries()
 
 
 _NOTES = """n AS (SELECT doc_id, text, lang, source, source || '/' || lang || '-' || doc_id AS note_id, lang || '-' || doc_id AS title, (SELECT count(*) FROM documents) AS c FROM documents),
@@ -155,15 +132,16 @@ def oracle_sql() -> dict[str, str]:
         "resolved_links": f"WITH {_NOTES} SELECT *, 'link' AS kind FROM r",
         "graph_degrees": f"WITH {_NOTES} SELECT * FROM g",
         "graph_ghosts": f"WITH {_NOTES} SELECT id FROM v WHERE ghost",
-        "graph_orphans": f"WITH {_NOTES} SELECT id FROM g WHERE degree = 0",
+        "graph_orphans": f"WITH {_NOTES}, o AS (SELECT e.* FROM e JOIN n ON src = note_id WHERE doc_id % 3 = 0) SELECT note_id AS id FROM n WHERE note_id NOT IN (SELECT src FROM o UNION ALL SELECT dst FROM o)",
         "graph_hubs": f"WITH {_NOTES} SELECT id, degree FROM g WHERE degree > 3 AND NOT ghost ORDER BY degree DESC, id LIMIT 10",
-        "manifest_diff": """WITH h AS (SELECT doc_id AS note_id, sha256(text) AS h FROM documents), c AS (SELECT * FROM h WHERE note_id % 11 <> 0),
-            p AS (SELECT note_id, CASE WHEN note_id % 7 = 0 THEN 'other' ELSE h END AS h FROM h WHERE note_id % 10 <> 0)
-            SELECT coalesce(c.note_id, p.note_id) AS note_id, CASE WHEN p.h IS NULL THEN 'added' WHEN c.h IS NULL THEN 'deleted' WHEN c.h <> p.h THEN 'modified' ELSE 'unchanged' END AS change FROM c FULL JOIN p ON c.note_id = p.note_id""",
-        "sparse_weights": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents WHERE lang = 'en'),
+        "manifest_diff": """WITH c AS (SELECT doc_id AS note_id, sha256(text) AS h, true AS here FROM documents),
+            p AS (SELECT CASE WHEN note_id % 10 = 0 THEN -note_id - 1 ELSE note_id END AS note_id, CASE WHEN note_id % 7 = 0 THEN 'other' ELSE h END AS h, true AS here FROM c)
+            SELECT coalesce(c.note_id, p.note_id) AS note_id, CASE WHEN p.here IS NULL THEN 'added' WHEN c.here IS NULL THEN 'deleted' WHEN c.h IS DISTINCT FROM p.h THEN 'modified' ELSE 'unchanged' END AS change FROM c FULL JOIN p ON c.note_id = p.note_id""",
+        "sparse_weights": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
             s AS (SELECT doc_id, count(*) AS size FROM w GROUP BY doc_id), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term)
             SELECT doc_id, count(*) AS terms, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / 256.0::DOUBLE))), 4) AS weight FROM t JOIN s USING (doc_id) GROUP BY doc_id""",
-        "fused_ranks": """WITH a AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents WHERE doc_id % 3 = 0)
-            SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(r) AS best FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE r <= 50 GROUP BY chunk_id""",
+        "fused_ranks": """WITH l AS (SELECT 0 AS no, doc_id, n_chars AS score FROM documents UNION ALL SELECT 1, doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT FROM documents),
+            r AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id) AS r FROM l)
+            SELECT doc_id AS chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(r) AS best FROM r WHERE r <= 50 GROUP BY doc_id""",
         "context_window": f"WITH t AS (SELECT doc_id AS rank, ({_WORDS})::BIGINT AS token_estimate FROM documents), s AS (SELECT *, sum(token_estimate) OVER (ORDER BY rank) AS upto, row_number() OVER (ORDER BY rank) AS i FROM t) SELECT rank, 'S' || i AS key, token_estimate FROM s WHERE i = 1 OR upto <= 2000",
-    }
+    } | markdown.oracle_sql()

@@ -41,7 +41,16 @@ def events(lines: DataFrame, seq: str = "seq", line: str = "line") -> DataFrame:
     return lines.select(seq, F.posexplode(line_events(F.col(line), F.col(seq))).alias("pos", "event")).select(seq, "pos", "event.*")
 
 
+def _joined(seq: str):
+    parts = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct(seq, "pos", "text"))))
+    return F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text")
+
+
 def reply_text(found: DataFrame, seq: str = "seq") -> DataFrame:
     """One row: the text events' texts joined in order (for one reply, not for a corpus of them)."""
-    parts = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct(seq, "pos", "text"))))
-    return found.agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+    return found.agg(_joined(seq))
+
+
+def reply_texts(found: DataFrame, reply: str, seq: str = "seq") -> DataFrame:
+    """(reply, text): a row a reply that has text."""
+    return found.where("kind = 'text'").groupBy(reply).agg(_joined(seq))
