@@ -2,11 +2,12 @@ import json
 
 import pytest
 
+from quillspark import streaming
 from quillspark.cli import main
 from quillspark.operators.index import NoteIndex
 from quillspark.plans.agent import SYSTEM, Session, Tools, arguments, filters
 from quillspark.plans.engine import Engine, ModelUnreachable, Settings, http_model, reply_events
-from quillspark.sources.vault import load_notes
+from quillspark.sources.vault import load_notes, walk_report
 
 
 def _vault(tmp_path):
@@ -95,3 +96,38 @@ def test_settings_and_model(monkeypatch):
         list(http_model("http://127.0.0.1:9", "m", 5)([], []))
     line = {"message": {"content": "a", "tool_calls": [{"function": {"name": "f"}}]}, "done": True, "eval_count": 2}
     assert [e["kind"] for e in reply_events(line, 4)] == ["text", "tool_call", "stop"] and list(reply_events({}, 0)) == []
+
+
+def test_index_follows_its_folder(spark, tmp_path):
+    vault = _vault(tmp_path)
+    engine = Engine(spark, Settings(vault_path=str(vault), data_dir=str(tmp_path / "index")))
+    for text in (None, "# Fox\nnow a grey fox"):
+        if text:
+            (vault / "fox2.md").write_text(text)
+        streaming.follow(engine, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert engine.index().version() == 2 and {r.note_id for r in engine.index().read("chunks").collect()} == {"fox", "fox2", "whale"}
+    assert all(len(r.dense) == 64 for r in engine.index().read("chunks").collect())
+
+
+def test_index_keeps_untouched_buckets_and_the_hash_it_chunked(spark, tmp_path):
+    notes = lambda rows: spark.createDataFrame([(i, i + ".md", i, t, f"h{t}") for i, t in rows], "note_id string, path string, title string, body string, content_hash string")
+    index = NoteIndex(spark, str(tmp_path / "index"), buckets=8)
+    index.refresh(notes([(f"n{i}", f"text {i}") for i in range(30)]))
+    index.refresh(notes([(f"n{i}", f"text {i}" if i else "other") for i in range(30)]))
+    assert len(set(index._pointers(2).values())) == 2 and list(index._pointers(2).values()).count(2) == 1
+    assert {r.note_id: r.text for r in index.read("chunks").collect()} == {f"n{i}": f"text {i}" if i else "other" for i in range(30)}
+    index.refresh(notes([]))
+    assert index.read("chunks").count() == 0 and index.read("terms").count() == 0 and index.read("manifest").count() == 0
+    index.vacuum(1)
+    assert index.versions()[-1] == 3 and index.read("chunks").count() == 0
+    wrong = NoteIndex(spark, str(tmp_path / "wrong"), lambda df: df.selectExpr("*", "array_repeat(1F, length(note_id)) as dense"))
+    with pytest.raises(ValueError):
+        wrong.refresh(notes([("a", "x"), ("bb", "y")]))
+
+
+def test_vault_problems_are_reported(spark, tmp_path):
+    (tmp_path / "v" / "_x" / ".hidden").mkdir(parents=True)
+    for name, data in {"a.md": b"\xff bad", "_x/b.md": b"fine", "_x/c.md.icloud": b"", "_x/.hidden/d.md": b"no", "e.txt": b"no", "_x/.f.md": b"no"}.items():
+        (tmp_path / "v" / name).write_bytes(data)
+    assert sorted((r.path, r.problem) for r in walk_report(spark, str(tmp_path / "v")).collect()) == [("_x/c.md.icloud", "placeholder"), ("a.md", "replaced bytes")]
+    assert sorted(r.note_id for r in load_notes(spark, str(tmp_path / "v")).collect()) == ["_x/b", "a"]
