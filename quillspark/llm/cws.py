@@ -9,7 +9,7 @@ from quillspark.llm.rows import once
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Samples in a fingerprint, drawn GROUP at a time; rows aimed at in a bucket of neighbouring ids, and the most buckets.
-SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 48, 4, 400, 100_000
+SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 40, 4, 400, 100_000
 #: Bits of a sample's name; the highest one is that of a text without words.
 NAME_BITS = 24
 BLANK = (1 << NAME_BITS) - 1
@@ -34,7 +34,7 @@ def sample_value(weight: str, log_weight: str, k: int) -> str:
     """
     t = f"floor({log_weight} / r{k} + b{k})"
     key = f"cast((c{k} - r{k} * ({t} - b{k} + 1D) + 128D) * 1073741824D as bigint)"
-    return f"if({weight} > 0, shiftleft({key}, {NAME_BITS}) | pmod(xxhash64(term, {t}), {BLANK}L), null)"
+    return f"if({weight} > 0, shiftleft({key}, {NAME_BITS}) | least(xxhash64(term, {t}) & {BLANK}L, {BLANK - 1}L), null)"
 
 
 def _before(x, key, th):

@@ -192,7 +192,7 @@ def plain_fingerprint(text, samples):
             r, c, b = -math.log(unit(one, 32, 32) * unit(one, 0, 32)), math.log(-math.log(unit(two, 42, 22) * unit(two, 20, 22))), unit(two, 0, 20)
             t = math.floor(math.log(weight) / r + b)
             a = int((c - r * (t - b + 1) + 128) * (1 << 30))
-            name = signed(xx(("q", term), ("q", t))) % cws.BLANK
+            name = min(xx(("q", term), ("q", t)) & cws.BLANK, cws.BLANK - 1)
             if best[i] is None or (a, name) < best[i]:
                 best[i] = (a, name)
     return "".join(f"{cws.BLANK if x is None else x[1]:06x}" for x in best)
