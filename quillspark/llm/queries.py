@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import cws, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, sharding, substring_dedup, topk
+from quillspark.llm import cws, filter_audit, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, sharding, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": topk.SQL, "op4_mix_sources": mixing.SQL}
+    return {"op2_exact_top_k": topk.SQL, "op4_mix_sources": mixing.SQL, "op12_filter_audit": filter_audit.SQL}
