@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import cws, filter_audit, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, sharding, substring_dedup, topk
+from quillspark.llm import cws, filter_audit, jaccard_rtree, mixing, nbsvm, packing, pii, ppm, sharding, substring_dedup, time_partitions, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_partitions.time_partitions(table(spark, sf_dir, "clicks"), "2024-05-01 00:00:00")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
