@@ -23,6 +23,8 @@ PARTS = 500
 UNITS = ("M", "D", "h")
 LEAF = "leaf string, first_hour long, end_hour long, n long"
 NULL_LEAF = "null"
+#: Slots of whole days by which rows look up their leaf, at most; a slot is a day up to 1,000 years.
+SLOTS = 400_000
 
 
 def moment(ts: Column, click_id: Column) -> Column:
@@ -111,40 +113,49 @@ def planned(histogram: DataFrame, most: int) -> list[tuple[str, int, int, int]]:
 class Layout:
     """The rows of a table in the files that a plan gives them.
 
-    ``rows`` has the table's columns and helpers: time (the moment), k1 and k2 (the row's content), is_new.
+    ``rows`` has the table's ``columns`` and helpers: time (the moment) and is_new.
     """
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, helpers: dict[str, str], order: list[str], histogram: DataFrame, nulls: int, most: int):
-        self.h, self.most = helpers, most
+    def __init__(self, spark: SparkSession, rows: DataFrame, columns: list[str], helpers: dict[str, str], order: list[str], histogram: DataFrame, nulls: int, most: int):
+        self.h, self.most, self.columns = helpers, most, columns
         leaves = planned(histogram, most) + ([(NULL_LEAF, None, None, nulls)] if nulls else [])
         parts = lambda n: -(-n // most)
         first = np.cumsum([0] + [parts(x[3]) for x in leaves])
         #: (leaf, part) by the number of the file.
         self.files = [(name, p + 1) for name, _, _, n in leaves for p in range(parts(n))]
-        h = helpers
-        # A leaf for each month that it touches, so that a row meets the leaves of its own month only.
-        month = lambda x: int(np.datetime64(x, "h").astype("M8[M]").astype(int))
-        spots = [(m, lo, hi, int(f), n > most) for (_, lo, hi, n), f in zip(leaves, first, strict=False) if lo is not None for m in range(month(lo), month(hi - 1) + 1)]
-        spots = spark.createDataFrame(spots, f"{h['month']} int, {h['lo']} long, {h['hi']} long, {h['file']} int, {h['cut']} boolean")
-        hour = hour_number(F.col(h["time"]))
-        dated = rows.where(F.col(h["time"]).isNotNull()).withColumn(h["month"], ((F.year(h["time"]) - 1970) * 12 + F.month(h["time"]) - 1).cast("int")).withColumn(h["hour"], hour)
-        # The plan is bounded by PARTS, see planned().
-        dated = dated.join(F.broadcast(spots), h["month"]).where((F.col(h["hour"]) >= F.col(h["lo"])) & (F.col(h["hour"]) < F.col(h["hi"]))).drop(h["month"], h["hour"], h["lo"], h["hi"])
-        nameless = rows.where(F.col(h["time"]).isNull()).withColumn(h["file"], F.lit(int(first[-2]) if nulls else 0)).withColumn(h["cut"], F.lit(nulls > most))
-        placed = dated.unionByName(nameless)
-        self.order = [F.asc_nulls_last(c) for c in [h["time"], *order, h["k1"], h["k2"]]]
+        self.sizes = [min(most, n - p * most) for _, _, _, n in leaves for p in range(parts(n))]
+        h, spots = helpers, []
+        dated = [(lo, hi, int(f), n > most) for (_, lo, hi, n), f in zip(leaves, first, strict=False) if lo is not None]
+        if dated:
+            # A leaf for each slot of days that it touches, so that a row meets the few leaves of its own slot; the calendar bounds
+            # the slots by SLOTS, and planned() the leaves, so this may go to every task.
+            width = 24 * (1 + (dated[-1][1] - dated[0][0]) // (24 * SLOTS))
+            spots = [(s, *x) for x in dated for s in range(x[0] // width, (x[1] - 1) // width + 1)]
+            rows = rows.withColumn(h["hour"], hour_number(F.col(h["time"])))
+            spots = spark.createDataFrame(spots, f"{h['slot']} long, {h['lo']} long, {h['hi']} long, {h['file']} int, {h['cut']} boolean")
+            inside = (F.floor(F.col(h["hour"]) / width) == F.col(h["slot"])) & (F.col(h["hour"]) >= F.col(h["lo"])) & (F.col(h["hour"]) < F.col(h["hi"]))
+            placed = rows.join(F.broadcast(spots), inside, "left").drop(h["hour"], h["slot"], h["lo"], h["hi"])
+        else:
+            placed = rows.withColumn(h["file"], F.lit(None).cast("int")).withColumn(h["cut"], F.lit(None).cast("boolean"))
+        # What has no leaf has no time.
+        placed = placed.withColumn(h["file"], F.coalesce(F.col(h["file"]), F.lit(int(first[-2]) if leaves else 0))).withColumn(h["cut"], F.coalesce(F.col(h["cut"]), F.lit(nulls > most)))
+        content = lambda df: df.withColumn(h["key"], row_key(df, columns)[0])
+        self.order = [F.asc_nulls_last(c) for c in [h["time"], *order, h["key"]]]
         if any(x[3] > most for x in leaves):
-            placed = placed.where(~F.col(h["cut"])).unionByName(self._cut(spark, placed.where(h["cut"]))).drop(h["cut"])
-        self.placed = placed.drop(h["cut"])
+            self.placed = content(placed.where(~F.col(h["cut"]))).drop(h["cut"]).unionByName(self._cut(spark, content(placed.where(h["cut"])).drop(h["cut"])))
+        else:
+            self.placed = content(placed.drop(h["cut"]))
 
     def _cut(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
         """Rows of leaves above ``most``, each with its part's file: sorted by ranges of the whole order, so that a leaf spreads over tasks, and numbered
         by the rows that earlier ranges have of the leaf."""
-        h = self.h
+        h, tables = self.h, Tables(spark, "time-partitions")
         ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = tables.write(rows, "above")
         ordered = rows.repartitionByRange(ranges, F.col(h["file"]), *self.order).sortWithinPartitions(F.col(h["file"]), *self.order)
         # Written, as ranges come from a sample and must be the same for the numbers and for the rows.
-        ordered = Tables(spark, "time-partitions").write(ordered.withColumn(h["place"], F.monotonically_increasing_id()), "cut")
+        ordered = tables.write(ordered.withColumn(h["place"], F.monotonically_increasing_id()), "ordered")
+        tables.drop(rows)
         piece = F.shiftrightunsigned(h["place"], 33)
         pieces = ordered.groupBy(h["file"], piece.alias(h["piece"])).agg(F.count(F.lit(1)).alias(h["n"]), F.min(h["place"]).alias(h["from"]))
         before = F.sum(h["n"]).over(Window.partitionBy(h["file"]).orderBy(h["piece"])) - F.col(h["n"])
@@ -166,19 +177,19 @@ class Layout:
             dealt = dealt.withColumn(h["folder"], by)
         return dealt.sortWithinPartitions(h["file"] if by is None else h["folder"], *self.order)
 
-    def described(self, click_id: str) -> dict[tuple[str, int], tuple[int, int, str, str]]:
-        """Of each (leaf, part): rows, new rows, SHA-256 of the ids in order, digest of the rows in order.  A task holds a batch at a time."""
+    def described(self, click_id: str, only: list[int] | None = None) -> dict[int, tuple[int, int, str, str]]:
+        """Of each file: rows, new rows, SHA-256 of the ids in order, digest of the rows in order.  A task holds a batch at a time."""
         h = self.h
-        rows = self.in_files().select(F.col(h["file"]).alias("file"), named(click_id).cast("string").alias("id"), F.col(h["k1"]).alias("k1"), F.col(h["k2"]).alias("k2"), F.col(h["is_new"]).alias("is_new"))
+        rows = self.in_files(only).select(F.col(h["file"]).alias("file"), named(click_id).cast("string").alias("id"), F.col(h["key"]).alias("key"), F.col(h["is_new"]).alias("is_new"))
         found = rows.mapInArrow(_digests, "file int, n_rows long, n_new long, ids string, content string").collect()
-        return {self.files[r.file]: (r.n_rows, r.n_new, r.ids, r.content) for r in found}
+        return {r.file: (r.n_rows, r.n_new, r.ids, r.content) for r in found}
 
-    def write(self, columns: list[str], root: str, only: list[int] | None = None) -> None:
+    def write(self, root: str, only: list[int] | None = None) -> None:
         """A Parquet file for each (leaf, part), or those of the numbers ``only``, in folders by_file=<leaf>.<part>."""
         names = F.from_json(F.lit(json.dumps([folder(*f) for f in self.files])), "array<string>")
         # Sorted by the folder that the files go to, which is never null: else the writer sorts again, and the order within a file is lost.
         rows = self.in_files(only, F.coalesce(F.try_element_at(names, F.col(self.h["file"]) + 1), F.lit("")))
-        rows.select(*map(named, columns), self.h["folder"]).write.mode("append").partitionBy(self.h["folder"]).parquet(root)
+        rows.select(*map(named, self.columns), self.h["folder"]).write.mode("append").partitionBy(self.h["folder"]).parquet(root)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +204,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, n, new, ids, content = int(file[i]), 0, 0, hashlib.sha256(), hashlib.sha256()
             part = batch.slice(i, j - i)
             ids.update(("," * (n > 0) + ",".join(x or "" for x in part.column("id").to_pylist())).encode())
-            keys = np.stack([part.column(k).to_numpy() for k in ("k1", "k2")])
-            content.update(np.ascontiguousarray(keys.T).tobytes())
+            content.update(part.column("key").to_numpy().tobytes())
             n += j - i
             new += int(part.column("is_new").to_numpy(zero_copy_only=False).sum())
     if at is not None:
@@ -221,6 +231,26 @@ def data_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
     return out
 
 
+def recurring(start: Layout, final: Layout, found: dict[int, tuple[int, int, str, str]], click_id: str) -> set[tuple[str, int]]:
+    """Files (leaf, part) with the same rows in both layouts.
+
+    A leaf of one name has the same range, so its rows of the first layout are its rows of the last one but for the new.  Its
+    parts before the first new row recur, if they are as long; parts with new rows don't.  Parts behind have moved on, and
+    recur only where repeated rows hide that: their digests tell.
+    """
+    at, stay, moved, late = {f: i for i, f in enumerate(start.files)}, set(), [], set()
+    for i, f in enumerate(final.files):
+        n, n_new = found[i][:2]
+        if n_new:
+            late.add(f[0])
+        elif f in at and start.sizes[at[f]] == n:
+            moved.append(i) if f[0] in late else stay.add(f)
+    if moved:
+        was = start.described(click_id, [at[final.files[i]] for i in moved])
+        stay |= {final.files[i] for i in moved if was[at[final.files[i]]][3] == found[i][3]}
+    return stay
+
+
 def time_partitions(rows: DataFrame, before: str, root: str | None = None, click_id: str = "click_id", ts: str = "ts", arrived_at: str = "arrived_at", parts: int = PARTS) -> DataFrame:
     """Write the rows that arrived before a time into a new folder ``root``, then rewrite it for all rows; the final files.
 
@@ -241,11 +271,10 @@ def time_partitions(rows: DataFrame, before: str, root: str | None = None, click
     """
     spark, columns = rows.sparkSession, rows.columns
     root = root or f"{shared_dir(spark)}/quillspark/time-partitions-{uuid.uuid4().hex}/files"
-    h = {c: fresh(rows, f"_{c}") for c in ("time", "month", "hour", "lo", "hi", "file", "cut", "k1", "k2", "is_new", "place", "piece", "n", "from", "before")}
+    h = {c: fresh(rows, f"_{c}") for c in ("time", "hour", "slot", "lo", "hi", "file", "cut", "key", "is_new", "place", "piece", "n", "from", "before")}
     h["folder"] = fresh(rows, "by_file")
-    k1, k2 = row_key(rows)
     new = ~F.coalesce(named(arrived_at).cast("timestamp_ntz") < F.lit(before).cast("timestamp_ntz"), F.lit(False))
-    keyed = rows.withColumns({h["time"]: moment(named(ts), named(click_id)), h["k1"]: k1, h["k2"]: k2, h["is_new"]: new})
+    keyed = rows.withColumns({h["time"]: moment(named(ts), named(click_id)), h["is_new"]: new})
     time, is_new = F.col(h["time"]), F.col(h["is_new"])
     # One row for each hour that has rows, and one for rows without a time.
     hours = keyed.groupBy(F.year(time).alias("year"), hour_number(time).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_new).alias("old"))
@@ -254,21 +283,22 @@ def time_partitions(rows: DataFrame, before: str, root: str | None = None, click
     most, dated = 1 + n_rows // parts, hours.where("hour is not null")
     order = [f"`{c.replace('`', '``')}`" for c in (arrived_at, click_id)]
 
-    start = Layout(spark, keyed.where(~is_new), h, order, dated.where("old > 0").select("year", "hour", F.col("old").alias("n")), old_nulls, most)
-    start.write(columns, root)
-    was, had = start.described(click_id), data_files(spark, root)
-    final = Layout(spark, keyed, h, order, dated.select("year", "hour", "n"), nulls, most)
+    start = Layout(spark, keyed.where(~is_new), columns, h, order, dated.where("old > 0").select("year", "hour", F.col("old").alias("n")), old_nulls, most)
+    start.write(root)
+    had = data_files(spark, root)
+    final = Layout(spark, keyed, columns, h, order, dated.select("year", "hour", "n"), nulls, most)
     found = final.described(click_id)
-    stay = {f for f, x in found.items() if f in was and (was[f][0], was[f][3]) == (x[0], x[3])}
+    stay = recurring(start, final, found, click_id)
     if fresh_files := [i for i, f in enumerate(final.files) if f not in stay]:
-        final.write(columns, root, fresh_files)
+        final.write(root, fresh_files)
     fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in was.keys() - stay:
+    for f in set(start.files) - stay:
         for path in had[folder(*f)]:
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), False)
     paths = data_files(spark, root)
     out = []
-    for f, (n, n_new, ids, _) in found.items():
+    for i, (n, n_new, ids, _) in found.items():
+        f = final.files[i]
         (path,) = paths[folder(*f)]
         out.append((f[0], f[1], ",".join(columns), n, n_new, ids, path, f not in stay))
     return spark.createDataFrame(out, "leaf string, part long, columns string, n_rows long, n_new long, ids_sha256 string, path string, rewritten boolean")
