@@ -4,6 +4,7 @@ folder, and word splitting over whole Arrow buffers."""
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from quillspark.sources.shared import Tables, written  # noqa: F401 - the operat
 SLICE_BYTES = 1 << 20
 #: Bytes of text whose messages a bucket takes, about.
 BUCKET_BYTES, MOST_BITS = 8 << 20, 16
+#: Bytes of a span beyond which it is named by a digest.
+LONG = 1024
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,6 +117,24 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of the byte spans: eight bytes at a time are mixed into a span's name, and its length; spans over LONG bytes go to BLAKE2."""
+    left = ends - starts
+    h = mixed(left.astype(np.uint64) + np.uint64(_BASE))
+    # Every eight bytes that begin anywhere, without a copy.
+    eight = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    rows, at, left = np.flatnonzero(left <= LONG), starts, left.copy()
+    while len(rows := rows[left[rows] > 0]):
+        part = eight[at[rows]]
+        short = left[rows] < 8
+        part[short] &= (np.uint64(1) << (left[rows][short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[rows] = mixed(h[rows] * np.uint64(_BASE) + mixed(part + np.uint64(0xD6E8FEB86659FD93)))
+        at, left[rows] = at + 8, left[rows] - 8
+    for i in np.flatnonzero(ends - starts > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The integers of each range start .. start + length, one range after the other."""
     total = int(lengths.sum())
