@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import folder, uuid5
@@ -18,7 +19,7 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _FENCES = ("```", "~~~")
 #: Characters of text after which a batch of chunks goes on.
 BATCH_CHARS = 4 << 20
-_PIECES = "header_path array<string>, text string, start_line int, end_line int, token_estimate long, place int"
+_PIECES = "header_path array<string>, text string, start_line int, end_line int, token_estimate long, place int, ordinal int"
 
 
 class Section(NamedTuple):
@@ -157,16 +158,27 @@ def pieces(body: str, most: int = 512, least: int = 64, overlap: int = 64) -> li
     return [x for part in merged(sections(body), least) for x in split(part, most, overlap)]
 
 
-def chunk_notes(notes: DataFrame, most: int = 512, least: int = 64, overlap: int = 64) -> DataFrame:
+def numbered(parts: list[Section], once: bool) -> list[tuple[int, Section, int]]:
+    """(place, chunk, ordinal under its path) of a note's chunks; ``once``: of those that get one name, as paths are joined in names, the last."""
+    seen: Counter = Counter()
+    out = []
+    for place, part in enumerate(parts):
+        path = tuple(part.path)
+        out.append((place, part, seen[path]))
+        seen[path] += 1
+    return list({("/".join(x[1].path), x[2]): x for x in out}.values()) if once else out
+
+
+def chunk_notes(notes: DataFrame, most: int = 512, least: int = 64, overlap: int = 64, once: bool = False) -> DataFrame:
     """Chunks of notes (note_id, body; path, title, tags, created where they are): a row a chunk.
 
-    The folds run by note in Arrow batches; only ordinals need a shuffle.  A null body has no
-    chunks.  chunk_id is a name-based id of note, path and the chunk's ordinal under that path.
+    The folds run by note in Arrow batches, without a shuffle.  A null body has no chunks.  chunk_id is a name-based id of note, path and
+    the chunk's ordinal under that path; two paths can have one name, of which ``once`` keeps the last.  A note is a row: rows of one note_id are chunked one by one.
     """
     kept = [f for f in notes.schema.fields if f.name in ("note_id", "path", "title", "tags", "created")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_PIECES])
     names = [f.name for f in kept]
-    kinds = [("header_path", pa.list_(pa.string())), ("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("token_estimate", pa.int64()), ("place", pa.int32())]
+    kinds = [("header_path", pa.list_(pa.string())), ("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("token_estimate", pa.int64()), ("place", pa.int32()), ("ordinal", pa.int32())]
 
     def table(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
         cols = [batch.column(n).take(pa.array(rows, pa.int64())) for n in names] + [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), kinds, strict=True)]
@@ -176,7 +188,7 @@ def chunk_notes(notes: DataFrame, most: int = 512, least: int = 64, overlap: int
         for batch in batches:
             rows, found, held = [], [], 0
             for i, body in enumerate(x.as_py() for x in batch.column("body")):
-                own = [(list(x.path), x.text, x.first, x.last, _words(x.text), k) for k, x in enumerate(pieces(body or "", most, least, overlap))]
+                own = [(list(x.path), x.text, x.first, x.last, _words(x.text), k, n) for k, x, n in numbered(pieces(body or "", most, least, overlap), once)]
                 rows.extend([i] * len(own))
                 found.extend(own)
                 held += len(body or "")
@@ -188,9 +200,8 @@ def chunk_notes(notes: DataFrame, most: int = 512, least: int = 64, overlap: int
                 yield table(batch, rows, found)
 
     cuts = notes.select(*names, "body").mapInArrow(cut, schema)
-    ordinal = F.row_number().over(Window.partitionBy("note_id", "header_path").orderBy("place")) - 1
-    name = F.concat("note_id", F.lit("::"), F.array_join("header_path", "/"), F.lit("::"), ordinal.cast("string"))
-    return cuts.withColumn("chunk_id", uuid5(name)).withColumn("folder", folder(F.col("note_id")))
+    name = F.concat("note_id", F.lit("::"), F.array_join("header_path", "/"), F.lit("::"), F.col("ordinal").cast("string"))
+    return cuts.withColumn("chunk_id", uuid5(name)).drop("ordinal").withColumn("folder", folder(F.col("note_id")))
 
 
 def embedding_text(title, header_path, text):

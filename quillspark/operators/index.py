@@ -1,167 +1,261 @@
-"""The index of notes: a manifest and a chunk table in a folder, refreshed by what changed."""
+"""The index of notes: segments of what changed, one after the other, and search over them."""
 
 from __future__ import annotations
 
 import json
+import math
+import time
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillspark.operators import chunks as C
 from quillspark.operators import manifest, retrieval
+from quillspark.operators.postings import Postings, blocks, write
+from quillspark.sources.commits import Conflict, Log
 
 MANIFEST = "note_id string, content_hash string"
 
 
 class NoteIndex:
-    """Versions v1, v2, ... under ``root``, each with a manifest and the parts of tables chunks and terms that it changed.
+    """Immutable segments under ``root``/segments, and a log of commits under ``root``/log that says which of them make a version.
 
-    Rows lie in buckets by a hash of their note; a version writes the buckets of changed notes and points to older versions for
-    the others.  A version counts once its pointers are written, which come last, so that a run that is cut off is
-    run again; readers keep the version they opened.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 16):
-        """``embed`` adds column dense to rows with column embedding_text; without it there are no vectors.
-
-        ``buckets`` counts for the first version; later ones keep it.
-        """
-        self.spark, self.root, self.embed, self.buckets = spark, root.rstrip("/"), embed, buckets
+    A refresh writes one segment with what changed: table notes (note_id, content_hash, listed, covers), a row for each note that it
+    brings or deletes; chunks; and postings, the inverted index of its chunks.  A note's rows are those of the last segment that
+    ``covers`` it, which is found at reading, so a deletion is a row of notes.  A version counts once its commit is made, which is one file that one writer only can create: of two
+    refreshes at a time one fails, and a run that is cut off leaves a folder that nothing points to.  Readers keep the version they opened.
 
-    def _path(self, at: str = ""):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(self.root + at)
+    Segments are compacted by size: where the last ``fan`` or more have at most a tier's notes (a power of ``fan``), they become one, so there are about fan * log(notes) segments and a row is written
+    about log(notes) times, however many refreshes there are.
+    """
 
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] | None = None, fan: int = 4):
+        """``embed`` adds column dense to rows with column embedding_text; without it there are no vectors."""
+        self.spark, self.root, self.embed, self.fan = spark, root.rstrip("/"), embed, fan
+        self.log = Log(spark, f"{self.root}/log")
 
     def versions(self) -> list[int]:
-        fs = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(self._path())] if fs.exists(self._path()) else []
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._path(f"/{n}/pointers/_SUCCESS")))
+        return self.log.versions()
 
     def version(self) -> int:
         """The last whole version; 0 for none."""
         return max(self.versions(), default=0)
 
-    def _pointers(self, v: int) -> dict[int, int]:
-        """The version that holds each bucket."""
-        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.root}/v{v}/pointers").collect()} if v else dict.fromkeys(range(self.buckets), 0)
-
-    def read(self, table: str, version: int | None = None, only: list[int] | None = None) -> DataFrame | None:
-        """A table of a version, or ``only`` some of its buckets; None where there is none yet."""
+    def segments(self, version: int | None = None) -> list[dict]:
+        """The segments of a version, oldest first: id, notes (their number), tables (their schemas)."""
         v = self.version() if version is None else version
-        if not v:
+        return self.log.read(v)["segments"] if v else []
+
+    def _table(self, segment: dict, table: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(segment["tables"][table])).parquet(f"{self.root}/segments/{segment['id']}/{table}")
+
+    def _union(self, segments: list[dict], table: str) -> DataFrame:
+        """The rows of all segments, with column seq: the segment's place."""
+        parts = [self._table(s, table).withColumn("seq", F.lit(i)) for i, s in enumerate(segments)]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+    def _owners(self, segments: list[dict]) -> DataFrame:
+        """(note_id, last): the segment that a note's rows are in, of notes that several segments have."""
+        covered = self._union(segments, "notes").where("covers").groupBy("note_id")
+        return covered.agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+
+    def _live(self, segments: list[dict], table: str) -> DataFrame:
+        rows = self._union(segments, table)
+        if len(segments) > 1:
+            last = self._owners(segments).withColumnRenamed("note_id", "of")
+            rows = rows.join(last, (F.col("note_id") == F.col("of")) & (F.col("seq") < F.col("last")), "left_anti")
+        return rows
+
+    def read(self, table: str, version: int | None = None) -> DataFrame | None:
+        """Table chunks, terms (chunk_id, term, weight), or manifest (note_id, content_hash) of a version; None where there is none yet."""
+        segments = self.segments(version)
+        if not segments:
             return None
         if table == "manifest":
-            return self.spark.read.parquet(f"{self.root}/v{v}/manifest")
-        fs = self._fs()
-        places = [f"/v{at}/{table}/bucket={b}" for b, at in self._pointers(v).items() if only is None or b in only]
-        files = [self.root + x for x in places if fs.exists(self._path(x))]
-        schema = StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.root}/v{v}/schemas").where(F.col("table") == table).first()["schema"]))
-        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+            latest = F.max_by(F.struct("listed", "content_hash"), "seq").alias("x")
+            return self._union(segments, "notes").groupBy("note_id").agg(latest).where("x.listed").select("note_id", "x.content_hash")
+        return self.postings(version).entries() if table == "terms" else self._live(segments, table).drop("seq")
+
+    def postings(self, version: int | None = None) -> Postings | None:
+        """The inverted index of a version, over those of its segments."""
+        segments = self.segments(version)
+        return self._postings(segments) if segments else None
+
+    def _postings(self, segments: list[dict]) -> Postings:
+        dead = None
+        if len(segments) > 1:
+            last = self._owners(segments).withColumnRenamed("note_id", "of")
+            # Written over and deleted notes are few beside the index; their chunks' ids are all that is read of it.
+            rows = self._union(segments, "chunks").select("seq", "note_id", F.col("chunk_id").alias("key"))
+            dead = rows.join(last, (F.col("note_id") == F.col("of")) & (F.col("seq") < F.col("last")), "left_semi").select("seq", "key")
+        return Postings([self._table(s, "postings") for s in segments], dead)
 
     def refresh(self, notes: DataFrame, full: bool = False, purge_stale: bool = True, most: int = 512, least: int = 64, overlap: int = 64, progress: Callable[[str, int, int], None] | None = None) -> dict[str, int]:
         """Bring the index up to ``notes`` (note_id, title, body, content_hash, ...): notes by change.
 
-        Only notes that are new or whose hash changed are chunked, and deleted ones lose their chunks.  ``full``
-        chunks all notes again; then chunks of deleted notes linger unless ``purge_stale``.  Texts of changed notes are read
+        Only notes that are new or whose hash changed are chunked, and deleted ones lose their chunks; what is written
+        is in proportion to these; where nothing changed, there is no new version.  ``full`` chunks all notes again; then chunks of deleted notes linger unless ``purge_stale``.  Texts of changed notes are read
         once more and kept with the hash of that reading, so that a note edited meanwhile is found changed the next time, and a note
         that has gone meanwhile is left out.  ``progress`` is told (stage, done, of all).
+
+        Conflict is raised if another refresh has committed meanwhile; this one has then changed nothing.
         """
         tell = progress or (lambda *_: None)
         at = self.version()
-        out = f"{self.root}/v{at + 1}"
-        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{out}/{name}"), self.spark.read.parquet(f"{out}/{name}"))[1]
-        now = keep(notes.select("note_id", "content_hash"), "seen")
-        tell("seen", 1, 5)
-        before = self.read("manifest", at)
-        before = self.spark.createDataFrame([], MANIFEST) if before is None else before
-        changes = keep(manifest.diff(now, before), "changes")
-        fresh = changes.where(F.col("change") != "deleted") if full else changes.where(F.col("change").isin("added", "modified"))
-        gone = fresh if full and not purge_stale else fresh.unionByName(changes.where("change = 'deleted'"))
-        taken = keep(notes.join(fresh.select("note_id"), "note_id", "left_semi"), "taken")
-        tell("taken", 2, 5)
-        new = C.chunk_notes(taken, most, least, overlap)
-        # Two paths of headings can have one name; the later chunk replaces the earlier.
-        new = new.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "chunk_id"]), "place").alias("x")).select("chunk_id", "x.*")
-        new = new.withColumn("embedding_text", C.embedding_text(F.col("title"), F.col("header_path"), F.col("text")))
-        new = keep(self.embed(new) if self.embed else new, "new")
-        self._check_dimension(new, at)
-        tell("chunks", 3, 5)
-        pointers = self._pointers(at)
-        bucket = F.pmod(F.xxhash64("note_id"), F.lit(len(pointers))).cast("int")
-        touched = [r.bucket for r in gone.select(bucket.alias("bucket")).distinct().collect()]
-        terms = retrieval.term_weights(new, "chunk_id", "embedding_text").join(new.select("chunk_id", "note_id"), "chunk_id")
-        schemas = []
-        for i, (table, rows) in enumerate((("chunks", new), ("terms", terms))):
-            old = self.read(table, at, touched)
-            if old is not None:
-                rows = manifest.delete(old, gone.select("note_id")).unionByName(rows, allowMissingColumns=True)
-            schemas.append((table, rows.schema.json()))
-            rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{table}")
-            tell(table, 4 + i, 5)
-        manifest.upsert(now.join(fresh.select("note_id"), "note_id", "left_anti"), taken.select("note_id", "content_hash"), "note_id").write.mode("overwrite").parquet(f"{out}/manifest")
-        self.spark.createDataFrame(schemas, "table string, schema string").write.mode("overwrite").parquet(f"{out}/schemas")
-        for name in ("seen", "taken", "new"):
-            self._fs().delete(self._path(f"/v{at + 1}/{name}"), True)
+        held = self.segments(at)
+        own = {"id": uuid.uuid4().hex, "tables": {}}
+        out = f"{self.root}/segments/{own['id']}"
+        before = self.read("manifest", at) if held else self.spark.createDataFrame([], MANIFEST)
+        before_n = sum(s["listed"] for s in held[-1:])
+        # With full, notes that haven't changed are taken as well.
+        changes = manifest.diff(notes.select("note_id", "content_hash"), before)
+        changes = self._keep(changes if full else changes.where("change <> 'unchanged'"), f"{out}/changes")
         told = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
-        held = [(b, at + 1 if b in touched else v) for b, v in pointers.items()]
-        self.spark.createDataFrame(held, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{out}/pointers")
+        if same := before_n - told.get("modified", 0) - told.get("deleted", 0):
+            told["unchanged"] = same
+        if at and not told.keys() - {"unchanged"} and not full:
+            self._delete(out)
+            return told
+        tell("changes", 1, 4)
+        fresh = changes.where("change <> 'deleted'")
+        taken = self._keep(notes.join(fresh.select("note_id"), "note_id", "left_semi"), f"{out}/taken")
+        tell("taken", 2, 4)
+        new = C.chunk_notes(taken, most, least, overlap, once=True)
+        new = new.withColumn("embedding_text", C.embedding_text(F.col("title"), F.col("header_path"), F.col("text")))
+        covers = F.lit(True) if purge_stale or not full else F.col("change") != "deleted"
+        rows = changes.select("note_id", covers.alias("covers")).join(taken.select("note_id", "content_hash", F.lit(True).alias("here")), "note_id", "left")
+        own["notes"] = self._write(own, "notes", rows.select("note_id", "content_hash", F.coalesce("here", F.lit(False)).alias("listed"), "covers")).count()
+        new = self._write(own, "chunks", self.embed(new) if self.embed else new)
+        self._check_dimension(new, held)
+        tell("chunks", 3, 4)
+        self._write(own, "postings", blocks(retrieval.term_weights(new, "chunk_id", "embedding_text")))
+        self._delete(f"{out}/taken")
+        arrived = self._table(own, "notes").where("listed").count()
+        own["listed"] = before_n - told.get("modified", 0) - told.get("deleted", 0) - (told.get("unchanged", 0) if full else 0) + arrived
+        self.log.commit(at + 1, {"segments": [*held, own], "change": own["id"]})
+        tell("postings", 4, 4)
+        self.compact()
         return told
 
-    def _check_dimension(self, new: DataFrame, at: int) -> None:
+    def changes(self, version: int | None = None) -> DataFrame:
+        """(note_id, change) that the refresh of a version found; notes that didn't change are left out, but by a full one."""
+        v = self.version() if version is None else version
+        while (body := self.log.read(v)) and "change" not in body:
+            v -= 1
+        return self.spark.read.schema("note_id string, change string").parquet(f"{self.root}/segments/{body['change']}/changes")
+
+    def compact(self) -> bool:
+        """Make one segment of the last ones where their sizes ask for it; whether it did.  A commit of its own, which says the same as the one before.
+
+        Another writer's commit meanwhile goes before: then nothing is compacted until the next time.
+        """
+        at = self.version()
+        segments = self.segments(at)
+        tiers = [int(math.log(max(1, s["notes"]), self.fan) + 1e-9) for s in segments]
+        for tier in sorted(set(tiers)):
+            first = len(tiers)
+            while first and tiers[first - 1] <= tier:
+                first -= 1
+            if len(tiers) - first >= self.fan:
+                break
+        else:
+            return False
+        run = segments[first:]
+        own = {"id": uuid.uuid4().hex, "tables": {}, "listed": run[-1]["listed"]}
+        notes = self._union(run, "notes").groupBy("note_id").agg(F.max_by(F.struct("listed", "content_hash"), "seq").alias("x"), F.bool_or("covers").alias("covers")).select("note_id", "x.content_hash", "x.listed", "covers")
+        # Where there is nothing older, deletions have done their work.
+        own["notes"] = self._write(own, "notes", notes if first else notes.where("listed")).count()
+        self._write(own, "chunks", self._live(run, "chunks").drop("seq"))
+        self._write(own, "postings", blocks(self._postings(run).entries()))
+        try:
+            self.log.commit(at + 1, {"segments": [*segments[:first], own]})
+        except Conflict:
+            self._delete(f"{self.root}/segments/{own['id']}")
+            return False
+        return True
+
+    def _keep(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _write(self, segment: dict, table: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/segments/{segment['id']}/{table}"
+        if table == "postings":
+            write(df, path)
+        else:
+            # Files of the size that the session's advisory size asks for, however many tasks made the rows.
+            df.hint("rebalance").write.parquet(path)
+        segment["tables"][table] = json.loads(df.schema.json())
+        return self._table(segment, table)
+
+    def _delete(self, path: str) -> None:
+        self.log.fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def _check_dimension(self, new: DataFrame, held: list[dict]) -> None:
         """All vectors of an index have one length."""
         if "dense" not in new.columns:
             return
         sizes = {r[0] for r in new.select(F.size("dense")).distinct().limit(2).collect()}
-        old = self.read("chunks", at)
-        first = old.where("dense is not null").select(F.size("dense")).first() if old is not None and "dense" in old.columns else None
-        if len(sizes | ({first[0]} if first else set())) > 1:
-            raise ValueError(f"vectors of lengths {sorted(sizes | ({first[0]} if first else set()))}; index again with full=True in a new folder")
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete what the last ``keep`` versions don't point to."""
-        kept = self.versions()[-keep:]
-        held = {(b, v) for k in kept for b, v in self._pointers(k).items()}
-        fs = self._fs()
-        for v in self.versions():
-            if v in kept:
-                continue
-            for table in ("chunks", "terms"):
-                for b in range(len(self._pointers(v))):
-                    if (b, v) not in held:
-                        fs.delete(self._path(f"/v{v}/{table}/bucket={b}"), True)
-            if not any(at == v for _, at in held):
-                fs.delete(self._path(f"/v{v}"), True)
-
-
-def hybrid_search(chunks: DataFrame, terms: DataFrame, query_terms: DataFrame, query_vector: list[float] | None, candidate_k: int = 50, k: int = 60, **filters) -> DataFrame:
+        for s in held:
+            if any(f["name"] == "dense" for f in s["tables"]["chunks"]["fields"]) and (first := self._table(s, "chunks").where("dense is not null").select(F.size("dense")).first()):
+                sizes.add(first[0])
+                break
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of lengths {sorted(sizes)}; index again with full=True in a new folder")
+
+    def vacuum(self, keep: int = 2, older: float = 3600) -> None:
+        """Delete commits but the last ``keep``, and segments that none of these points to and that are older than ``older`` seconds (a refresh under way may yet commit them)."""
+        versions = self.versions()
+        for v in versions[:-keep]:
+            self.log.forget(v)
+        held = {x for v in versions[-keep:] for body in (self.log.read(v),) for x in [*(s["id"] for s in body["segments"]), body.get("change")]}
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/segments")
+        for status in self.log.fs().listStatus(top) if self.log.fs().exists(top) else []:
+            if status.getPath().getName() not in held and time.time() - status.getModificationTime() / 1000 >= older:
+                self.log.fs().delete(status.getPath(), True)
+
+
+def hybrid_search(chunks: DataFrame, terms: DataFrame | Postings, query_terms: DataFrame, query_vector: list[float] | None, candidate_k: int = 50, k: int = 60, **filters) -> DataFrame:
     """Dense and sparse top lists under one filter, fused by rank: (chunk_id, score, best, source).
 
-    ``query_terms`` is (term, weight); without a query vector the sparse list stands alone.
+    ``query_terms`` is (term, weight); without a query vector the sparse list stands alone.  ``terms`` are the postings, or a table (chunk_id, term, weight), which
+    is scanned for the query's terms; only texts that have one are held against the filter.
     """
     kept = retrieval.filtered(chunks, **filters)
-    near = terms.join(kept.select("chunk_id"), "chunk_id", "left_semi")
-    lists = retrieval.sparse_top_k(near, query_terms, candidate_k).withColumn("list_no", F.lit(1))
+    some = None if kept is chunks else kept.select("chunk_id")
+    if isinstance(terms, Postings):
+        sparse = terms.top_k({r.term: r.weight for r in query_terms.collect()}, candidate_k, some)
+    else:
+        found = terms.join(query_terms.select("term"), "term", "left_semi")
+        sparse = retrieval.sparse_top_k(found if some is None else found.join(some, "chunk_id", "left_semi"), query_terms, candidate_k)
+    lists = sparse.withColumn("list_no", F.lit(1))
     if query_vector is not None:
         lists = retrieval.dense_top_k(kept, query_vector, candidate_k).withColumn("list_no", F.lit(0)).unionByName(lists)
     return retrieval.rank_fusion(lists, "chunk_id", k, candidate_k)
 
 
-def search(chunks: DataFrame, terms: DataFrame, query: str, query_vector: list[float] | None = None, rerank_n: int = 30, final_k: int = 8, **filters) -> DataFrame:
+#: A reranker: a column of scores from a query and a column of texts.
+Scorer = Callable[[str, Column], Column]
+
+
+def search(
+    chunks: DataFrame, terms: DataFrame | Postings, query: str, query_vector: list[float] | None = None, rerank_n: int = 30, final_k: int = 8, candidate_k: int = 50, rrf_k: int = 60, scorer: Scorer = retrieval.overlap_score, **filters
+) -> DataFrame:
     """Hybrid search, then the reranker's best chunks with their text: chunk columns, score, rank."""
     spark = chunks.sparkSession
     asked = retrieval.term_weights(spark.createDataFrame([("q", query)], "id string, text string"), "id", "text").select("term", "weight")
-    fused = hybrid_search(chunks, terms, asked, query_vector, **filters).limit(rerank_n)
+    fused = hybrid_search(chunks, terms, asked, query_vector, candidate_k, rrf_k, **filters).limit(rerank_n)
     ranked = fused.select("chunk_id", F.struct((-F.col("score")).alias("s"), "best", "chunk_id").alias("rank"))
-    return with_scores(chunks.join(F.broadcast(ranked), "chunk_id"), query, rerank_n, final_k)
+    return with_scores(chunks.join(F.broadcast(ranked), "chunk_id"), query, rerank_n, final_k, scorer)
 
 
-def with_scores(candidates: DataFrame, query: str, rerank_n: int = 30, final_k: int = 8) -> DataFrame:
+def with_scores(candidates: DataFrame, query: str, rerank_n: int = 30, final_k: int = 8, scorer: Scorer = retrieval.overlap_score) -> DataFrame:
     """The reranker over candidates with a column ``rank``, its places from 1 in column ``rank``."""
-    best = retrieval.rerank(candidates, retrieval.overlap_score(query, F.col("text")), rerank_n, final_k)
+    best = retrieval.rerank(candidates, scorer(query, F.col("text")), rerank_n, final_k)
     place = F.struct((-F.col("score")).alias("s"), "rank")
     rows = best.withColumn("all", F.lit(0)).groupBy("all").agg(F.sort_array(F.collect_list(F.struct(place.alias("p"), F.struct(*best.columns).alias("x")))).alias("rows"))
     return rows.select(F.posexplode("rows").alias("i", "row")).select("row.x.*", "i").withColumn("rank", F.col("i") + 1).drop("i")

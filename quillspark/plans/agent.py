@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import citation_keys
 from quillspark.operators import graph, retrieval
 from quillspark.operators import index as I
+from quillspark.operators.postings import Postings
 
 #: What a model is: (messages, tools or none) to events, dicts of kind text, tool_call or stop.
 Model = Callable[[list[dict], list[dict]], Iterable[dict]]
@@ -71,13 +72,18 @@ class Tools:
 
     notes: DataFrame
     chunks: DataFrame
-    terms: DataFrame
+    terms: DataFrame | Postings
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     vector: Callable[[str], list[float]] | None = None
     max_nodes: int = 20
     decay: float = 0.5
     hub: int = 50
+    candidate_k: int = 50
+    rrf_k: int = 60
+    rerank_n: int = 30
+    final_k: int = 8
+    scorer: I.Scorer = retrieval.overlap_score
 
     def specs(self) -> list[dict]:
         return [{"type": "function", "function": {"name": n, "description": d, "parameters": {"type": "object", "properties": p, "required": r}}} for n, (d, p, r) in TOOLS.items()]
@@ -87,14 +93,14 @@ class Tools:
 
     def search_vault(self, query: str, filters: dict | None = None) -> DataFrame:
         near = self.vector(query) if self.vector else None
-        return I.search(self.chunks, self.terms, query, near, **_filters(filters or {}))
+        return I.search(self.chunks, self.terms, query, near, self.rerank_n, self.final_k, self.candidate_k, self.rrf_k, self.scorer, **_filters(filters or {}))
 
     def expand_graph(self, query: str, note_ids: list[str], depth: int) -> DataFrame:
         """The chunks of the notes around these, by the reranker; candidates stand in order of chunk_id."""
         ids = list(dict.fromkeys(note_ids))
         seeds = self.notes.sparkSession.createDataFrame([(x, 1.0, i) for i, x in enumerate(ids)], "id string, score double, pos int")
         around = graph.expand(self.nodes, self.edges, seeds, depth, self.max_nodes, self.decay, self.hub).select(F.col("id").alias("note_id"))
-        return I.with_scores(retrieval.by_notes(self.chunks, around).withColumn("rank", F.col("chunk_id")), query)
+        return I.with_scores(retrieval.by_notes(self.chunks, around).withColumn("rank", F.col("chunk_id")), query, self.rerank_n, self.final_k, self.scorer)
 
     def read_note(self, note_id: str) -> str:
         row = self.notes.where(F.col("note_id") == note_id).select("note_id", "body").first()

@@ -12,8 +12,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph, links
-from quillspark.operators.index import NoteIndex
+from quillspark.operators import graph, links, retrieval
+from quillspark.operators.index import NoteIndex, Scorer
 from quillspark.plans.agent import Model, Session, Tools
 from quillspark.sources.vault import load_notes
 
@@ -104,13 +104,15 @@ def hashed_embed(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Engine:
-    """One vault with its index.  ``embed``, ``vector`` and ``model`` are the replaceable parts; by default hashed vectors and the model of the settings."""
+    """One vault with its index.  ``embed``, ``vector``, ``model`` and ``scorer`` (the reranker) are the replaceable parts; by default hashed vectors, the model of the settings, and
+    the share of the query's words."""
 
     spark: SparkSession
     settings: Settings
     embed: Callable[[DataFrame], DataFrame] | None = hashed_embed
     vector: Callable[[str], list[float]] | None = None
     model: Model | None = None
+    scorer: Scorer = retrieval.overlap_score
     _notes: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self):
@@ -140,5 +142,5 @@ class Engine:
         index, notes, s = self.index(), self.notes(), self.settings
         if not index.version():
             raise LookupError("no index yet: run index first")
-        tools = Tools(notes, index.read("chunks"), index.read("terms"), *self.graph(notes), self.vector, s.graph_max_nodes, s.graph_decay, s.graph_hub)
+        tools = Tools(notes, index.read("chunks"), index.postings(), *self.graph(notes), self.vector, s.graph_max_nodes, s.graph_decay, s.graph_hub, s.candidate_k, s.rrf_k, s.rerank_n, s.final_k, self.scorer)
         return Session(self.model, tools, s.rounds, s.context_tokens)

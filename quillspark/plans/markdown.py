@@ -15,6 +15,7 @@ from quillspark.functions import text as T
 from quillspark.functions.frontmatter import with_header
 from quillspark.operators import chunks, graph, links, manifest, retrieval, stats
 from quillspark.operators import index as I
+from quillspark.operators.postings import Postings, blocks, write
 from quillspark.sources import events
 from quillspark.sources.shared import Tables, shared_dir
 from quillspark.sources.vault import document_notes
@@ -148,20 +149,29 @@ def _asked(spark: SparkSession, query: str) -> DataFrame:
     return retrieval.term_weights(spark.createDataFrame([("q", query)], "id string, text string"), "id", "text").select("term", "weight")
 
 
+def _inverted(terms: DataFrame) -> Postings:
+    """The terms' inverted index, written as an index of notes writes it."""
+    path = f"{shared_dir(terms.sparkSession)}/quillspark/postings-{uuid.uuid4().hex}"
+    rows = blocks(terms)
+    write(rows, path)
+    return Postings([terms.sparkSession.read.schema(rows.schema).parquet(path)])
+
+
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     _, terms, query, _ = _passages(spark, d)
-    return retrieval.sparse_top_k(terms, _asked(spark, query), 50).select("chunk_id", F.round("score", 6).alias("score"))
+    out = _inverted(terms).top_k({r.term: r.weight for r in _asked(spark, query).collect()}, 50)
+    return out.select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def hybrid_results(spark: SparkSession, d: str) -> DataFrame:
     rows, terms, query, vector = _passages(spark, d)
-    out = I.hybrid_search(rows, terms, _asked(spark, query), vector, tags=["en", "fr"])
+    out = I.hybrid_search(rows, _inverted(terms), _asked(spark, query), vector, tags=["en", "fr"])
     return out.select("chunk_id", F.round("score", 9).alias("score"), F.col("best").cast("long").alias("best"), F.col("source").cast("long").alias("source"))
 
 
 def search_results(spark: SparkSession, d: str) -> DataFrame:
     rows, terms, query, vector = _passages(spark, d)
-    out = I.search(rows, terms, query, vector)
+    out = I.search(rows, _inverted(terms), query, vector)
     return out.select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -198,7 +208,8 @@ def index_changes(spark: SparkSession, d: str) -> DataFrame:
     index = I.NoteIndex(spark, f"{shared_dir(spark)}/quillspark/index-{uuid.uuid4().hex}")
     index.refresh(old.withColumn("content_hash", F.sha2(F.col("body").cast("binary"), 256)), most=120, least=30, overlap=12)
     index.refresh(notes, most=120, least=30, overlap=12)
-    changes = spark.read.parquet(f"{index.root}/v2/changes")
+    changes = index.changes()
+    changes = changes.unionByName(index.read("manifest").join(changes, "note_id", "left_anti").select("note_id", F.lit("unchanged").alias("change")))
     sizes = index.read("chunks").groupBy("note_id").agg(F.count(F.lit(1)).alias("chunks"))
     out = changes.join(index.read("manifest"), "note_id", "left").join(sizes, "note_id", "left")
     return out.select("note_id", "change", "content_hash", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))

@@ -22,7 +22,7 @@ def test_tool_loop_and_sources(spark, tmp_path):
     notes = load_notes(spark, str(_vault(tmp_path)))
     index = NoteIndex(spark, str(tmp_path / "index"))
     index.refresh(notes)
-    tools = Tools(notes, index.read("chunks"), index.read("terms"), *Engine(spark, Settings()).graph(notes))
+    tools = Tools(notes, index.read("chunks"), index.postings(), *Engine(spark, Settings()).graph(notes))
     call = lambda name, **a: {"kind": "tool_call", "name": name, "arguments": json.dumps(a)}
     script = [
         [call("search_vault", query="red fox", filters={"tags": [], "folder": ""}), call("nothing")],
@@ -109,22 +109,6 @@ def test_index_follows_its_folder(spark, tmp_path):
     assert all(len(r.dense) == 64 for r in engine.index().read("chunks").collect())
 
 
-def test_index_keeps_untouched_buckets_and_the_hash_it_chunked(spark, tmp_path):
-    notes = lambda rows: spark.createDataFrame([(i, i + ".md", i, t, f"h{t}") for i, t in rows], "note_id string, path string, title string, body string, content_hash string")
-    index = NoteIndex(spark, str(tmp_path / "index"), buckets=8)
-    index.refresh(notes([(f"n{i}", f"text {i}") for i in range(30)]))
-    index.refresh(notes([(f"n{i}", f"text {i}" if i else "other") for i in range(30)]))
-    assert len(set(index._pointers(2).values())) == 2 and list(index._pointers(2).values()).count(2) == 1
-    assert {r.note_id: r.text for r in index.read("chunks").collect()} == {f"n{i}": f"text {i}" if i else "other" for i in range(30)}
-    index.refresh(notes([]))
-    assert index.read("chunks").count() == 0 and index.read("terms").count() == 0 and index.read("manifest").count() == 0
-    index.vacuum(1)
-    assert index.versions()[-1] == 3 and index.read("chunks").count() == 0
-    wrong = NoteIndex(spark, str(tmp_path / "wrong"), lambda df: df.selectExpr("*", "array_repeat(1F, length(note_id)) as dense"))
-    with pytest.raises(ValueError):
-        wrong.refresh(notes([("a", "x"), ("bb", "y")]))
-
-
 def test_vault_problems_are_reported(spark, tmp_path):
     (tmp_path / "v" / "_x" / ".hidden").mkdir(parents=True)
     for name, data in {"a.md": b"\xff bad", "_x/b.md": b"fine", "_x/c.md.icloud": b"", "_x/.hidden/d.md": b"no", "e.txt": b"no", "_x/.f.md": b"no"}.items():
