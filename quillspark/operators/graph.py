@@ -1,12 +1,10 @@
-"""The notes' link graph: nodes, edges, degrees, neighbours and expansion."""
+"""The notes' link graph: nodes, edges, degrees and neighbours; see adjacency.py for walks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.sources.shared import Tables
-
 
 def build(notes: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, ghost) and edges (src, dst, kind, count, seq); an edge keeps its first kind, ghosts are targets that no note answers."""
@@ -47,38 +45,6 @@ def neighbors(edges: DataFrame, node: str) -> DataFrame:
     return both_ways(edges).where(F.col("id") == node).orderBy("way", "seq").select("other")
 
 
-def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 1, max_nodes: int = 20, decay: float = 0.5, hub: int = 50) -> DataFrame:
-    """Breadth-first expansion of seeds (id, score, pos): (id, score, depth, place) of the first max_nodes notes reached, place from 1 in that order.
-
-    score = seed score * decay ^ depth / log2(2 + degree).  Ghosts are passed through but not returned; nodes of more
-    than ``hub`` links other than seeds are returned but not passed through.  A node's path (its seed's pos, then way and seq of each
-    link) is its place in the order of a queue, so a level is one join and one minimum a node; no level is ranked as a whole.
-    Levels end once max_nodes are found, so a front that is gone on from holds fewer notes than that, and ghosts.
-    """
-    tables = Tables(seeds.sparkSession, "expand")
-    degree = tables.write(degrees(nodes, edges), "degrees")
-    ways = tables.write(both_ways(edges).select("id", "other", F.struct("way", "seq").alias("step")), "ways")
-    seen = seeds.select("id")
-    steps = ways.schema["step"].dataType.simpleString()
-    front = seeds.select("id", "score", F.col("pos").cast("long").alias("pos"), F.array().cast(f"array<{steps}>").alias("path"), F.lit(False).alias("stop"))
-    found, n = None, 0
-    for depth in range(1, max_depth + 1):
-        step = front.where("not stop").join(ways, "id").select(F.col("other").alias("id"), F.struct("pos", F.concat("path", F.array("step")).alias("path"), "score").alias("via")).join(seen, "id", "left_anti")
-        front = step.groupBy("id").agg(F.min("via").alias("via")).join(degree, "id").select("id", "via.*", (F.col("degree") > hub).alias("stop"), "degree", "ghost")
-        front = tables.write(front, "front")
-        level = front.where("not ghost").select("id", (F.col("score") * decay**depth / F.log2(F.col("degree") + 2)).alias("score"), F.lit(depth).alias("depth"), "pos", "path")
-        found = level if found is None else found.unionByName(level)
-        before, n = n, n + level.count()
-        if n >= max_nodes or (n == before and front.isEmpty()):
-            break
-        seen = seen.unionByName(front.select("id"))
-    if found is None:
-        return seeds.sparkSession.createDataFrame([], "id string, score double, depth int, place int")
-    # At most max_nodes rows are numbered.
-    best = found.orderBy("depth", "pos", "path").limit(max_nodes)
-    return best.withColumn("place", F.row_number().over(Window.orderBy("depth", "pos", "path"))).orderBy("place").select("id", "score", "depth", "place")
-
-
 def report(nodes: DataFrame, edges: DataFrame, hub: int = 50) -> DataFrame:
     """(id, ghost, degree, is_hub, neighbors): a row a node; mutual links and loops count twice."""
     near = both_ways(edges).groupBy("id").agg(F.count(F.lit(1)).alias("neighbors"))

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import citation_keys
-from quillspark.operators import graph, retrieval
 from quillspark.operators import index as I
+from quillspark.operators import retrieval
+from quillspark.operators.adjacency import Adjacency
 from quillspark.operators.postings import Postings
 
 #: What a model is: (messages, tools or none) to events, dicts of kind text, tool_call or stop.
@@ -73,8 +74,7 @@ class Tools:
     notes: DataFrame
     chunks: DataFrame
     terms: DataFrame | Postings
-    nodes: DataFrame | None = None
-    edges: DataFrame | None = None
+    links: Adjacency | None = None
     vector: Callable[[str], list[float]] | None = None
     max_nodes: int = 20
     decay: float = 0.5
@@ -99,7 +99,7 @@ class Tools:
         """The chunks of the notes around these, by the reranker; candidates stand in order of chunk_id."""
         ids = list(dict.fromkeys(note_ids))
         seeds = self.notes.sparkSession.createDataFrame([(x, 1.0, i) for i, x in enumerate(ids)], "id string, score double, pos int")
-        around = graph.expand(self.nodes, self.edges, seeds, depth, self.max_nodes, self.decay, self.hub).select(F.col("id").alias("note_id"))
+        around = self.links.expand(seeds, depth, self.max_nodes, self.decay, self.hub).select(F.col("id").alias("note_id"))
         return I.with_scores(retrieval.by_notes(self.chunks, around).withColumn("rank", F.col("chunk_id")), query, self.rerank_n, self.final_k, self.scorer)
 
     def read_note(self, note_id: str) -> str:

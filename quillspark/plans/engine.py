@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph, links, retrieval
+from quillspark.operators.adjacency import Adjacency
 from quillspark.operators.index import NoteIndex, Scorer
 from quillspark.plans.agent import Model, Session, Tools
 from quillspark.sources.vault import load_notes
@@ -142,5 +143,5 @@ class Engine:
         index, notes, s = self.index(), self.notes(), self.settings
         if not index.version():
             raise LookupError("no index yet: run index first")
-        tools = Tools(notes, index.read("chunks"), index.postings(), *self.graph(notes), self.vector, s.graph_max_nodes, s.graph_decay, s.graph_hub, s.candidate_k, s.rrf_k, s.rerank_n, s.final_k, self.scorer)
+        tools = Tools(notes, index.read("chunks"), index.postings(), Adjacency.write(*self.graph(notes)), self.vector, s.graph_max_nodes, s.graph_decay, s.graph_hub, s.candidate_k, s.rrf_k, s.rerank_n, s.final_k, self.scorer)
         return Session(self.model, tools, s.rounds, s.context_tokens)

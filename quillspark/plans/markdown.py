@@ -15,6 +15,7 @@ from quillspark.functions import text as T
 from quillspark.functions.frontmatter import with_header
 from quillspark.operators import chunks, graph, links, manifest, retrieval, stats
 from quillspark.operators import index as I
+from quillspark.operators.adjacency import Adjacency
 from quillspark.operators.postings import Postings, blocks, write
 from quillspark.sources import events
 from quillspark.sources.shared import Tables, shared_dir
@@ -79,7 +80,7 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 def expanded(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
     seeds = _table(spark, d, "documents").where("doc_id < 12").select(F.concat("source", F.lit("/"), "lang", F.lit("-"), "doc_id").alias("id"), F.lit(1.0).alias("score"), F.col("doc_id").alias("pos"))
-    out = graph.expand(nodes, edges, seeds, max_depth=2, max_nodes=60, hub=6)
+    out = Adjacency.write(nodes, edges).expand(seeds, max_depth=2, max_nodes=60, hub=6)
     return out.select("id", F.round("score", 9).alias("score"), "depth", F.col("place").cast("long").alias("place"))
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from quillspark import streaming
 from quillspark.cli import main
+from quillspark.operators.adjacency import Adjacency
 from quillspark.operators.index import NoteIndex
 from quillspark.plans.agent import SYSTEM, Session, Tools, arguments, filters
 from quillspark.plans.engine import Engine, ModelUnreachable, Settings, http_model, reply_events
@@ -22,7 +23,7 @@ def test_tool_loop_and_sources(spark, tmp_path):
     notes = load_notes(spark, str(_vault(tmp_path)))
     index = NoteIndex(spark, str(tmp_path / "index"))
     index.refresh(notes)
-    tools = Tools(notes, index.read("chunks"), index.postings(), *Engine(spark, Settings()).graph(notes))
+    tools = Tools(notes, index.read("chunks"), index.postings(), Adjacency.write(*Engine(spark, Settings()).graph(notes)))
     call = lambda name, **a: {"kind": "tool_call", "name": name, "arguments": json.dumps(a)}
     script = [
         [call("search_vault", query="red fox", filters={"tags": [], "folder": ""}), call("nothing")],

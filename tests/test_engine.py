@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import graph, links, manifest, retrieval
+from quillspark.operators import adjacency, graph, links, manifest, retrieval
 from quillspark.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -138,18 +138,41 @@ def queue_expand(nodes, edges, seeds, max_depth, max_nodes, decay, hub):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_expand_is_a_queue(spark, seed):
+def test_expand_is_a_queue(spark, seed, monkeypatch):
     rnd = random.Random(seed)
     nodes = {f"n{i}": rnd.random() < 0.2 for i in range(40)}
     edges = list(dict.fromkeys((rnd.choice(list(nodes)), rnd.choice(list(nodes))) for _ in range(70)))
     seeds = [f"n{i}" for i in rnd.sample(range(40), 12)]
-    df = graph.expand(
-        spark.createDataFrame(list(nodes.items()), "id string, ghost boolean"), spark.createDataFrame([(a, b, "link", 1, i) for i, (a, b) in enumerate(edges)], "src string, dst string, kind string, count long, seq int"),
-        spark.createDataFrame([(s, 1.0, i) for i, s in enumerate(seeds)], "id string, score double, pos int"), 3, 9 + 10 * (seed % 2), 0.5, 4,
+    monkeypatch.setattr(adjacency, "PIECE", 3)
+    monkeypatch.setattr(adjacency, "BUCKET", 9)
+    monkeypatch.setattr(adjacency, "NAMED", 5 * (seed % 2))
+    store = adjacency.Adjacency.write(
+        spark.createDataFrame(list(nodes.items()), "id string, ghost boolean"), spark.createDataFrame([(a, b, "link", 1, i) for i, (a, b) in enumerate(edges)], "src string, dst string, kind string, count long, seq int")
     )
+    df = store.expand(spark.createDataFrame([(s, 1.0, i) for i, s in enumerate(seeds)], "id string, score double, pos int"), 3, 9 + 10 * (seed % 2), 0.5, 4)
+    assert store.buckets == 5 and store.rows.groupBy("id").count().agg(F.max("count")).first()[0] > 1
+    for x in seeds[:3]:
+        assert [r.other for r in store.neighbors(x).collect()] == [b for a, b in edges if a == x] + [a for a, b in edges if b == x]
     assert [(r.id, round(r.score, 9), r.depth) for r in df.orderBy("place").collect()] == queue_expand(nodes, edges, seeds, 3, 9 + 10 * (seed % 2), 0.5, 4)
 
 
+def test_a_walk_reads_the_buckets_of_its_front(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adjacency, "BUCKET", 50)
+    nodes = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit(False).alias("ghost"))
+    edges = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), (F.col("id") * 7 + 1) % 2000).alias("dst"), F.lit("link").alias("kind"), F.lit(1).alias("count"), F.col("id").cast("int").alias("seq"))
+    store = adjacency.Adjacency.write(nodes, edges, str(tmp_path / "graph"))
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "graph").rglob("*.parquet"))
+    before = size()
+    seeds = spark.createDataFrame([("n5", 1.0, 0)], "id string, score double, pos int")
+    assert {r.id for r in store.expand(seeds, max_depth=2).collect()} == {"n36", "n253"} | {f"n{i}" for i in range(2000) if (7 * i + 1) % 2000 == 5} | {f"n{i}" for i in range(2000) if (7 * ((7 * i + 1) % 2000) + 1) % 2000 == 5}
+    assert size() == before and store.buckets == 41
+    plan = store.of(seeds, "id", "links")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1][:60] and plan.count("Scan parquet") == 1
+    assert len(store.of(seeds, "id").inputFiles()) <= 41
+    again = adjacency.Adjacency(spark, str(tmp_path / "graph"), store.buckets)
+    assert [r.other for r in again.neighbors("n5").collect()] == [r.other for r in store.neighbors("n5").collect()]
+
+
 def test_context_of_one_list_and_of_many(spark):
     rows = [(q, i, t) for q in range(3) for i, t in enumerate([[5, 0, 3, 9], [20, 1, 1], [0, 0, 2, 2, 7]][q])]
     ranked = spark.createDataFrame(rows, "q int, rank int, token_estimate long")
@@ -171,7 +194,7 @@ def test_expand_caps_and_decays(spark):
     edges = spark.createDataFrame([("hub", f"n{i}", "link", 1, i) for i in range(9)] + [("n0", "hub", "link", 1, 20)], "src string, dst string, kind string, count long, seq int")
     nodes = spark.createDataFrame([("hub", False)] + [(f"n{i}", False) for i in range(9)], "id string, ghost boolean")
     seeds = spark.createDataFrame([("hub", 1.0, 0)], "id string, score double, pos int")
-    got = graph.expand(nodes, edges, seeds, max_depth=10, max_nodes=5).collect()
+    got = adjacency.Adjacency.write(nodes, edges).expand(seeds, max_depth=10, max_nodes=5).collect()
     assert [r.id for r in got] == ["n0", "n1", "n2", "n3", "n4"] and abs(got[0].score - 0.25) < 1e-9
 
 
