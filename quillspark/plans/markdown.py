@@ -17,6 +17,7 @@ from quillspark.operators import chunks, graph, links, manifest, retrieval, stat
 from quillspark.operators import index as I
 from quillspark.operators.adjacency import Adjacency
 from quillspark.operators.postings import Postings, blocks, write
+from quillspark.plans.agent import Tools
 from quillspark.sources import events
 from quillspark.sources.shared import Tables, shared_dir
 from quillspark.sources.vault import document_notes
@@ -84,6 +85,15 @@ def expanded(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.round("score", 9).alias("score"), "depth", F.col("place").cast("long").alias("place"))
 
 
+def graph_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The tool that follows links: passages of the notes around twelve ones, by the reranker; a note is a passage."""
+    notes, query = _notes(spark, d), _table(spark, d, "benchmark").orderBy("item_id").first().text
+    rows = notes.select("note_id", F.col("doc_id").alias("chunk_id")).join(_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    seeds = [r.note_id for r in notes.where("doc_id < 12").orderBy("doc_id").select("note_id").collect()]
+    tools = Tools(notes, rows, rows, Adjacency.write(*_graph(spark, d)), max_nodes=60, hub=6)
+    return tools.expand_graph(query, seeds, 2).select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.chunk_notes(_notes(spark, d), 120, 30, 12)
 
@@ -223,7 +233,7 @@ def upserted(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    free_lines, note_tags, note_links, graph_edges, note_reports, graph_neighbors, expanded, note_chunks, embedding_texts, corpus_stats, note_ids, note_headers, reply_events, reply_texts,
+    free_lines, note_tags, note_links, graph_edges, note_reports, graph_neighbors, expanded, graph_passages, note_chunks, embedding_texts, corpus_stats, note_ids, note_headers, reply_events, reply_texts,
     sparse_topk, hybrid_results, search_results, dense_topk_each, citations, unknown_citations, source_footers, index_changes, upserted,
 )
 
@@ -340,6 +350,10 @@ u AS (SELECT id, key, conv_id, min(pos)::BIGINT AS pos FROM a GROUP BY ALL)"""
 
 def oracle_sql() -> dict[str, str]:
     near = lambda f: f"(SELECT p.pos, y.way, y.seq, y.other AS id FROM {f} p JOIN y ON y.id = p.id)"
+    around = f"""{_GRAPH}, s AS (SELECT note_id AS id, doc_id AS pos FROM n WHERE doc_id < 12),
+            l1 AS (SELECT id, min((pos, way, seq)) AS step FROM {near('s')} WHERE id NOT IN (SELECT id FROM s) GROUP BY id), p1 AS (SELECT l1.id, row_number() OVER (ORDER BY step) AS pos, ghost, degree FROM l1 JOIN g USING (id)),
+            q1 AS (SELECT id, pos FROM p1 WHERE degree <= 6), l2 AS (SELECT id, min((pos, way, seq)) AS step FROM {near('q1')} WHERE id NOT IN (SELECT id FROM s UNION ALL SELECT id FROM p1) GROUP BY id),
+            p2 AS (SELECT l2.id, row_number() OVER (ORDER BY step) AS pos, ghost, degree FROM l2 JOIN g USING (id)), z AS (SELECT *, 1 AS depth FROM p1 UNION ALL SELECT *, 2 FROM p2)"""
     return {
         "free_lines": f"WITH {_LINES} SELECT note_id, count(*) AS n_lines, count(*) FILTER (free) AS n_free, md5(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (free), '')) AS free_md5 FROM li GROUP BY note_id",
         "note_tags": rf"WITH {_LINES}, x AS (SELECT note_id, spot, unnest(regexp_extract_all(line, '(?:^|[{_BLANKS}])#([A-Za-z0-9_/-]+)', 1)) AS tag, unnest(range(len(regexp_extract_all(line, '(?:^|[{_BLANKS}])#([A-Za-z0-9_/-]+)', 1)))) AS pos FROM fr), z AS (SELECT note_id, tag, min((spot, pos)) AS first FROM x GROUP BY 1, 2) SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY first) - 1 AS place, tag FROM z",
@@ -347,11 +361,12 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges": f"WITH {_GRAPH} SELECT src, dst, kind, count FROM e",
         "note_reports": f"WITH {_GRAPH} SELECT id, ghost, degree, degree > 6 AS is_hub, degree AS neighbors FROM g",
         "graph_neighbors": f"WITH {_GRAPH} SELECT other, count(*) AS n FROM y WHERE id = 'missing-3' GROUP BY other",
-        "expanded": f"""WITH {_GRAPH}, s AS (SELECT note_id AS id, doc_id AS pos FROM n WHERE doc_id < 12),
-            l1 AS (SELECT id, min((pos, way, seq)) AS step FROM {near('s')} WHERE id NOT IN (SELECT id FROM s) GROUP BY id), p1 AS (SELECT l1.id, row_number() OVER (ORDER BY step) AS pos, ghost, degree FROM l1 JOIN g USING (id)),
-            q1 AS (SELECT id, pos FROM p1 WHERE degree <= 6), l2 AS (SELECT id, min((pos, way, seq)) AS step FROM {near('q1')} WHERE id NOT IN (SELECT id FROM s UNION ALL SELECT id FROM p1) GROUP BY id),
-            p2 AS (SELECT l2.id, row_number() OVER (ORDER BY step) AS pos, ghost, degree FROM l2 JOIN g USING (id)), z AS (SELECT *, 1 AS depth FROM p1 UNION ALL SELECT *, 2 FROM p2)
+        "expanded": f"""WITH {around}
             SELECT id, round(power(0.5, depth) / log2(2 + degree), 9) AS score, depth::INTEGER AS depth, row_number() OVER (ORDER BY depth, pos) AS place FROM z WHERE NOT ghost ORDER BY depth, pos LIMIT 60""",
+        "graph_passages": f"""WITH {around}, ex AS (SELECT id FROM z WHERE NOT ghost ORDER BY depth, pos LIMIT 60), to30 AS (SELECT doc_id AS chunk_id, text FROM n JOIN ex ON n.note_id = ex.id ORDER BY doc_id LIMIT 30),
+            qw AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '[{_BLANKS}]+'), lambda x: x <> '')) AS words FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
+            sc AS (SELECT chunk_id, len(list_intersect(list_distinct(string_split_regex(lower(text), '\\s+')), words))::DOUBLE / len(words) AS overlap FROM to30, qw),
+            rk AS (SELECT *, row_number() OVER (ORDER BY overlap DESC, chunk_id) AS rank FROM sc) SELECT chunk_id, round(overlap, 9) AS score, rank FROM rk WHERE rank <= 8""",
         "note_chunks": f"WITH RECURSIVE {_LINES}, {_CHUNKS} SELECT note_id, place, array_to_string(path, ' > ') AS path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, token_estimate, chunk_id, source AS folder, md5(text) AS text_md5 FROM ch",
         "embedding_texts": f"WITH RECURSIVE {_LINES}, {_CHUNKS} SELECT note_id, place, md5(array_to_string(list_prepend(title, path), ' > ') || chr(10) || text) AS embedding_md5 FROM ch",
         "corpus_stats": f"""WITH RECURSIVE {_GRAPH}, {_CHUNKS}, tg AS (SELECT unnest([lang, 't' || (doc_id % 7)]) AS item FROM documents)
