@@ -113,20 +113,37 @@ def test_shards_are_those_of_a_heap(spark):
     assert sorted(loads.values()) == sorted(heap) and len(got) == len(docs)
 
 
-def test_bundles_keep_groups_and_evenness(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "FINE", 4)
-    monkeypatch.setattr(sharding, "BUNDLES", 64)
-    docs = [(i, f"text {i % 700}") for i in range(2000)] + [(9, "long " * 900)]
-    got = sharding.lpt_shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4).collect()
-    loads, slots, of, bundle = Counter(), defaultdict(list), defaultdict(set), Counter()
-    for r in got:
-        loads[r.shard] += r.size
-        slots[r.shard].append(r.slot)
-        of[r.text_crc32].add(r.shard)
-    assert all(len(s) == 1 for s in of.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    for _, t in docs[:-1]:
-        bundle[xxhash.xxh64(t.encode(), 42).intdigest() % 64] += len(t) + 1
-    assert max(loads.values()) - min(loads.values()) <= 2 * max(bundle.values())
+def test_runs_of_sizes_are_those_of_a_heap_of_groups():
+    rnd = random.Random(4)
+    for n_shards in (1, 2, 3, 8):
+        for _ in range(60):
+            sizes = {rnd.randint(1, 30) * rnd.choice([1, 1, 7]): rnd.choice([1, 2, 3, 40, 500]) for _ in range(rnd.randint(0, 6))}
+            heap, want = [(0, s) for s in range(n_shards)], []
+            for size in sorted(sizes, reverse=True):
+                for i in range(sizes[size]):
+                    load, s = heap[0]
+                    want.append((size, s))
+                    heapq.heapreplace(heap, (load + size, s))
+            runs = list(sharding.lpt_runs(list(sizes.items()), n_shards))
+            assert Counter((size, s) for size, first, end, s in runs for _ in range(first, end)) == Counter(want)
+            for size, n in sizes.items():
+                assert sorted(i for x, first, end, _ in runs if x == size for i in range(first, end)) == list(range(n))
+
+
+def test_a_hundred_thousand_groups_are_scheduled_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL", 500)
+    n = 100_000
+    # Sizes from 21 to 60 and a few large groups, of which some are copies.
+    text = F.concat(F.lpad("id", 20, "0"), F.repeat(F.lit("x"), (F.col("id") * 7919 % 40).cast("int")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")).unionByName(spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 5 * 1000).cast("int")).alias("text")))
+    out = sharding.lpt_shards(docs).cache()
+    groups = Counter(21 + i * 7919 % 40 for i in range(n)) + Counter({60: 0})
+    heap = [0] * 8
+    for size in sorted([*groups.elements(), *(60 * (1000 * k + 1) for k in range(5))], reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    assert sorted(r.n for r in out.groupBy("shard").agg(F.sum("size").alias("n")).collect()) == sorted(heap)
+    assert out.groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() < 5
+    assert all(r.n == r.most + 1 for r in out.groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("most")).collect())
 
 
 # Quality

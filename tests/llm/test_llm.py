@@ -217,7 +217,7 @@ def test_shards_even_and_gapless(spark):
         by[r.shard].append(r.slot)
         of[r.text_crc32].add(r.shard)
     assert len(got) == len(docs) and all(sorted(v) == list(range(len(v))) for v in by.values()) and all(len(v) == 1 for v in of.values())
-    assert sharding.lpt([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert list(sharding.lpt_runs([(5, 1), (4, 1), (3, 2)], 2)) == [(5, 0, 1, 0), (4, 0, 1, 1), (3, 0, 1, 1), (3, 1, 2, 0)]
 
 
 def test_pseudonyms(spark):
