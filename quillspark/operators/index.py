@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import math
-import time
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quillspark.operators import chunks as C
 from quillspark.operators import manifest, retrieval
 from quillspark.operators.postings import Postings, blocks, write
-from quillspark.sources.commits import Conflict, Log
+from quillspark.operators.segments import Segments
+from quillspark.sources.commits import Conflict
 
-MANIFEST = "note_id string, content_hash string"
 
-
-class NoteIndex:
+class NoteIndex(Segments):
     """Immutable segments under ``root``/segments, and a log of commits under ``root``/log that says which of them make a version.
 
     A refresh writes one segment with what changed: table notes (note_id, content_hash, listed, covers), a row for each note that it
@@ -35,40 +30,8 @@ class NoteIndex:
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[DataFrame], DataFrame] | None = None, fan: int = 4):
         """``embed`` adds column dense to rows with column embedding_text; without it there are no vectors."""
-        self.spark, self.root, self.embed, self.fan = spark, root.rstrip("/"), embed, fan
-        self.log = Log(spark, f"{self.root}/log")
-
-    def versions(self) -> list[int]:
-        return self.log.versions()
-
-    def version(self) -> int:
-        """The last whole version; 0 for none."""
-        return max(self.versions(), default=0)
-
-    def segments(self, version: int | None = None) -> list[dict]:
-        """The segments of a version, oldest first: id, notes (their number), tables (their schemas)."""
-        v = self.version() if version is None else version
-        return self.log.read(v)["segments"] if v else []
-
-    def _table(self, segment: dict, table: str) -> DataFrame:
-        return self.spark.read.schema(StructType.fromJson(segment["tables"][table])).parquet(f"{self.root}/segments/{segment['id']}/{table}")
-
-    def _union(self, segments: list[dict], table: str) -> DataFrame:
-        """The rows of all segments, with column seq: the segment's place."""
-        parts = [self._table(s, table).withColumn("seq", F.lit(i)) for i, s in enumerate(segments)]
-        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-
-    def _owners(self, segments: list[dict]) -> DataFrame:
-        """(note_id, last): the segment that a note's rows are in, of notes that several segments have."""
-        covered = self._union(segments, "notes").where("covers").groupBy("note_id")
-        return covered.agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-
-    def _live(self, segments: list[dict], table: str) -> DataFrame:
-        rows = self._union(segments, table)
-        if len(segments) > 1:
-            last = self._owners(segments).withColumnRenamed("note_id", "of")
-            rows = rows.join(last, (F.col("note_id") == F.col("of")) & (F.col("seq") < F.col("last")), "left_anti")
-        return rows
+        super().__init__(spark, root)
+        self.embed, self.fan = embed, fan
 
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         """Table chunks, terms (chunk_id, term, weight), or manifest (note_id, content_hash) of a version; None where there is none yet."""
@@ -76,8 +39,7 @@ class NoteIndex:
         if not segments:
             return None
         if table == "manifest":
-            latest = F.max_by(F.struct("listed", "content_hash"), "seq").alias("x")
-            return self._union(segments, "notes").groupBy("note_id").agg(latest).where("x.listed").select("note_id", "x.content_hash")
+            return self._manifest(segments)
         return self.postings(version).entries() if table == "terms" else self._live(segments, table).drop("seq")
 
     def postings(self, version: int | None = None) -> Postings | None:
@@ -109,7 +71,7 @@ class NoteIndex:
         held = self.segments(at)
         own = {"id": uuid.uuid4().hex, "tables": {}}
         out = f"{self.root}/segments/{own['id']}"
-        before = self.read("manifest", at) if held else self.spark.createDataFrame([], MANIFEST)
+        before = self._manifest(held)
         before_n = sum(s["listed"] for s in held[-1:])
         # With full, notes that haven't changed are taken as well.
         changes = manifest.diff(notes.select("note_id", "content_hash"), before)
@@ -132,7 +94,7 @@ class NoteIndex:
         new = self._write(own, "chunks", self.embed(new) if self.embed else new)
         self._check_dimension(new, held)
         tell("chunks", 3, 4)
-        self._write(own, "postings", blocks(retrieval.term_weights(new, "chunk_id", "embedding_text")))
+        self._write(own, "postings", blocks(retrieval.term_weights(new, "chunk_id", "embedding_text")), write)
         self._delete(f"{out}/taken")
         arrived = self._table(own, "notes").where("listed").count()
         own["listed"] = before_n - told.get("modified", 0) - told.get("deleted", 0) - (told.get("unchanged", 0) if full else 0) + arrived
@@ -170,7 +132,7 @@ class NoteIndex:
         # Where there is nothing older, deletions have done their work.
         own["notes"] = self._write(own, "notes", notes if first else notes.where("listed")).count()
         self._write(own, "chunks", self._live(run, "chunks").drop("seq"))
-        self._write(own, "postings", blocks(self._postings(run).entries()))
+        self._write(own, "postings", blocks(self._postings(run).entries()), write)
         try:
             self.log.commit(at + 1, {"segments": [*segments[:first], own]})
         except Conflict:
@@ -178,23 +140,6 @@ class NoteIndex:
             return False
         return True
 
-    def _keep(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _write(self, segment: dict, table: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/segments/{segment['id']}/{table}"
-        if table == "postings":
-            write(df, path)
-        else:
-            # Files of the size that the session's advisory size asks for, however many tasks made the rows.
-            df.hint("rebalance").write.parquet(path)
-        segment["tables"][table] = json.loads(df.schema.json())
-        return self._table(segment, table)
-
-    def _delete(self, path: str) -> None:
-        self.log.fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
-
     def _check_dimension(self, new: DataFrame, held: list[dict]) -> None:
         """All vectors of an index have one length."""
         if "dense" not in new.columns:
@@ -207,18 +152,6 @@ class NoteIndex:
         if len(sizes) > 1:
             raise ValueError(f"vectors of lengths {sorted(sizes)}; index again with full=True in a new folder")
 
-    def vacuum(self, keep: int = 2, older: float = 3600) -> None:
-        """Delete commits but the last ``keep``, and segments that none of these points to and that are older than ``older`` seconds (a refresh under way may yet commit them)."""
-        versions = self.versions()
-        for v in versions[:-keep]:
-            self.log.forget(v)
-        held = {x for v in versions[-keep:] for body in (self.log.read(v),) for x in [*(s["id"] for s in body["segments"]), body.get("change")]}
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/segments")
-        for status in self.log.fs().listStatus(top) if self.log.fs().exists(top) else []:
-            if status.getPath().getName() not in held and time.time() - status.getModificationTime() / 1000 >= older:
-                self.log.fs().delete(status.getPath(), True)
-
-
 def hybrid_search(chunks: DataFrame, terms: DataFrame | Postings, query_terms: DataFrame, query_vector: list[float] | None, candidate_k: int = 50, k: int = 60, **filters) -> DataFrame:
     """Dense and sparse top lists under one filter, fused by rank: (chunk_id, score, best, source).
 
