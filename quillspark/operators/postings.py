@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import written
+
 #: Texts of a window, about: those of like size, as short texts have large weights and long ones small weights.
 WINDOW = 1024
 #: Windows that the rounds of a search read at most, by falling bound; the last round reads all that still can matter.
@@ -17,26 +21,56 @@ STEPS = 4
 ROOM = 2e-9
 
 
-def blocks(weights: DataFrame, key: str = "chunk_id", window: int = WINDOW) -> DataFrame:
-    """(term, window, n, most, entries) from (key, term, weight): a row for each term and window with its texts and their largest weight.
+PACKED = "key {}, terms array<struct<term: string, weight: double>>"
+
+
+def packed(texts: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, mean: float = 256.0) -> DataFrame:
+    """(key, terms) of texts, a row each: their terms with the weights of retrieval.term_weights(), counted within the row and so without a shuffle.
+
+    Words are cut by Spark; a task counts one text at a time.  A null or empty text has no terms.
+    """
+    words = texts.select(F.col(key).alias("key"), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("words"))
+
+    def count(batches):
+        for batch in batches:
+            cells = []
+            for row in batch.column("words"):
+                own = row.as_py() or []
+                cells.append([{"term": t, "weight": n * (k1 + 1) / (n + k1 * (1 - b + b * len(own) / mean))} for t, n in Counter(own).items()])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cells, pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))], names=["key", "terms"])
+
+    return words.mapInArrow(count, PACKED.format(words.schema["key"].dataType.simpleString()))
+
+
+def gathered(weights: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, terms) from a table (key, term, weight); null terms and weights are left out."""
+    rows = weights.where("term is not null and weight is not null")
+    return rows.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("terms"))
+
+
+def blocks(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(term, window, n, most, entries) from (key, terms): a row for each term and window with its texts and their largest weight.
 
     A text's window goes by its number of terms, in steps, and within a step by a hash of the key, so that a window has about ``window``
-    texts: entries are bounded, also for a term that all texts have.  A null weight or term is left out.
+    texts: entries are bounded, also for a term that all texts have.  Rows are clustered by term, by ranges that split a term by windows,
+    so that a search finds a term's files and row groups by their statistics; this is the one shuffle.
     """
-    sized = weights.where("term is not null and weight is not null").select(F.col(key).alias("key"), "term", F.col("weight").cast("double").alias("weight"))
-    texts = sized.groupBy("key").agg(F.count(F.lit(1)).alias("terms")).select("key", F.floor(F.log2("terms") * STEPS).cast("int").alias("step"))
+    spark = texts.sparkSession
+    sized = texts.where(F.size("terms") > 0).withColumn("step", F.floor(F.log2(F.size("terms")) * STEPS).cast("int"))
+    # Written, as the steps are counted first, and the ranges come from a sample.
+    sized = written(sized, "packed-terms")
     # A row for each step: a few hundred at most, as a step is a share of a doubling.
-    steps = {r.step: r.n for r in texts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
+    steps = {r.step: r.n for r in sized.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.from_json(F.lit(json.dumps({str(s): -(-n // window) for s, n in steps.items()})), "map<string, long>")
     place = F.pmod(F.xxhash64("key"), F.coalesce(F.try_element_at(parts, F.col("step").cast("string")), F.lit(1)))
-    placed = sized.join(texts.select("key", F.concat_ws("-", "step", place).alias("window")), "key")
-    out = placed.groupBy("term", "window").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"), F.collect_list(F.struct("key", "weight")).alias("entries"))
-    return out
+    placed = sized.select("key", F.concat_ws("-", "step", place).alias("window"), F.explode("terms").alias("t")).select("key", "window", "t.*")
+    placed = placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "window")
+    return placed.groupBy("term", "window").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"), F.collect_list(F.struct("key", "weight")).alias("entries"))
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Blocks clustered by term, so that a search finds a term's row groups by their statistics."""
-    rows.repartitionByRange(F.col("term"), F.col("window")).sortWithinPartitions("term", "window").write.parquet(path)
+    """Blocks in their clusters, sorted by term."""
+    rows.sortWithinPartitions("term", "window").write.parquet(path)
 
 
 class Postings:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import graph, links, retrieval
 from quillspark.operators.adjacency import Adjacency
 from quillspark.operators.index import NoteIndex, Scorer
+from quillspark.operators.linkview import LinkView
 from quillspark.plans.agent import Model, Session, Tools
 from quillspark.sources.vault import load_notes
 
@@ -130,6 +131,12 @@ class Engine:
     def graph(self, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return graph.build(notes, links.resolve_links(links.extract_links(notes), notes))
 
+    def adjacency(self, notes: DataFrame) -> Adjacency:
+        """The stored graph, from links kept beside the index: only those that changed notes touch are read and resolved again."""
+        view = LinkView(self.spark, f"{self.settings.data_dir}/links")
+        view.refresh(notes)
+        return Adjacency.write(*graph.build(notes, view.resolved()))
+
     def index(self) -> NoteIndex:
         return NoteIndex(self.spark, self.settings.data_dir, self.embed)
 
@@ -143,5 +150,5 @@ class Engine:
         index, notes, s = self.index(), self.notes(), self.settings
         if not index.version():
             raise LookupError("no index yet: run index first")
-        tools = Tools(notes, index.read("chunks"), index.postings(), Adjacency.write(*self.graph(notes)), self.vector, s.graph_max_nodes, s.graph_decay, s.graph_hub, s.candidate_k, s.rrf_k, s.rerank_n, s.final_k, self.scorer)
+        tools = Tools(notes, index.read("chunks"), index.postings(), self.adjacency(notes), self.vector, s.graph_max_nodes, s.graph_decay, s.graph_hub, s.candidate_k, s.rrf_k, s.rerank_n, s.final_k, self.scorer)
         return Session(self.model, tools, s.rounds, s.context_tokens)

@@ -16,10 +16,10 @@ from quillspark.functions.frontmatter import with_header
 from quillspark.operators import chunks, graph, links, manifest, retrieval, stats
 from quillspark.operators import index as I
 from quillspark.operators.adjacency import Adjacency
-from quillspark.operators.postings import Postings, blocks, write
+from quillspark.operators.postings import Postings, blocks, packed, write
 from quillspark.plans.agent import Tools
 from quillspark.sources import events
-from quillspark.sources.shared import Tables, shared_dir
+from quillspark.sources.shared import Tables, shared_dir, written
 from quillspark.sources.vault import document_notes
 
 
@@ -48,8 +48,9 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    notes = _notes(spark, d)
-    return graph.build(notes, links.resolve_links(links.extract_links(notes), notes))
+    # The notes are made from lines; they are written once for the scans below, and so are the links for nodes and edges.
+    notes = written(_notes(spark, d), "notes")
+    return graph.build(notes, written(links.resolve_links(links.extract_links(notes), notes), "links"))
 
 
 def free_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -148,41 +149,41 @@ def reply_texts(spark: SparkSession, d: str) -> DataFrame:
     return events.reply_texts(found, "conv_id", "turn").select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str, list[float]]:
-    """Documents as chunks, with the vector of the same number where there is one; their terms; the first benchmark text as query; a vector."""
+def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[float]]:
+    """Documents as chunks, with the vector of the same number where there is one; the first benchmark text as query; a vector."""
     docs, vectors = _table(spark, d, "documents"), _table(spark, d, "embeddings")
     rows = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.array("lang").alias("tags"), F.col("source").alias("folder")).join(vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense")), "chunk_id", "left")
     query = _table(spark, d, "benchmark").orderBy("item_id").first().text
-    return rows, retrieval.term_weights(docs, "doc_id", "text").withColumnRenamed("doc_id", "chunk_id"), query, list(vectors.where("vec_id = 0").first().embedding)
+    return rows, query, list(vectors.where("vec_id = 0").first().embedding)
 
 
 def _asked(spark: SparkSession, query: str) -> DataFrame:
     return retrieval.term_weights(spark.createDataFrame([("q", query)], "id string, text string"), "id", "text").select("term", "weight")
 
 
-def _inverted(terms: DataFrame) -> Postings:
-    """The terms' inverted index, written as an index of notes writes it."""
-    path = f"{shared_dir(terms.sparkSession)}/quillspark/postings-{uuid.uuid4().hex}"
-    rows = blocks(terms)
+def _inverted(spark: SparkSession, d: str) -> Postings:
+    """The documents' inverted index, written as an index of notes writes it."""
+    path = f"{shared_dir(spark)}/quillspark/postings-{uuid.uuid4().hex}"
+    rows = blocks(packed(_table(spark, d, "documents"), "doc_id", "text"))
     write(rows, path)
-    return Postings([terms.sparkSession.read.schema(rows.schema).parquet(path)])
+    return Postings([spark.read.schema(rows.schema).parquet(path)])
 
 
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    _, terms, query, _ = _passages(spark, d)
-    out = _inverted(terms).top_k({r.term: r.weight for r in _asked(spark, query).collect()}, 50)
+    query = _passages(spark, d)[1]
+    out = _inverted(spark, d).top_k({r.term: r.weight for r in _asked(spark, query).collect()}, 50)
     return out.select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def hybrid_results(spark: SparkSession, d: str) -> DataFrame:
-    rows, terms, query, vector = _passages(spark, d)
-    out = I.hybrid_search(rows, _inverted(terms), _asked(spark, query), vector, tags=["en", "fr"])
+    rows, query, vector = _passages(spark, d)
+    out = I.hybrid_search(rows, _inverted(spark, d), _asked(spark, query), vector, tags=["en", "fr"])
     return out.select("chunk_id", F.round("score", 9).alias("score"), F.col("best").cast("long").alias("best"), F.col("source").cast("long").alias("source"))
 
 
 def search_results(spark: SparkSession, d: str) -> DataFrame:
-    rows, terms, query, vector = _passages(spark, d)
-    out = I.search(rows, _inverted(terms), query, vector)
+    rows, query, vector = _passages(spark, d)
+    out = I.search(rows, _inverted(spark, d), query, vector)
     return out.select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -215,6 +216,7 @@ def source_footers(spark: SparkSession, d: str) -> DataFrame:
 def index_changes(spark: SparkSession, d: str) -> DataFrame:
     """An index of a perturbed vault brought up to the real one: its manifest, each note's change, and its chunks' number."""
     notes = _notes(spark, d).withColumn("content_hash", F.sha2(F.col("body").cast("binary"), 256)).withColumnRenamed("doc_id", "n")
+    notes = written(notes, "notes")
     old = notes.where("n % 10 <> 0").withColumn("body", F.when(F.col("n") % 7 == 0, "old text").otherwise(F.col("body"))).withColumn("note_id", F.when(F.col("n") % 9 == 0, F.concat("note_id", F.lit("-old"))).otherwise(F.col("note_id")))
     index = I.NoteIndex(spark, f"{shared_dir(spark)}/quillspark/index-{uuid.uuid4().hex}")
     index.refresh(old.withColumn("content_hash", F.sha2(F.col("body").cast("binary"), 256)), most=120, least=30, overlap=12)

@@ -26,7 +26,7 @@ def test_top_lists_are_brute_force_and_skip_blocks(spark, monkeypatch, seed):
         for t in sorted({min(int(rnd.expovariate(0.05)), 80) for _ in range(n)}):
             weights.append((f"c{i}", f"t{t}", round(rnd.choice([1.0, 1.0, 2.0]) * 8 / (4 + n), 3)))
     df = spark.createDataFrame([*weights, ("c1", None, 5.0), ("c2", "t1", None)], "chunk_id string, term string, weight double").repartition(3)
-    index = postings.Postings([postings.blocks(df, window=30).cache()])
+    index = postings.Postings([postings.blocks(postings.gathered(df), window=30).cache()])
     assert sorted(map(tuple, index.entries().collect())) == sorted(weights)
     saved = False
     for _ in range(4):
@@ -47,17 +47,20 @@ def test_later_segments_stand_for_earlier_ones(spark):
     schema = "chunk_id string, term string, weight double"
     old, new = [("a", "x", 3.0), ("b", "x", 2.0), ("c", "x", 1.0)], [("a", "x", 0.5)]
     dead = spark.createDataFrame([(0, "a")], "seq int, key string")
-    index = postings.Postings([postings.blocks(spark.createDataFrame(r, schema)) for r in (old, new)], dead)
+    index = postings.Postings([postings.blocks(postings.gathered(spark.createDataFrame(r, schema))) for r in (old, new)], dead)
     assert [tuple(r) for r in index.top_k({"x": 2.0}, 2).collect()] == [("b", 4.0), ("c", 2.0)]
     assert [tuple(r) for r in index.top_k({"x": 1.0}, 5).collect()] == [("b", 2.0), ("c", 1.0), ("a", 0.5)]
-    empty = postings.Postings([postings.blocks(spark.createDataFrame([], schema))])
+    empty = postings.Postings([postings.blocks(postings.gathered(spark.createDataFrame([], schema)))])
     assert empty.top_k({"x": 1.0}, 3).collect() == []
 
 
 def test_clusters_are_pruned_by_term(spark, tmp_path):
-    texts = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 997}" for j in range(1, 30))) for i in range(400)], "doc_id int, text string")
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 997}, W{i % 9}" for j in range(1, 30))) for i in range(400)] + [(400, None), (401, ""), (402, "É é ß")], "doc_id int, text string")
     weights = retrieval.term_weights(texts, "doc_id", "text")
-    postings.write(postings.blocks(weights, "doc_id"), str(tmp_path / "p"))
+    rows = postings.packed(texts, "doc_id", "text")
+    flat = rows.selectExpr("key as doc_id", "inline(terms)").select(*weights.columns)
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, weights.collect()))
+    postings.write(postings.blocks(rows), str(tmp_path / "p"))
     index = postings.Postings([spark.read.parquet(str(tmp_path / "p"))], key="doc_id")
     plan = index.blocks.where("term in ('w3', 'w5')")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "term" in plan.split("PushedFilters")[1][:80]
