@@ -21,6 +21,8 @@ STEPS = 4
 ROOM = 2e-9
 
 
+#: Texts whose terms a task holds at a time.
+SLICE = 128
 PACKED = "key {}, terms array<struct<term: string, weight: double>>"
 
 
@@ -32,12 +34,17 @@ def packed(texts: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.
     words = texts.select(F.col(key).alias("key"), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("words"))
 
     def count(batches):
-        for batch in batches:
-            cells = []
-            for row in batch.column("words"):
-                own = row.as_py() or []
-                cells.append([{"term": t, "weight": n * (k1 + 1) / (n + k1 * (1 - b + b * len(own) / mean))} for t, n in Counter(own).items()])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cells, pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))], names=["key", "terms"])
+        for whole in batches:
+            for i in range(0, len(whole), SLICE):
+                batch, terms, weights, cuts = whole.slice(i, SLICE), [], [], [0]
+                for row in batch.column("words"):
+                    own = row.as_py() or []
+                    found = Counter(own)
+                    terms.extend(found)
+                    weights.extend(n * (k1 + 1) / (n + k1 * (1 - b + b * len(own) / mean)) for n in found.values())
+                    cuts.append(len(terms))
+                cells = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(weights, pa.float64())], names=["term", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), cells)], names=["key", "terms"])
 
     return words.mapInArrow(count, PACKED.format(words.schema["key"].dataType.simpleString()))
 

@@ -93,11 +93,14 @@ def as_notes(files: DataFrame) -> DataFrame:
 def document_notes(docs: DataFrame) -> DataFrame:
     """Documents as notes: id by source, language and number; a first line links an exact id, an upper-case name and a missing note.
 
-    A link whose document isn't there, as numbers have gaps, is left out; the note stays."""
+    A link whose document isn't there, as numbers have gaps, is left out; the note stays.  The links are found between numbers and names;
+    texts move once, to their links."""
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    ident = docs.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("-"), "doc_id").alias("id"), F.concat("lang", F.lit("-"), "doc_id").alias("name"))
-    rows = docs.crossJoin(F.broadcast(n)).withColumn("a", (F.col("doc_id") * 7 + 1) % F.col("n_docs")).withColumn("b", (F.col("doc_id") * 13 + 5) % F.col("n_docs"))
-    rows = rows.join(ident.select(F.col("doc_id").alias("a"), F.col("id").alias("id_a")), "a", "left").join(ident.select(F.col("doc_id").alias("b"), F.upper("name").alias("name_b")), "b", "left").join(ident, "doc_id")
+    name, ident = F.concat("lang", F.lit("-"), "doc_id"), F.concat("source", F.lit("/"), "lang", F.lit("-"), "doc_id")
+    known = docs.select(F.col("doc_id").alias("of"), ident.alias("id"), F.upper(name).alias("upper_name"))
+    ends = docs.select("doc_id").distinct().crossJoin(F.broadcast(n)).select("doc_id", ((F.col("doc_id") * 7 + 1) % F.col("n_docs")).alias("a"), ((F.col("doc_id") * 13 + 5) % F.col("n_docs")).alias("b"))
+    ends = ends.join(known.select(F.col("of").alias("a"), F.col("id").alias("id_a")), "a", "left").join(known.select(F.col("of").alias("b"), F.col("upper_name").alias("name_b")), "b", "left")
+    rows = docs.join(ends.select("doc_id", "id_a", "name_b"), "doc_id", "left").withColumns({"id": ident, "name": name})
     links = [F.concat(F.lit("[["), x, F.lit("]]")) for x in ("id_a", "name_b", F.concat(F.lit("missing-"), F.col("doc_id") % 17))]
     first = F.concat(F.concat_ws(" ", *links), F.lit("\n"))
     return rows.select(
