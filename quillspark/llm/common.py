@@ -106,7 +106,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal wherever the bytes are equal."""
+    """64-bit hashes of the byte spans, equal wherever the bytes are equal.
+
+    A polynomial modulo 2^64: long words made for it collide, so it serves features that share buckets anyway; span_names() tells words apart."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data))
@@ -177,6 +179,14 @@ def bucket_cuts(names: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
 
 
+def places(index, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a pandas index that must hold them all."""
+    at = index.get_indexer(keys)
+    if (at < 0).any():
+        raise LookupError(f"{(at < 0).sum()} of {len(at)} keys have no answer: the input was read in another order than before")
+    return at
+
+
 def joined(column, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Binary cells as one array, and each cell's place in it."""
     cells = [np.frombuffer(x, dtype) for x in column.to_pylist()]

@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batched, bucket_bits, joined, lowered, mixed, ranges, slices, span_hashes, table_slices, word_spans, written
+from quillspark.llm.common import batched, bucket_bits, joined, lowered, mixed, places, ranges, slices, span_names, table_slices, word_spans, written
 
 #: Symbols are bytes plus 1; 0 stands before a text, END after it.
 ORDER, BITS, END, SYMBOLS = 5, 9, 257, 258
@@ -132,7 +132,7 @@ def _ask(key: tuple[pa.Scalar, ...], table: pa.Table, bits: int) -> pa.Table:
         data = lowered(data)
         s, e, place = word_spans(data, offsets)
         gram, at = symbols(data, offsets)
-        for store, keys, cuts in ((grams, gram, at), (words, span_hashes(data, s, e), place)):
+        for store, keys, cuts in ((grams, gram, at), (words, span_names(data, s, e), place)):
             k, c = _summed(keys, np.repeat(train, np.diff(cuts)))
             store[0].append(k)
             store[1].append(c)
@@ -186,8 +186,8 @@ def _score(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa
         data = lowered(data)
         s, e, place = word_spans(data, offsets)
         gram, at = symbols(data, offsets)
-        score = np.add.reduceat(prices[grams.get_indexer(gram)], at[:-1])
-        c = counts[words.get_indexer(span_hashes(data, s, e))]
+        score = np.add.reduceat(prices[places(grams, gram)], at[:-1])
+        c = counts[places(words, span_names(data, s, e))]
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[place])
         n = j - i
         known = (sums((c > 0).astype(np.int64)) + int(end > 0)).astype(np.int64)

@@ -9,7 +9,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import _powers, batched, bucket_bits, bucket_cuts, joined, mixed, ranges, span_hashes, table_slices, word_spans
+from quillspark.llm.common import _powers, batched, bucket_bits, bucket_cuts, joined, mixed, ranges, span_names, table_slices, word_spans
 
 WINDOW, LEVELS = 20, 4
 BATCH_BYTES = 8 << 20
@@ -118,7 +118,7 @@ class _Batch:
         rows, starts, found, names, stands, words_before = [], [], [], [], [], 0
         for i, j, data, offsets in table_slices(self.table):
             s, e, place = word_spans(data, offsets)
-            words = span_hashes(data, s, e)
+            words = span_names(data, s, e)
             p, a, x, y, hashed = anchors(words, place)
             stands.append(x + words_before)
             words_before += len(words)

@@ -4,9 +4,11 @@ import math
 import random
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def permuted(values, radices, label, key):
+    key = hashlib.sha256(key.encode()).hexdigest()
     n, state = len(values), list(values)
     for i in range(pii.ROUNDS):
         left = i % 2 == 0
@@ -404,3 +407,34 @@ def test_the_tree_leaves_out_what_cannot_link(spark):
     left = {(min(i, j), max(i, j)) for a, b in jaccard_rtree.CountRTree(points).pairs() for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard_rtree._overlap(sets[i], sets[j])}
     assert linked and linked <= left and len(left) < len(sets) ** 2 / 8
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    taught = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(taught, f"{rest} {a}"), (held, f"{rest} {b}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.without_repeats(docs).collect()} == {0}
+    scored = {r.doc_id: r for r in ppm.scored(docs).collect()}
+    assert scored[held].held_out and scored[held].n_known == scored[held].n_tokens - 1
+    few = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_rtree.near_groups(few).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_an_unasked_key_is_an_error():
+    with pytest.raises(LookupError, match="1 of 2"):
+        common.places(pd.Index(np.array([3, 5], np.uint64)), np.array([5, 7], np.uint64))
+
+
+def test_a_key_of_any_characters_works_and_stands_in_no_plan(spark):
+    docs = spark.createDataFrame([(1, "call 4111 1111 1111 1111 or 10.1.2.3")], "doc_id long, text string")
+    key = "o'k|\\ \"secret\""
+    out = pii.pseudonymised(docs, key)
+    assert "secret" not in out._jdf.queryExecution().toString()
+    row = out.first()
+    assert row.n_replaced == 2
+    assert row.text == f"call {plain_pseudonym('card', '4111 1111 1111 1111', key)} or {plain_pseudonym('ip', '10.1.2.3', key)}"
