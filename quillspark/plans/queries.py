@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import graph, links, manifest, retrieval, stats
+from quillspark.operators.payload import Payload
 from quillspark.plans import markdown
+from quillspark.sources.shared import Tables
 from quillspark.sources.vault import document_notes
 
 
@@ -42,12 +45,17 @@ def top_folders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filtered_notes(spark: SparkSession, d: str) -> DataFrame:
-    import datetime as dt
-
     notes = document_notes(_docs(spark, d))
     return retrieval.filtered(notes, ["en", "t3"], "src0", dt.date(2024, 2, 1), dt.date(2024, 11, 30)).select("note_id")
 
 
+def payload_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """A filter answered from the files that may hold such notes, of all notes laid out by folder and date."""
+    notes = document_notes(_docs(spark, d))
+    index = Payload.write(notes, f"{Tables(spark, 'payload').root}/notes", "note_id", 2000)
+    return index.filtered(["fr", "t5"], "src1", dt.date(2024, 3, 1), dt.date(2024, 5, 31)).select("note_id", "created", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def resolved_links(spark: SparkSession, d: str) -> DataFrame:
     notes = document_notes(_docs(spark, d))
     return links.resolve_links(links.extract_links(notes), notes).select("note_id", "target_raw", "target_note_id", "kind")
@@ -102,7 +110,7 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLAGSHIP = dense_topk
-_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, fused_ranks, context_window)
+_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, payload_filtered, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, fused_ranks, context_window)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -129,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "top_tags": top("tag", "SELECT unnest([lang, 't' || (doc_id % 7)]) AS tag FROM documents"),
         "top_folders": top("folder", "SELECT source AS folder FROM documents"),
         "filtered_notes": "SELECT source || '/' || lang || '-' || doc_id AS note_id FROM documents WHERE (lang = 'en' OR doc_id % 7 = 3) AND source = 'src0' AND DATE '2024-01-01' + (doc_id % 365)::INTEGER BETWEEN DATE '2024-02-01' AND DATE '2024-11-30'",
+        "payload_filtered": f"WITH {_NOTES} SELECT note_id, DATE '2024-01-01' + (doc_id % 365)::INTEGER AS created, md5(body) AS body_md5 FROM l WHERE note_id IN (SELECT note_id FROM n WHERE (lang = 'fr' OR doc_id % 7 = 5) AND source = 'src1') AND DATE '2024-01-01' + (doc_id % 365)::INTEGER BETWEEN DATE '2024-03-01' AND DATE '2024-05-31'",
         "resolved_links": f"WITH {_NOTES} SELECT *, 'link' AS kind FROM r",
         "graph_degrees": f"WITH {_NOTES} SELECT * FROM g",
         "graph_ghosts": f"WITH {_NOTES} SELECT id FROM v WHERE ghost",
