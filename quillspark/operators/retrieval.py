@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import quoted
+from quillspark.operators.balls import Balls
+from quillspark.sources.shared import Tables
+
+#: Query vectors that are sent to every task, at most.
+MOST_SENT = 1000
 
 
 def filtered(chunks: DataFrame, tags: list[str] | None = None, folder: str | None = None, after=None, before=None) -> DataFrame:
@@ -43,7 +48,13 @@ def dense_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "chun
 
 
 def dense_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "dense") -> DataFrame:
-    """The k nearest of each of a few queries (query_id, query), sent to every task: (query_id, key, score, rank)."""
+    """The k nearest of each query (query_id, query): (query_id, key, score, rank).
+
+    Up to MOST_SENT queries are sent to every task, by their counted rows; more go through an index of balls, whose ties are those of scores of nine places.
+    """
+    if queries.count() > MOST_SENT:
+        found = Balls.write(vectors, f"{Tables(vectors.sparkSession, 'vectors').root}/balls", key, vector).top_k(queries, k)
+        return found.select("query_id", F.col("key").alias(key), "score", "rank")
     number = lambda a, f: F.aggregate(a, F.lit(0.0), f)
     length = lambda v: F.sqrt(number(v, lambda s, x: s + x.cast("double") * x.cast("double")))
     asked = queries.select("query_id", "query", length(F.col("query")).alias("own"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import graph, links, manifest, retrieval, stats
+from quillspark.operators.balls import Balls
 from quillspark.operators.payload import Payload
 from quillspark.plans import markdown
 from quillspark.sources.shared import Tables
@@ -32,6 +33,14 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.round("score", 6).alias("score"))
 
 
+def nearest_balls(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of each twentieth vector among all, from an index of balls."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    index = Balls.write(vectors, f"{Tables(spark, 'vectors').root}/balls", "vec_id", "embedding")
+    out = index.top_k(vectors.where("vec_id % 20 = 0"), 10, query_id="vec_id", query="embedding")
+    return out.select("query_id", "rank", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.token_distribution(_docs(spark, d).select(T.tokens(F.col("text")).alias("token_estimate"))).select("chunks", "min", "max", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
@@ -110,7 +119,7 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 FLAGSHIP = dense_topk
-_QUERIES = (dense_topk, token_stats, top_tags, top_folders, filtered_notes, payload_filtered, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, fused_ranks, context_window)
+_QUERIES = (dense_topk, nearest_balls, token_stats, top_tags, top_folders, filtered_notes, payload_filtered, resolved_links, graph_degrees, graph_ghosts, graph_orphans, graph_hubs, manifest_diff, sparse_weights, fused_ranks, context_window)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -133,6 +142,8 @@ def oracle_sql() -> dict[str, str]:
     top = lambda col, sub: f"SELECT {col}, count(*) AS n FROM ({sub}) GROUP BY {col} ORDER BY n DESC, {col} LIMIT 10"
     return {
         "dense_topk": "SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 10",
+        "nearest_balls": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
         "token_stats": f"SELECT count(*) AS chunks, min(t)::BIGINT AS min, max(t)::BIGINT AS max, round(avg(t), 6) AS mean, round(median(t), 6)::DOUBLE AS median FROM (SELECT {_WORDS} AS t FROM documents)",
         "top_tags": top("tag", "SELECT unnest([lang, 't' || (doc_id % 7)]) AS tag FROM documents"),
         "top_folders": top("folder", "SELECT source AS folder FROM documents"),
