@@ -9,32 +9,35 @@ from quillspark.llm.rows import once
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Samples in a fingerprint, drawn GROUP at a time; rows aimed at in a bucket of neighbouring ids, and the most buckets.
-SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 40, 4, 400, 100_000
+SAMPLES, GROUP, BUCKET_ROWS, MOST_BUCKETS = 64, 4, 400, 100_000
 #: Bits of a sample's name; the highest one is that of a text without words.
 NAME_BITS = 24
 BLANK = (1 << NAME_BITS) - 1
+#: An odd number, by which the steps t of one term get different names.
+STRIDE = 7368787
 _LAST = (1 << 63) - 1
 _LEAST = -(1 << 63)
 
 
 def sample_parts(k: int) -> list[str]:
-    """SQL for term and sample (grp, k): r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), b ~ U(0, 1), from 128 bits of hash."""
-    bits = lambda i: f"xxhash64(term, grp, {2 * k + i})"
+    """SQL for term and sample (grp, k): r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), b ~ U(0, 1), from a hash and the hash of that."""
     unit = lambda x, n: f"((cast({x} as double) + 0.5) / {1 << n}D)"
     part = lambda h, at, n: unit(f"(shiftrightunsigned({h}, {at}) & {(1 << n) - 1})", n)
     gamma = lambda u, v: f"(-ln({u} * {v}))"
-    one, two = bits(0), bits(1)
+    one = f"xxhash64(term, grp * {GROUP} + {k})"
+    two = f"xxhash64({one})"
     return [f"{gamma(part(one, 32, 32), part(one, 0, 32))} as r{k}", f"ln({gamma(part(two, 42, 22), part(two, 20, 22))}) as c{k}", f"{part(two, 0, 20)} as b{k}"]
 
 
 def sample_value(weight: str, log_weight: str, k: int) -> str:
     """SQL for ln a of the term in sample k above the bits that name (term, t); the least one of a document is its sample.
 
-    t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r.
+    t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r.  The term is a hash already, so its name needs no other one; t is below
+    2^38, as r is above 2^-33.
     """
     t = f"floor({log_weight} / r{k} + b{k})"
     key = f"cast((c{k} - r{k} * ({t} - b{k} + 1D) + 128D) * 1073741824D as bigint)"
-    return f"if({weight} > 0, shiftleft({key}, {NAME_BITS}) | least(xxhash64(term, {t}) & {BLANK}L, {BLANK - 1}L), null)"
+    return f"if({weight} > 0, shiftleft({key}, {NAME_BITS}) | least((shiftrightunsigned(term, 20) + {t} * {STRIDE}L) & {BLANK}L, {BLANK - 1}L), null)"
 
 
 def _before(x, key, th):

@@ -206,13 +206,13 @@ def plain_fingerprint(text, samples):
     for word, weight in terms.items():
         term = signed(xx(("s", word.encode())))
         for i in range(samples):
-            grp, k = divmod(i, cws.GROUP)
-            one, two = (xx(("q", term), ("i", grp), ("i", 2 * k + j)) for j in (0, 1))
+            one = xx(("q", term), ("i", i))
+            two = xx(("q", signed(one)))
             unit = lambda h, at, n: ((h >> at & (1 << n) - 1) + 0.5) / (1 << n)
             r, c, b = -math.log(unit(one, 32, 32) * unit(one, 0, 32)), math.log(-math.log(unit(two, 42, 22) * unit(two, 20, 22))), unit(two, 0, 20)
             t = math.floor(math.log(weight) / r + b)
             a = int((c - r * (t - b + 1) + 128) * (1 << 30))
-            name = min(xx(("q", term), ("q", t)) & cws.BLANK, cws.BLANK - 1)
+            name = min((term % (1 << 64) >> 20) + t * cws.STRIDE & cws.BLANK, cws.BLANK - 1)
             if best[i] is None or (a, name) < best[i]:
                 best[i] = (a, name)
     return "".join(f"{cws.BLANK if x is None else x[1]:06x}" for x in best)
@@ -263,7 +263,7 @@ def test_likeness_estimates_generalised_jaccard(spark):
         a, b = Counter(WORD.findall(t)), Counter(WORD.findall(t[: len(t) - len(t) // 3] + o[: len(t) // 3]))
         both = sum((a | b).values())
         errors.append(r.near_edited - (sum((a & b).values()) / both if both else 1.0))
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.09, (np.mean(errors), np.std(errors))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08, (np.mean(errors), np.std(errors))
 
 
 # Whatever way a table is split and read
