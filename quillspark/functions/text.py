@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode white space as in splitting on any white space, line ends, and what links, tags and ids look like.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: All of them but the plain one.
+ODD_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WIKI = r"(!?)\[\[([^\]|#]+?)(?:#(\^?)([^\]|]+))?(?:\|([^\]]+))?\]\]"
 MARKDOWN = r"(?U)(?<!!)\[[^\]]*\]\(([^\s)]+\.md)\)"
 INLINE_TAG = r"(?U)(?<!\S)#([A-Za-z0-9_/-]+)"
@@ -30,10 +32,15 @@ def basename(note_id: Column) -> Column:
     return F.substring_index(note_id, "/", -1)
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, as the only element of an array."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lines(text: Column) -> Column:
-    """Lines without their ends; a last empty one doesn't count."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """Lines without their ends; a last empty one doesn't count.  Texts with plain ends only are cut without a pattern."""
+    parts = F.when(F.rlike(text, F.lit(ODD_END)), F.split(text, LINE_END)).otherwise(F.split(text, "\n"))
+    return _once(parts, lambda p: F.when(F.try_element_at(p, F.lit(-1)) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def stripped(text: Column) -> Column:
@@ -45,10 +52,11 @@ def outside_fences(text: Column) -> Column:
     """The lines that are neither in a fenced block nor fences; a fence is closed by its own marker only.
 
     Only lines that begin with a marker are folded, to one character of state each; the lines between them are sliced out,
-    so the work is linear in the lines.
+    so the work is linear in the lines.  A text that holds no marker is all free.
     """
+    marked = lambda x: F.contains(x, F.lit("```")) | F.contains(x, F.lit("~~~"))
     given = F.struct(lines(text).alias("lines"))
-    marks = lambda g: F.filter(F.transform(g["lines"], lambda x, i: F.struct(F.substring(F.regexp_extract(x, FENCE, 1), 1, 1).alias("mark"), i.alias("at"))), lambda m: m["mark"] != "")
+    marks = lambda g: F.filter(F.transform(g["lines"], lambda x, i: F.struct(F.when(marked(x), F.substring(F.regexp_extract(x, FENCE, 1), 1, 1)).otherwise("").alias("mark"), i.alias("at"))), lambda m: m["mark"] != "")
 
     def step(state: Column, m: Column) -> Column:
         now = F.substring(state, -1, 1)
@@ -62,9 +70,9 @@ def outside_fences(text: Column) -> Column:
         part = lambda j: F.when(F.substr(states, j + 1, F.lit(1)) == "0", F.slice(g["lines"], begin(j) + 1, end(j) - begin(j)))
         return F.flatten(F.filter(F.transform(F.sequence(F.lit(0), n), part), lambda x: x.isNotNull()))
 
-    # Each step is worked out once, as the only element of an array.
-    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
-    return F.when(text.isNotNull(), once(given, lambda g: once(marks(g), lambda found: once(F.aggregate(found, F.lit("0"), step), lambda states: free(g, found, states)))))
+    # Each step is worked out once.
+    folded = _once(given, lambda g: _once(marks(g), lambda found: _once(F.aggregate(found, F.lit("0"), step), lambda states: free(g, found, states))))
+    return F.when(marked(text), folded).otherwise(lines(text))
 
 
 def without_code(line: Column) -> Column:

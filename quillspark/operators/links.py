@@ -13,19 +13,21 @@ def extract_links(notes: DataFrame) -> DataFrame:
 
     Wiki links of a line come before its markdown links, which have no alias.  Embeds of files other than notes are left out.
     """
-    rows = notes.select("note_id", F.posexplode(outside_fences(F.col("body"))).alias("line", "text")).withColumn("text", without_code(F.col("text")))
-    wiki = rows.select("note_id", "line", F.lit(0).alias("class"), F.posexplode(F.regexp_extract_all("text", F.lit(WIKI), F.lit(0))).alias("pos", "m"))
+    # Bodies are cut into lines once, and of these only the ones that can hold a link become rows.
+    told = F.transform(outside_fences(F.col("body")), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    rows = notes.select("note_id", F.explode(F.filter(told, lambda x: F.contains(x["text"], F.lit("[[")) | F.contains(x["text"], F.lit("](")))).alias("x"))
+    rows = rows.select("note_id", "x.line", without_code(F.col("x.text")).alias("text"))
+    found = lambda form, group, kind: F.transform(F.regexp_extract_all("text", F.lit(form), F.lit(group)), lambda m, i: F.struct(F.lit(kind).alias("class"), i.alias("pos"), m.alias("m")))
+    links = rows.select("note_id", "line", F.explode(F.concat(found(WIKI, 0, 0), found(MARKDOWN, 1, 1))).alias("x")).select("note_id", "line", "x.*")
+    wiki = F.col("class") == 0
     part = lambda g: F.regexp_extract("m", WIKI, g)
-    given = lambda g: F.when(part(g) != "", stripped(part(g)))
-    none = F.lit(None).cast("string")
-    wiki = wiki.select(
-        "note_id", "line", "class", "pos", F.when(part(1) == "!", "embed").otherwise("link").alias("kind"), stripped(part(2)).alias("target_raw"),
+    given = lambda g: F.when(wiki & (part(g) != ""), stripped(part(g)))
+    links = links.select(
+        "note_id", "line", "class", "pos", F.when(wiki & (part(1) == "!"), "embed").otherwise("link").alias("kind"), F.when(wiki, stripped(part(2))).otherwise(F.col("m")).alias("target_raw"),
         F.when(part(3) == "", given(4)).alias("heading"), F.when(part(3) != "", given(4)).alias("block_id"), given(5).alias("alias"),
     )
     foreign = (F.col("kind") == "embed") & F.col("target_raw").rlike(r"\.[A-Za-z0-9]+$") & ~F.lower("target_raw").endswith(".md")
-    plain = rows.select("note_id", "line", F.lit(1).alias("class"), F.posexplode(F.regexp_extract_all("text", F.lit(MARKDOWN), F.lit(1))).alias("pos", "target_raw"))
-    plain = plain.select("note_id", "line", "class", "pos", F.lit("link").alias("kind"), "target_raw", none.alias("heading"), none.alias("block_id"), none.alias("alias"))
-    return wiki.where(~foreign & (F.col("target_raw") != "")).unionByName(plain)
+    return links.where((F.col("class") == 1) | ~foreign & (F.col("target_raw") != ""))
 
 
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:

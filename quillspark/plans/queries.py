@@ -13,17 +13,22 @@ from quillspark.operators import graph, links, manifest, retrieval, stats
 from quillspark.operators.balls import Balls
 from quillspark.operators.payload import Payload
 from quillspark.plans import markdown
-from quillspark.sources.shared import Tables
-from quillspark.sources.vault import document_notes
+from quillspark.sources.shared import Tables, written
+from quillspark.sources.vault import document_names, document_notes
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def _graph(spark: SparkSession, d: str):
-    notes = document_notes(_docs(spark, d))
-    return graph.build(notes, links.resolve_links(links.extract_links(notes), notes))
+def _built(notes: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of notes, whose texts are read once: their links are written, and nodes and edges come from these and the notes' names."""
+    return graph.build(names, written(links.resolve_links(links.extract_links(notes), names), "links"))
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _docs(spark, d)
+    return _built(document_notes(docs), document_names(docs))
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +86,7 @@ def graph_ghosts(spark: SparkSession, d: str) -> DataFrame:
 def graph_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Only each third note keeps its links."""
     notes = document_notes(_docs(spark, d)).withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.col("body")).otherwise("no links"))
-    return graph.orphans(*graph.build(notes, links.resolve_links(links.extract_links(notes), notes)))
+    return graph.orphans(*_built(notes, document_names(_docs(spark, d))))
 
 
 def graph_hubs(spark: SparkSession, d: str) -> DataFrame:

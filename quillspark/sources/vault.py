@@ -90,6 +90,11 @@ def as_notes(files: DataFrame) -> DataFrame:
     )
 
 
+def document_names(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, note_id, title, aliases) of document_notes(), which need neither texts nor links; and ``columns`` of the documents."""
+    return docs.select("doc_id", *columns, F.concat("source", F.lit("/"), "lang", F.lit("-"), "doc_id").alias("note_id"), F.concat("lang", F.lit("-"), "doc_id").alias("title"), F.array().cast("array<string>").alias("aliases"))
+
+
 def document_notes(docs: DataFrame) -> DataFrame:
     """Documents as notes: id by source, language and number; a first line links an exact id, an upper-case name and a missing note.
 

@@ -207,3 +207,21 @@ def test_uuid_fusion_citations(spark):
     answers = spark.createDataFrame([(1, "[S1] [S3] [S1] [S99]")], "id int, answer string")
     known = spark.createDataFrame([(1, "S1"), (1, "S3")], "id int, key string")
     assert [r.key for r in retrieval.validated_citations(answers, known, T.citation_keys).orderBy("pos").collect()] == ["S1", "S3"]
+
+
+@pytest.mark.parametrize("name", ["queries"])
+def test_graphs_read_texts_once(spark, name):
+    """Nodes and edges come from written links and from names; no text is read for them again."""
+    from quillspark.plans import markdown, queries
+
+    for df in {"queries": queries, "markdown": markdown}[name]._graph(spark, "/root/testdata/sf0.001"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "text" not in plan and "body" not in plan
+
+
+def test_links_are_read_in_one_pass(spark):
+    notes = spark.createDataFrame([("a", "[[x]] `[[no]]` [m](y.md) ![[p.png]] ![[q]]\r\n```\n[[no]]\n```\x85plain [[z|w]]"), ("b", None), ("c", "")], "note_id string, body string")
+    found = links.extract_links(notes)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.note_id, r.line, r["class"], r.pos, r.kind, r.target_raw, r.alias) for r in found.collect())
+    assert got == [("a", 0, 0, 0, "link", "x", None), ("a", 0, 0, 2, "embed", "q", None), ("a", 0, 1, 0, "link", "y.md", None), ("a", 2, 0, 0, "link", "z", "w")]
