@@ -30,9 +30,12 @@ def corpus(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFra
     """The statistics bundle as one table (section, item, value): counts, tokens a chunk, top tags and folders, orphans, unresolved targets."""
     row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value"))
     one, zero = F.lit(1), F.lit(0)
-    tokens = token_distribution(chunks).select(F.explode(F.create_map(*[x for c in ("min", "max", "mean", "median") for x in (F.lit(c), F.col(c).cast("double"))])).alias("k", "v"))
+    # The chunks are made from texts, so they are gone through once, for their number and their tokens.
+    t, told = F.col("token_estimate"), ("min", "max", "mean", "median")
+    sums = chunks.agg(F.count(one).alias("chunks"), F.min(t).alias("min"), F.max(t).alias("max"), F.avg(t).alias("mean"), F.median(t).alias("median"))
+    tokens = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for s, c in (("count", "chunks"), *(("tokens", c) for c in told))]))
     parts = [
-        row(notes.agg(F.count(one).alias("n")), "count", F.lit("notes"), F.col("n")), row(chunks.agg(F.count(one).alias("n")), "count", F.lit("chunks"), F.col("n")), row(tokens, "tokens", F.col("k"), F.col("v")),
+        row(notes.agg(F.count(one).alias("n")), "count", F.lit("notes"), F.col("n")), sums.select("chunks", tokens.alias("x")).where("chunks > 0 or x.section = 'count'").select("x.*"),
         row(top_tags(notes, most), "tag", F.col("tag"), F.col("n")), row(top_folders(notes, most), "folder", F.col("folder"), F.col("n")),
         row(graph.orphans(nodes, edges), "orphan", F.col("id"), zero), row(graph.ghosts(nodes), "unresolved", F.col("id"), zero),
     ]

@@ -225,3 +225,15 @@ def test_links_are_read_in_one_pass(spark):
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r.note_id, r.line, r["class"], r.pos, r.kind, r.target_raw, r.alias) for r in found.collect())
     assert got == [("a", 0, 0, 0, "link", "x", None), ("a", 0, 0, 2, "embed", "q", None), ("a", 0, 1, 0, "link", "y.md", None), ("a", 2, 0, 0, "link", "z", "w")]
+
+
+def test_statistics_make_chunks_once(spark):
+    from quillspark.plans import markdown
+
+    out = markdown.corpus_stats(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    from quillspark.operators import stats
+
+    none = spark.createDataFrame([], "token_estimate long")
+    notes, nodes, edges = spark.createDataFrame([], "tags array<string>, folder string"), spark.createDataFrame([], "id string, ghost boolean"), spark.createDataFrame([], "src string, dst string")
+    assert sorted(map(tuple, stats.corpus(notes, none, nodes, edges).collect())) == [("count", "chunks", 0.0), ("count", "notes", 0.0)]
