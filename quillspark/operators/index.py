@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import chunks as C
 from quillspark.operators import manifest, retrieval
-from quillspark.operators.postings import Postings, blocks, gathered, packed, write
+from quillspark.operators.postings import Postings, blocks, gathered, inverted, write
 from quillspark.operators.segments import Segments
 from quillspark.sources.commits import Conflict
 
@@ -94,7 +94,7 @@ class NoteIndex(Segments):
         new = self._write(own, "chunks", self.embed(new) if self.embed else new)
         self._check_dimension(new, held)
         tell("chunks", 3, 4)
-        self._write(own, "postings", blocks(packed(new, "chunk_id", "embedding_text")), write)
+        self._write(own, "postings", inverted(new, "chunk_id", "embedding_text"), write)
         self._delete(f"{out}/taken")
         arrived = self._table(own, "notes").where("listed").count()
         own["listed"] = before_n - told.get("modified", 0) - told.get("deleted", 0) - (told.get("unchanged", 0) if full else 0) + arrived

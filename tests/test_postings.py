@@ -67,3 +67,26 @@ def test_clusters_are_pruned_by_term(spark, tmp_path):
     asked = {"w3": 1.0, "w5": 0.5}
     want = retrieval.sparse_top_k(weights, spark.createDataFrame(list(asked.items()), "term string, weight double"), 20, "doc_id").collect()
     assert [tuple(r) for r in index.top_k(asked, 20).collect()] == [tuple(r) for r in want]
+
+
+def test_words_are_cut_alike_by_tasks_and_spark(spark):
+    whole = [chr(c) for c in [*range(1, 0x260), *range(0x2000, 0x2080)]]
+    texts = [(i, f"A{c}B {c}") for i, c in enumerate(whole)] + [(9001, "İx ΣΑΣ 中文_١٢ ǅ"), (9002, None), (9003, ""), (9004, "__ -")]
+    df = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    want = sorted(map(tuple, retrieval.term_weights(df, "doc_id", "text").collect()))
+    assert sorted(map(tuple, postings.packed(df, "doc_id", "text").selectExpr("key", "inline(terms)").collect())) == want
+    assert sorted(map(tuple, postings.Postings([postings.inverted(df, "doc_id", "text")], key="doc_id").entries().collect())) == want
+
+
+def test_keys_are_written_once_and_windows_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "WINDOW_CHARS", 4000)
+    # Texts of one length go by their number, longer ones by their characters.
+    texts = spark.createDataFrame([(f"key-{i:030d}", f"{i % 89:02d} same words") for i in range(300)] + [(f"long-{i}", "many words " * 90 + str(i % 5)) for i in range(40)], "chunk_id string, text string")
+    postings.write(postings.inverted(texts, "chunk_id", "text", window=50), str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted(r.key for r in rows.selectExpr("explode(keys) as key").collect()) == sorted(r.chunk_id for r in texts.collect())
+    windows = rows.where("term is null").collect()
+    assert max(r.n for r in windows) < 100 and len([r for r in windows if r.n < 12]) > 5
+    asked = {"same": 1.0, "many": 0.5, "3": 2.0, "07": 1.0}
+    want = retrieval.sparse_top_k(retrieval.term_weights(texts, "chunk_id", "text"), spark.createDataFrame(list(asked.items()), "term string, weight double"), 30).collect()
+    assert [tuple(r) for r in postings.Postings([rows]).top_k(asked, 30).collect()] == [tuple(r) for r in want]
