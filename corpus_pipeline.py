@@ -14,12 +14,26 @@ from quillspark.llm.common import Tables
 from quillspark.llm.queries import pseudonym_key, tokenizer_path
 from quillspark.llm.rows import fresh
 
+#: Bytes at which an Arrow batch to a Python worker is full.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Set the session's limit of Arrow batches to BATCH_BYTES, unless it has one of its own.
+
+    By Spark's default a batch is up to 64 MB, mostly a partition's whole texts, of which the JVM holds a vector and a buffer and the worker a copy or two.
+    """
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.
 
     Rows of null or empty text are scored by the bias; without labelled documents of both classes all rows stay.
     """
+    bounded(spark)
     return nbsvm.of_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -28,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of null text or without words link with nothing and all stay; of rows equal in doc_id and text, one stays.
     """
+    bounded(spark)
     return jaccard_rtree.one_of_each(docs)
 
 
@@ -46,6 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids in sequences, a row a piece with its ids; a null text is one id, repeated rows are packed one by one."""
+    bounded(spark)
     return packing.packed(docs, tokenizer_path())
 
 

@@ -162,7 +162,8 @@ def with_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
             some = keyed.where(F.col("quality") == y).distinct().orderBy(F.xxhash64("doc_id", "t"), "doc_id").limit(fit_rows // 2).collect()
             upto = np.cumsum([r["size"] or 0 for r in some])
             keys += [(r.doc_id, r.t) for i, r in enumerate(some) if not i or upto[i] <= fit_bytes // 2]
-        picked = spark.createDataFrame(keys, "doc_id long, t long")
+        # As an Arrow table, so that no task starts Python workers of another kind for it, which would stay beside the others.
+        picked = spark.createDataFrame(pa.table({k: pa.array([x[i] for x in keys], pa.int64()) for i, k in enumerate(("doc_id", "t"))}), "doc_id long, t long")
         sample = learn.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"])
         # Repeated rows are reduced in every task, before they travel.
         sample = sample.groupBy("doc_id", "t", "quality").agg(F.first("text").alias("text")).select("doc_id", "text", "quality").mapInArrow(_features, "doc_id long, quality int, f binary")

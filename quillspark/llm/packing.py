@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,16 +66,24 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        vocab = self.tokenizer.get_vocab()
-        #: What ids travel as: 16 bits where all fit.
-        self.travel = "<u2" if max([END, *vocab.values()]) < 1 << 16 else "<u4"
         self.added = [t["content"] for t in file.get("added_tokens") or []]
         self.fast = self._ranked(file)
+        ids = file["model"]["vocab"].values() if self.fast else self.tokenizer.get_vocab().values()
+        #: What ids travel as: 16 bits where all fit.
+        self.travel = "<u2" if max([END, *ids, *(t["id"] for t in file.get("added_tokens") or [])]) < 1 << 16 else "<u4"
+        # What was read to make the ranks is several times as large as they are.
+        del file, ids
+        release()
+
+    @cached_property
+    def tokenizer(self):
+        """Read when a text first needs it: it takes about 27 MB of a worker, beside the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _ranked(file: dict):

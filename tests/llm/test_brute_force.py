@@ -353,6 +353,26 @@ def test_encoder_gives_the_ids_of_tokenizers():
     assert lower.fast is None and lower.encode("Some Text").tolist() == lower.tokenizer.encode("Some Text", add_special_tokens=False).ids
 
 
+def test_encoder_reads_the_tokenizer_when_a_text_needs_it():
+    # In a process of its own, as others here have loaded it.
+    code = """
+import sys
+from quillspark.llm import packing, queries
+own = packing.Encoder(queries.tokenizer_path())
+assert len(own.encode("Some plain text.")) and own.travel == "<u2" and "tokenizers" not in sys.modules
+from tokenizers import Tokenizer
+vocab = Tokenizer.from_file(queries.tokenizer_path()).get_vocab()
+assert max(vocab.values()) < 1 << 16
+text = "Some " + own.added[0] + " text"
+assert own.encode(text).tolist() == Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids
+"""
+    import os
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
 def test_packing_is_first_fit_decreasing():
     rnd = random.Random(3)
     for n in (0, 1, 2, 50, 400):

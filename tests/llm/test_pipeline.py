@@ -101,3 +101,25 @@ def test_an_empty_table_goes_through(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_workers_get_bounded_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 1000) text", "'en' lang", "'s' source", "0L n_chars")
+    stages = dict(corpus_pipeline.STAGES)
+    before = spark.conf.get(corpus_pipeline._BATCHES, None)
+    try:
+        spark.conf.unset(corpus_pipeline._BATCHES)
+        stages["sequences"](spark, docs, str(tmp_path))
+        sizes = docs.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in it), "size long")
+        sizes = [r.size for r in sizes.collect()]
+        # 24 MB of texts; the row that fills a batch is its last one.
+        assert sum(sizes) > 20 << 20 and max(sizes) < (4 << 20) + (64 << 10)
+        # A limit of the caller's stays, and a result doesn't depend on it.
+        want = {(r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in stages["sequences"](spark, docs.where("doc_id < 50"), str(tmp_path)).collect()}
+        spark.conf.set(corpus_pipeline._BATCHES, "1000")
+        got = stages["sequences"](spark, docs.where("doc_id < 50"), str(tmp_path))
+        assert spark.conf.get(corpus_pipeline._BATCHES) == "1000" and {(r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got.collect()} == want
+    finally:
+        spark.conf.unset(corpus_pipeline._BATCHES) if before is None else spark.conf.set(corpus_pipeline._BATCHES, before)
