@@ -253,6 +253,59 @@ def test_fingerprints_are_brute_force(spark, bucket_rows):
             assert r.near_next in {likeness(r.fingerprint, plain_fingerprint(o, 20)) for _, _, o in options}
 
 
+def sample_parts(word, i):
+    """The word's term and its sample i: term, r, ln c, b."""
+    term = signed(xx(("s", word.encode())))
+    one = xx(("q", term), ("i", i))
+    two = xx(("q", signed(one)))
+    unit = lambda h, at, n: ((h >> at & (1 << n) - 1) + 0.5) / (1 << n)
+    return term, -math.log(unit(one, 32, 32) * unit(one, 0, 32)), math.log(-math.log(unit(two, 42, 22) * unit(two, 20, 22))), unit(two, 0, 20)
+
+
+def test_few_terms_are_drawn_for_a_sample(spark):
+    words = [f"w{i}" for i in range(400)]
+    counted = spark.createDataFrame([(0, 1, 400, sample_parts(w, 0)[0], 1 + i % 2, i % 3) for i, w in enumerate(words)], "bucket int, n int, words int, term long, s long, z long")
+    every = cws.drawn(counted, 16, cws.ANY)
+    assert every.count() == 400 * 16 and cws.drawn(counted, 16).count() < 400 * 16 * 0.4
+    near = Counter((r.term, r.k) for r in cws.drawn(counted, 16).collect())
+    for i, w in enumerate(words):
+        for k in range(16):
+            term, r, c, b = sample_parts(w, k)
+            least = min(c - r * (math.floor(math.log(x) / r + b) - b + 1) for x in (1 + i % 2, i % 3) if x)
+            assert near[term, k] == 1 or math.exp(least) > cws.WITHIN / 400
+
+
+@pytest.mark.parametrize("within", [0.01, 1.0, 5.0, cws.WITHIN, cws.ANY])
+def test_terms_left_out_change_no_fingerprint(spark, within):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcde") + str(int(rnd.paretovariate(0.7)) % 50) for _ in range(rnd.choice([0, 1, 5, 90, 300]))) for _ in range(30)] + [" ", "a", "a a a a a a a a a", None, "  a"]
+    got = {r.doc_id: r for r in cws.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 12, bucket_rows=8, within=within).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        text, other = t or "", texts[i - 1] or ""
+        edited = text[: len(text) - len(text) // 3] + other[: len(text) // 3]
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain_fingerprint(text, 12), plain_fingerprint(edited, 12))
+        assert got[i].near_next == likeness(got[i].fingerprint, plain_fingerprint(other, 12))
+
+
+def test_texts_without_a_small_value_are_worked_on_with_all_terms(spark, monkeypatch):
+    # A text chosen so that its sample 0 lies above the bound.
+    far = [w for w in (f"w{i}" for i in range(400)) if math.exp(sample_parts(w, 0)[2] - sample_parts(w, 0)[1]) * 200 > 2 * cws.WITHIN][:200]
+    assert len(far) == 200
+    docs = [(i, " ".join(f"{i}x{j}" for j in range(100))) for i in range(30)]
+    docs[17] = (17, " ".join(far))
+    calls, sampled = [], cws._sampled
+
+    def counting(placed, samples, within):
+        calls.append((placed.select("bucket").distinct().count(), within))
+        return sampled(placed, samples, within)
+
+    monkeypatch.setattr(cws, "_sampled", counting)
+    got = {r.doc_id: r for r in cws.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), 4, bucket_rows=6).collect()}
+    assert calls[0][1] == cws.WITHIN and calls[1][1] == cws.ANY and calls[1][0] < calls[0][0]
+    assert [got[i].fingerprint for i, _ in docs] == [plain_fingerprint(t, 4) for _, t in docs]
+
+
 def test_likeness_estimates_generalised_jaccard(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250")
     text = {r.doc_id: r.text or "" for r in docs.collect()}
